@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .idstore import op2
+from .packing import op3
 from .substring_dedup import op6
+from .topk import SQL8, op8
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_id_files": op2, "op6_substring_dedup": op6}
+    return {"op2_id_files": op2, "op3_packing": op3, "op6_substring_dedup": op6, "op8_exact_topk": op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_topk": SQL8}
