@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9
 from .idstore import op2
+from .near_dedup import op7
 from .packing import op3
 from .site_style import op10
 from .substring_dedup import op6
@@ -14,7 +16,7 @@ from .topk import SQL8, op8
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_id_files": op2, "op3_packing": op3, "op6_substring_dedup": op6, "op8_exact_topk": op8, "op10_main_text": op10}
+    return {"op2_id_files": op2, "op3_packing": op3, "op6_substring_dedup": op6, "op7_near_dedup": op7, "op8_exact_topk": op8, "op9_decontamination": op9, "op10_main_text": op10}
 
 
 def oracle_sql() -> dict[str, str]:
