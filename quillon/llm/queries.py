@@ -13,10 +13,11 @@ from .packing import op3
 from .site_style import op10
 from .substring_dedup import op6
 from .topk import SQL8, op8
+from .toxicity import op5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_id_files": op2, "op3_packing": op3, "op6_substring_dedup": op6, "op7_near_dedup": op7, "op8_exact_topk": op8, "op9_decontamination": op9, "op10_main_text": op10}
+    return {"op2_id_files": op2, "op3_packing": op3, "op5_toxicity": op5, "op6_substring_dedup": op6, "op7_near_dedup": op7, "op8_exact_topk": op8, "op9_decontamination": op9, "op10_main_text": op10}
 
 
 def oracle_sql() -> dict[str, str]:

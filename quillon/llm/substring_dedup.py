@@ -109,33 +109,10 @@ def intervals(starts: np.ndarray, width: int) -> np.ndarray:
     return np.stack([s[new], s[last] + width], 1)
 
 
-def _cut(width: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        buf, start, end, _, first = wh.words(frame["text"].tolist(), False)
-        raw = buf.tobytes()
-        for k, r in enumerate(frame.itertuples(index=False)):
-            a, b = int(first[k]), int(first[k + 1])
-            n, keep = b - a, np.ones(b - a, bool)
-            spans = np.array([[0, n]] if r.twin and n >= width else [], np.int64).reshape(-1, 2)
-            if r.starts is not None and not len(spans):
-                spans = intervals(np.asarray(r.starts, np.int64), width)
-            for x, y in spans:
-                keep[x:y] = False
-            s, e = start[a:b][keep], end[a:b][keep]
-            text = b" ".join([raw[i:j] for i, j in zip(s.tolist(), e.tolist())]).decode("utf-8", "surrogatepass")
-            rows.append((None if pd.isna(r.doc_id) else int(r.doc_id), n, n - int(keep.sum()), text, spans.tolist()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "intervals"]).astype({"doc_id": "Int64"})
-
-    return run
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text), intervals (of word positions) for every row of docs."""
-    spark = docs.sparkSession
-    s = Scratch(spark, "repeats")
-    docs = documents(docs).withColumn("row", F.xxhash64("text"))
-    scan = s.save(docs.mapInPandas(by_batch(_scan(width, seed)), "doc_id long, row long, n_words long, h1 long, h2 long, seeds array<long>"), "scan")
+def _marked(docs: DataFrame, s: Scratch, width: int, seed: int) -> DataFrame:
+    """docs with two more columns: __starts (of redundant windows), __twin (all words are an earlier document's)."""
+    texts = documents(docs).withColumn("row", F.xxhash64("text"))
+    scan = s.save(texts.mapInPandas(by_batch(_scan(width, seed)), "doc_id long, row long, n_words long, h1 long, h2 long, seeds array<long>"), "scan")
     # the smallest id stands for all texts of the same words: the others repeat its windows, all of them and no more
     same = scan.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     same = s.save(same.where("least <> most").select("h1", "h2", "n_words", "least"), "same")
@@ -143,16 +120,63 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     seeds = s.save(scan.join(twins, ["doc_id", "row"], "left_anti").select("doc_id", "row", F.explode("seeds").alias("m")), "seeds")
     common = s.save(seeds.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("m"), "common")
     lists = seeds.join(common, "m").groupBy("doc_id", "row").agg(F.collect_set("m").alias("shared"))
-    windows = docs.join(lists, ["doc_id", "row"]).mapInPandas(by_batch(_windows(width, seed)), "w long, doc_id long, row long, at int")
+    windows = texts.join(lists, ["doc_id", "row"]).mapInPandas(by_batch(_windows(width, seed)), "w long, doc_id long, row long, at int")
     windows = s.save(windows, "windows")
     first = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     first = s.save(first.where("least <> most").select("w", "least"), "first")
-    starts = windows.join(first, "w").where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias("starts"))
-    cut = docs.join(starts, ["doc_id", "row"], "left").join(twins.withColumn("twin", F.lit(True)), ["doc_id", "row"], "left")
-    out = cut.select("doc_id", "text", "starts", F.coalesce("twin", F.lit(False)).alias("twin")).mapInPandas(
-        by_batch(_cut(width)), "doc_id long, n_words long, n_removed long, kept string, intervals array<array<long>>"
-    )
-    return s.close(out)
+    starts = windows.join(first, "w").where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias("__starts"))
+    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__row")]
+    starts = starts.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
+    twins = twins.withColumnsRenamed({"doc_id": "__id", "row": "__row"}).withColumn("__twin", F.lit(True))
+    out = docs.select("*", *key).join(starts, ["__id", "__row"], "left").join(twins, ["__id", "__row"], "left").drop("__id", "__row")
+    return out.withColumn("__twin", F.coalesce("__twin", F.lit(False)))
+
+
+def _cut(frame: pd.DataFrame, width: int) -> list[tuple[int, int, str, list[list[int]]]]:
+    """(words, words removed, kept words, removal intervals) of each row."""
+    out = []
+    buf, start, end, first = wh.word_spans(frame["text"].tolist())
+    raw = buf.tobytes()
+    for k, (starts, twin) in enumerate(zip(frame["__starts"].tolist(), frame["__twin"].tolist())):
+        a, b = int(first[k]), int(first[k + 1])
+        n, keep = b - a, np.ones(b - a, bool)
+        spans = np.array([[0, n]] if twin and n >= width else [], np.int64).reshape(-1, 2)
+        if starts is not None and not len(spans):
+            spans = intervals(np.asarray(starts, np.int64), width)
+        for x, y in spans:
+            keep[x:y] = False
+        words = [raw[i:j] for i, j in zip(start[a:b][keep].tolist(), end[a:b][keep].tolist())]
+        out.append((n, n - int(keep.sum()), b" ".join(words).decode("utf-8", "surrogatepass"), spans.tolist()))
+    return out
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (text), intervals (of word positions) for every row of docs."""
+    s = Scratch(docs.sparkSession, "repeats")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_cut(frame, width), columns=["n_words", "n_removed", "kept", "intervals"])
+        out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
+        return out
+
+    kind = "doc_id long, n_words long, n_removed long, kept string, intervals array<array<long>>"
+    return s.close(_marked(documents(docs), s, width, seed).mapInPandas(by_batch(run), kind))
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """docs, all columns and rows, with the kept words as text (and n_chars, if there is one) where words were removed."""
+    s = Scratch(docs.sparkSession, "repeats")
+    columns = docs.columns
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = frame[columns].copy()
+        rows = _cut(frame, width)
+        out["text"] = [kept if removed else text for text, (_, removed, kept, _) in zip(frame["text"].tolist(), rows)]
+        if "n_chars" in columns:
+            out["n_chars"] = [len(kept) if removed else n for n, (_, removed, kept, _) in zip(frame["n_chars"].tolist(), rows)]
+        return out
+
+    return s.close(_marked(docs, s, width, seed).mapInPandas(by_batch(run), docs.schema))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
