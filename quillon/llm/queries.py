@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op9
 from .idstore import op2
 from .license_scan import SQL4, op4
+from .lm_score import op1
 from .near_dedup import op7
 from .packing import op3
 from .site_style import op10
@@ -18,7 +19,7 @@ from .toxicity import op5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_id_files": op2, "op3_packing": op3, "op4_license_scan": op4, "op5_toxicity": op5, "op6_substring_dedup": op6, "op7_near_dedup": op7, "op8_exact_topk": op8, "op9_decontamination": op9, "op10_main_text": op10}
+    return {"op1_lm_score": op1, "op2_id_files": op2, "op3_packing": op3, "op4_license_scan": op4, "op5_toxicity": op5, "op6_substring_dedup": op6, "op7_near_dedup": op7, "op8_exact_topk": op8, "op9_decontamination": op9, "op10_main_text": op10}
 
 
 def oracle_sql() -> dict[str, str]:
