@@ -69,12 +69,13 @@ def matmul_blocks(a: DataFrame, b: DataFrame, block: int = 64) -> DataFrame:
     def multiply(frames):
         for frame in frames:
             for r in frame.itertuples(index=False):
-                x, y = np.zeros((block, block)), np.zeros((block, block))
-                for m, entries in ((x, r.left), (y, r.right)):
+                x, y, there_x, there_y = (np.zeros((block, block)) for _ in range(4))
+                for m, there, entries in ((x, there_x, r.left), (y, there_y, r.right)):
                     for e in entries:
                         m[e["i"], e["j"]] += e["v"]
+                        there[e["i"], e["j"]] = 1
                 z = x @ y
-                i, j = np.nonzero((np.abs(x) > 0).any(1)[:, None] & (np.abs(y) > 0).any(0)[None, :])
+                i, j = np.nonzero(there_x @ there_y)
                 yield pd.DataFrame({"r": r.br * block + i, "c": r.bc * block + j, "v": z[i, j]})
 
     left = pack(a, "br", "bk").withColumnRenamed("entries", "left")

@@ -54,7 +54,7 @@ def all_matches(spark: SparkSession, path: str, pattern: str, names: list[str])
     """Numbers that each match of a pattern captures, in the file's order."""
     text = spark.read.text(path, wholetext=True)
     groups = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
-    return text.select(F.posexplode(groups).alias("n", "m")).select("n", *(F.col("m").getField(name).try_cast("double").alias(name) for name in names))
+    return text.select(F.posexplode(groups).alias("match", "m")).select("match", *(F.col("m").getField(name).try_cast("double").alias(name) for name in names))
 
 
 def final_values(lines: DataFrame, names: list[str], column: str = "value") -> DataFrame:
