@@ -10,10 +10,10 @@ from .decontaminate import op9
 from .idstore import op2
 from .license_scan import SQL4, op4
 from .lm_score import op1
-from .near_dedup import op7
+from .near_dedup import SQL7, op7
 from .packing import op3
 from .site_style import op10
-from .substring_dedup import op6
+from .substring_dedup import SQL6, op6
 from .topk import SQL8, op8
 from .toxicity import op5
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": SQL4, "op8_exact_topk": SQL8}
+    return {"op4_license_scan": SQL4, "op6_substring_dedup": SQL6, "op7_near_dedup": SQL7, "op8_exact_topk": SQL8}
