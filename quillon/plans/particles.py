@@ -405,3 +405,13 @@ def field_coupling(spark, d):
     cell = fields.select((F.col("i") + 5 * F.col("j") + 25 * F.col("k")).cast("int").alias("cell"), *(F.col(f"g{c}").alias(f"g{c}") for c in "xyz"), *(F.lit(0.0).alias(f"gl{c}") for c in "xyz"))
     p = S.lattice_particles(spark, 125, 5.0, 1.0).withColumn("cell", M.cell_id(5.0, 5))
     return T.cell_field_force(p, cell, 0.1, 0.01).agg(F.count("*").alias("n"), F.round(F.sum(F.abs("fx")), 6).alias("fx"))
+
+
+@register("juttner_fit")
+def juttner_fit(spark, d):
+    from ..operators.fits import fit_juttner
+
+    p = S.ellipsoid_particles(spark, 20_000, (1.0, 1.0, 1.0), 0.3, 0.5).select(F.sqrt(M.norm_squared("px", "py", "pz")).alias("v"))
+    bins = A.density_histogram(p, 0.0, 2.5, 50).select(((F.col("bin") + 0.5) * 0.05).alias("p"), "density")
+    _, t = fit_juttner(bins, 0.5)
+    return spark.createDataFrame([(round(t, 3),)], "temperature double")

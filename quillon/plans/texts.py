@@ -202,3 +202,21 @@ def summary_comparison(spark, d):
 def markdown_lines(spark, d):
     rows = ["# Title", "- **bold** and `code`", "| a | b |", "|---|---|", "[link](u)"]
     return K.markdown_to_latex(spark.createDataFrame(list(enumerate(rows)), "line int, text string"))
+
+
+@register("translate_with_cache", "SELECT doc_id, md5(upper(text)) AS hash FROM documents WHERE lang = 'en' AND regexp_matches(text, '[a-zA-Z]{3}') AND NOT contains(text, chr(10) || chr(10))")
+def translate_with_cache(spark, d):
+    from .translation import translate_documents
+
+    docs = table(spark, d, "documents").where("lang = 'en'").where(F.col("text").rlike("[a-zA-Z]{3}") & ~F.contains("text", F.lit("\n\n")))
+    cache = docs.where("doc_id % 2 = 0").select(F.md5("text").alias("hash"), F.upper("text").alias("value")).dropDuplicates(["hash"])
+    done, _ = translate_documents(docs, cache, lambda x: x.str.upper())
+    return done.select("doc_id", F.md5("text").alias("hash"))
+
+
+@register("pending_tasks", "SELECT o_orderkey AS name FROM orders WHERE o_orderstatus <> 'F' ORDER BY 1 LIMIT 5")
+def pending_tasks(spark, d):
+    from .translation import pending
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("FAILED").alias("status"))
+    return pending(o.select("name"), o, batch=5)

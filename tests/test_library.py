@@ -245,3 +245,35 @@ def test_groups_overlap(spark):
     df = frame(spark, [(1,), (2,)], "v int")
     out = filters.groups_by_predicate(df, {"all": F.lit(True), "two": F.col("v") == 2})
     assert sorted((r.v, r.group) for r in out.collect()) == [(1, "all"), (2, "all"), (2, "two")]
+
+
+def test_fits_recover_parameters(spark):
+    import numpy as np
+
+    from quillon.operators import fits
+
+    p = np.linspace(0.05, 3, 60)
+    bins = frame(spark, [(float(x), float(2 * x * x * np.exp(-(np.sqrt(x * x + 0.25) - 0.5) / 0.4))) for x in p], "p double, density double")
+    a, t = fits.fit_juttner(bins, 0.5)
+    assert a == pytest.approx(2, rel=1e-3) and t == pytest.approx(0.4, rel=1e-3)
+    line = frame(spark, [(float(e), float(np.exp(1 - e / 0.7))) for e in p] + [(9.0, 0.0)], "e double, density double")
+    assert fits.fit_log_boltzmann(line) == pytest.approx((1.0, 0.7), rel=1e-4)
+
+
+def test_translation_calls_only_for_misses(spark):
+    from quillon.plans import translation
+
+    docs = frame(spark, [(1, "Hello there\n\n% note\n\n\\begin{abstract} Some body \\end{abstract}"), (2, "Hello there\n\n\\begin{thebibliography}{9}\n\nStays here")], "doc_id long, text string")
+    cache = frame(spark, [("x", "y")], "hash string, value string")
+    out, whole = translation.translate_documents(docs, cache, lambda x: x.str.upper())
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[1] == "HELLO THERE\n\n% note\n\n\\begin{abstract} SOME BODY \\end{abstract}"
+    assert got[2] == "HELLO THERE\n\n\\begin{thebibliography}{9}\n\nStays here"
+    assert whole.count() == 3
+    again, _ = translation.translate_documents(docs, whole, lambda x: 1 / 0)
+    assert {r.doc_id: r.text for r in again.collect()} == got
+    status = frame(spark, [("a", "SUCCESS", 1), ("b", "FAILED", 1)], "name string, status string, at int")
+    tasks = frame(spark, [("a",), ("b",), ("c",)], "name string")
+    assert [r.name for r in translation.pending(tasks, status).collect()] == ["b", "c"]
+    new = translation.record(status, frame(spark, [("b", "SUCCESS", 2)], "name string, status string, at int"))
+    assert [r.name for r in translation.pending(tasks, new).collect()] == ["c"]
