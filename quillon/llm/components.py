@@ -23,11 +23,10 @@ def components(links: DataFrame, s: Scratch, name: str = "components") -> DataFr
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
         near = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        near = s.save(near, f"{name}-near{turn}")
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = s.save(near.join(jump, "label").select("node", "old", F.col("next").alias("label")), f"{name}-{turn + 1}")
         changed = moved.where("old <> label").limit(1).count()
-        s.drop(f"{name}-{turn}", f"{name}-near{turn}")
+        s.drop(f"{name}-{turn}")
         labels, turn = moved.select("node", "label"), turn + 1
         if not changed:
             s.drop(f"{name}-links")
