@@ -204,13 +204,13 @@ def markdown_lines(spark, d):
     return K.markdown_to_latex(spark.createDataFrame(list(enumerate(rows)), "line int, text string"))
 
 
-@register("translate_with_cache", "SELECT doc_id, md5(upper(text)) AS hash FROM documents WHERE lang = 'en' AND regexp_matches(text, '[a-zA-Z]{3}') AND NOT contains(text, chr(10) || chr(10))")
+@register("translate_with_cache", "SELECT doc_id, md5('T:' || text) AS hash FROM documents WHERE lang = 'en' AND regexp_matches(text, '[a-zA-Z]{3}') AND NOT contains(text, chr(10) || chr(10))")
 def translate_with_cache(spark, d):
     from .translation import translate_documents
 
     docs = table(spark, d, "documents").where("lang = 'en'").where(F.col("text").rlike("[a-zA-Z]{3}") & ~F.contains("text", F.lit("\n\n")))
-    cache = docs.where("doc_id % 2 = 0").select(F.md5("text").alias("hash"), F.upper("text").alias("value")).dropDuplicates(["hash"])
-    done, _ = translate_documents(docs, cache, lambda x: x.str.upper())
+    cache = docs.where("doc_id % 2 = 0").select(F.md5("text").alias("hash"), F.concat(F.lit("T:"), F.col("text")).alias("value")).dropDuplicates(["hash"])
+    done, _ = translate_documents(docs, cache, lambda x: "T:" + x)
     return done.select("doc_id", F.md5("text").alias("hash"))
 
 
