@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        small_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="quillon-"))
@@ -60,6 +62,11 @@ class Scratch:
             _delete(self.spark, self.path(name))
             self.names.discard(name)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose result is written: it does so once their plans are garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self, keep: DataFrame | None = None, name: str = "result") -> DataFrame | None:
         """Write ``keep``, drop all else, and return ``keep`` as read again."""
         out = self.save(keep, name) if keep is not None else None
@@ -74,17 +81,85 @@ class Scratch:
             pass
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; else pools of Arrow and the C library keep it for good."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Bits of the filter that goes before the use of wide rows.
+FILTER_BITS = 1 << 23
+
+
+def marked_rows(rows: DataFrame, column: str, wanted: DataFrame, out: str) -> DataFrame:
+    """rows with a flag: true wherever the column is among the wanted ids (a single column), and on a few other rows.
+
+    A bit for each wanted id's hash, FILTER_BITS in all whatever their number,
+    goes to all tasks (two megabytes at most); the rows are not shuffled.  With
+    ever more wanted ids more other rows are flagged; exact joins follow
+    wherever that matters.
+    """
+
+    def place(c: str):
+        h = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        return F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({c}), {FILTER_BITS}), 64) as int))")
+
+    (word, bit), (own_word, own_bit) = place(wanted.columns[0]), place(column)
+    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    joined = rows.withColumn("__word", own_word).join(F.broadcast(bits), "__word", "left")
+    return joined.withColumn(out, F.coalesce(F.col("__bits").bitwiseAND(own_bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
+def wanted_rows(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose column is among the wanted ids, and a few others (see marked_rows)."""
+    return marked_rows(rows, column, wanted, "__maybe").where("__maybe").drop("__maybe")
+
+
+#: Rows of an Arrow batch: with texts of some kilobytes, the default of 10,000 is a hundred megabytes in the JVM and as much in Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has texts travel to Python workers in batches of BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def by_batch(fn: Callable[[pd.DataFrame], pd.DataFrame | None], limit: int = 4 << 20, column: str = "text") -> Callable:
     """For mapInPandas: fn over pieces of about ``limit`` characters of ``column``; a longer text is a piece of its own."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .wordhash import batches
 
+        held: list[pd.DataFrame] = []
+        size = 0
         for frame in frames:
-            for lo, hi in batches(frame[column].tolist(), limit):
-                out = fn(frame.iloc[lo:hi])
-                if out is not None and len(out):
-                    yield out
+            texts = frame[column].tolist()
+            for lo, hi in batches(texts, limit):
+                n = sum(len(t) for t in texts[lo:hi] if t)
+                if held and size + n > limit:
+                    yield pd.concat(held) if len(held) > 1 else held[0]
+                    held, size = [], 0
+                held.append(frame.iloc[lo:hi])
+                size += n
+        if held:
+            yield pd.concat(held) if len(held) > 1 else held[0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in pieces(frames):
+            out = fn(piece)
+            if out is not None and len(out):
+                yield out
+            del out, piece
+            trim()
 
     return run
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as wh
-from .common import Scratch, by_batch, documents, groups
+from .common import Scratch, by_batch, documents, groups, wanted_rows
 from .components import components
 
 HASHES, BINS = 64, 1024
@@ -256,28 +256,6 @@ def _crowds(rows: DataFrame, s: Scratch) -> DataFrame:
     return labels.join(size, "label").select(F.xxhash64(F.lit("crowd"), "label").alias("node"), F.col("node").alias("rep"), "size")
 
 
-#: Bits of the filter that goes before the use of wide rows.
-FILTER_BITS = 1 << 23
-
-
-def _wanted(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose column is among the wanted ids (a single column), and a few others; nothing is shuffled but bits.
-
-    A bit for each wanted id's hash, FILTER_BITS in all whatever their number,
-    goes to all tasks (two megabytes at most).  With ever more wanted ids more
-    other rows pass; exact joins follow wherever that matters.
-    """
-
-    def place(c: str):
-        h = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-        return F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({c}), {FILTER_BITS}), 64) as int))")
-
-    (word, bit), (own_word, own_bit) = place(wanted.columns[0]), place(column)
-    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    marked = rows.withColumn("__word", own_word).join(F.broadcast(bits), "__word")
-    return marked.where(F.col("__bits").bitwiseAND(own_bit) != 0).drop("__word", "__bits")
-
-
 def near_duplicates(
     docs: DataFrame, width: int = 5, per_cent: int = 80, trees: int = 12, start: int = 3, depth: int = 5, leaf: int = 256, most: int = 4
 ) -> DataFrame:
@@ -311,7 +289,7 @@ def near_duplicates(
             leaves = leaves.unionByName(_crowds(rows.join(large, "node"), s))
             break
         large = s.save(rows.join(large, "node"), f"large{level}")
-        deeper = large.join(_wanted(classes.select("rep", "sig"), "rep", large.select("rep")), "rep")
+        deeper = large.join(wanted_rows(classes.select("rep", "sig"), "rep", large.select("rep")), "rep")
         level += 1
         rows = s.save(deeper.mapInPandas(_branch(threshold), "node long, rep long"), f"level{level}")
         s.drop("level" if level == start + 1 else f"level{level - 1}")
@@ -324,8 +302,8 @@ def near_duplicates(
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     members = s.save(members.select(key.alias("key"), "rep", side.alias("side")), "places")
     wanted = s.save(members.select("rep").distinct(), "wanted")
-    members = s.save(members.join(_wanted(classes.select("rep", "n", "sketch"), "rep", wanted), "rep"), "members")
-    texts = s.save(_wanted(docs, "doc_id", wanted), "texts")
+    members = s.save(members.join(wanted_rows(classes.select("rep", "n", "sketch"), "rep", wanted), "rep"), "members")
+    texts = s.save(wanted_rows(docs, "doc_id", wanted), "texts")
 
     labels, done, work, left = None, None, members, None
     for turn, named in enumerate((most, 8 * most, None)):

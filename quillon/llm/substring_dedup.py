@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import Scratch, by_batch, documents
+from .common import Scratch, by_batch, documents, marked_rows, wanted_rows
 
 WIDTH, SEED = 50, 8
 
@@ -120,15 +120,20 @@ def _marked(docs: DataFrame, s: Scratch, width: int, seed: int) -> DataFrame:
     seeds = s.save(scan.join(twins, ["doc_id", "row"], "left_anti").select("doc_id", "row", F.explode("seeds").alias("m")), "seeds")
     common = s.save(seeds.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("m"), "common")
     lists = seeds.join(common, "m").groupBy("doc_id", "row").agg(F.collect_set("m").alias("shared"))
-    windows = texts.join(lists, ["doc_id", "row"]).mapInPandas(by_batch(_windows(width, seed)), "w long, doc_id long, row long, at int")
+    lists = s.save(lists, "lists")
+    windows = wanted_rows(texts, "doc_id", lists.select("doc_id")).join(lists, ["doc_id", "row"]).mapInPandas(by_batch(_windows(width, seed)), "w long, doc_id long, row long, at int")
     windows = s.save(windows, "windows")
     first = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     first = s.save(first.where("least <> most").select("w", "least"), "first")
     starts = windows.join(first, "w").where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias("__starts"))
     key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__row")]
-    starts = starts.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
+    starts = s.save(starts.withColumnsRenamed({"doc_id": "__id", "row": "__row"}), "starts")
     twins = twins.withColumnsRenamed({"doc_id": "__id", "row": "__row"}).withColumn("__twin", F.lit(True))
-    out = docs.select("*", *key).join(starts, ["__id", "__row"], "left").join(twins, ["__id", "__row"], "left").drop("__id", "__row")
+    # only texts that may lose words are dealt out by id to meet their windows
+    rows = marked_rows(docs.select("*", *key), "__id", starts.select("__id").unionByName(twins.select("__id")), "__maybe")
+    met = rows.where("__maybe").join(starts, ["__id", "__row"], "left").join(twins, ["__id", "__row"], "left")
+    whole = rows.where(~F.col("__maybe")).withColumns({"__starts": F.lit(None).cast("array<int>"), "__twin": F.lit(False)})
+    out = met.unionByName(whole).drop("__id", "__row", "__maybe")
     return out.withColumn("__twin", F.coalesce("__twin", F.lit(False)))
 
 
