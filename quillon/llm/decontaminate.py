@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import by_batch, documents
+from .common import by_batch, documents, small_batches
 
 LEAST, COVERAGE, BLOCK_WORDS = 5, 0.6, 1_000_000
 
@@ -160,6 +160,7 @@ def _report(ids: list[int | None], seeds: Seeds, coverage: float):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for every document and item with coverage of at least ``coverage``; tiles: (item word, document word, length)."""
+    small_batches(docs.sparkSession)
     docs, out = documents(docs), None
     for ids, seeds in benchmark_blocks(benchmark, least, block_words):
         part = docs.mapInPandas(by_batch(_report(ids, seeds, coverage)), KIND)
@@ -177,6 +178,7 @@ def _clean(seeds: Seeds, coverage: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns as they are, that cover no benchmark item."""
+    small_batches(docs.sparkSession)
     for _, seeds in benchmark_blocks(benchmark, least, block_words):
         docs = docs.mapInPandas(by_batch(_clean(seeds, coverage)), docs.schema)
     return docs

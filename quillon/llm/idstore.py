@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as wh
-from .common import Scratch, documents
+from .common import Scratch, documents, trim
 from .tokens import default_vocabulary, encode_frame, encoder
 
 MAX_LEVELS = 40
@@ -164,6 +164,7 @@ def _write(vocabulary: str, end_id: int | None, by_word: bool, limit: int):
                 row = shard_row(keys, encode_frame(piece, vocabulary, end_id, by_word), width)
                 yield pd.DataFrame([{"part": part, "seq": seq, "rel_start": before, **row}])
                 seq, before = seq + 1, before + row["n_ids"]
+                trim()
 
     return run
 

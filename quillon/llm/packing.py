@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as wh
-from .common import Scratch, documents
+from .common import Scratch, documents, trim
 from .tokens import default_vocabulary, encode_frame
 
 WINDOW = 2048
@@ -160,6 +160,7 @@ def _tails(vocabulary: str, end_id: int, window: int, by_word: bool):
                     row, full = row + 1, full + whole
                     seen[tail] += 1
                 yield pd.DataFrame(rows, columns=["part", "row", "doc_id", "n", "full_before", "crcs", "tail", "tail_rank", "ids"]).astype({"doc_id": "Int64"})
+                trim()
 
     return run
 

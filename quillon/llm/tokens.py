@@ -18,7 +18,9 @@ import pandas as pd
 from . import wordhash as wh
 
 #: Pieces remembered by a Python worker; beyond that the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
+#: Pieces encoded at a time: what the library returns for a piece takes a kilobyte or two.
+AT_ONCE = 2048
 #: Marks that may be cut off a word's end: an apostrophe or an angle bracket could belong to a longer unit.
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<>|"]] = True
@@ -65,9 +67,12 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for ids in new for i in ids), np.uint32, int(size.sum()))
+        sizes, flats = [], []
+        for a in range(0, len(texts), AT_ONCE):
+            new = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, new), np.int64, len(new)))
+            flats.append(np.fromiter((i for ids in new for i in ids), np.uint32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         begin = len(self.ids) + np.cumsum(size) - size
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")

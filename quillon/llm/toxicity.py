@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import by_batch, crc_mod, documents
+from .common import by_batch, crc_mod, documents, small_batches
 from .tokens import _MARK
 
 PREFIXES = (3, 4, 5)
@@ -335,6 +335,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
         scores, spans = score_texts(frame["text"].tolist(), model)
         return pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": scores, "spans": spans})
 
+    small_batches(docs.sparkSession)
     return documents(docs).mapInPandas(by_batch(run), "doc_id long, score double, spans array<array<int>>")
 
 
@@ -344,6 +345,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return frame[score_texts(frame["text"].tolist(), model)[0] < limit]
 
+    small_batches(docs.sparkSession)
     return docs.mapInPandas(by_batch(run), docs.schema)
 
 
