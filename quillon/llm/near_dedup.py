@@ -142,6 +142,31 @@ def _branch(threshold: float):
 _PAIRS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+class Best:
+    """The ``most`` likeliest partners of each of m documents, however many pairs are offered."""
+
+    def __init__(self, m: int, most: int):
+        self.est, self.other, self.offered = np.full((m, most), -1), np.full((m, most), -1), 0
+
+    def add(self, i: int, y: np.ndarray, est: np.ndarray) -> None:
+        """Pairs of i with the documents y."""
+        most = self.est.shape[1]
+        self.offered += len(y)
+        e, o = np.concatenate([self.est[i], est]), np.concatenate([self.other[i], y])
+        order = np.argsort(-e, kind="stable")[:most]
+        self.est[i], self.other[i] = e[order], o[order]
+        k = self.est[y].argmin(1)
+        better = est > self.est[y, k]
+        self.est[y[better], k[better]], self.other[y[better], k[better]] = est[better], i
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """(x, y, est) that are among the best of either document, each once; whether any was left out."""
+        x, k = np.nonzero(self.other >= 0)
+        y, est = self.other[x, k], self.est[x, k]
+        _, once = np.unique(np.minimum(x, y) * len(self.est) + np.maximum(x, y), return_index=True)
+        return x[once], y[once], est[once], len(once) < self.offered
+
+
 def _compare(threshold: float, most: int | None):
     """Candidates (a, b, est, key) of each leaf or pair of blocks: every document's ``most`` likeliest partners of other components.
 
@@ -176,21 +201,25 @@ def _compare(threshold: float, most: int | None):
             left_out = False
             if m <= 48:
                 x, y, est = likely(sk, n, label, side, *_PAIRS.setdefault(m, np.triu_indices(m, 1)))
+                if most is not None and m > most + 1:
+                    best = Best(m, most)
+                    for i in np.unique(x).tolist():
+                        best.add(i, y[x == i], est[x == i])
+                    x, y, est, left_out = best.pairs()
             else:
-                parts = []
+                best, parts = Best(m, most or 1), []
                 for i in range(m - 1):
-                    y = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-                    if len(y):
-                        parts.append(likely(sk, n, label, side, np.full(len(y), i), y))
-                x, y, est = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, int),) * 3
-            if most is not None and len(x) and m > most + 1:
-                # a pair stays if it is among the best of either of its documents
-                ends, other, e, pair = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([est, est]), np.tile(np.arange(len(x)), 2)
-                order = np.lexsort((rep[other], -e, ends))
-                ends, pair = ends[order], pair[order]
-                keep = np.unique(pair[np.arange(len(ends)) - np.searchsorted(ends, ends, "left") < most])
-                left_out = len(keep) < len(x)
-                x, y, est = x[keep], y[keep], est[keep]
+                    other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                    if len(other):
+                        part = likely(sk, n, label, side, np.full(len(other), i), other)
+                        if most is None:
+                            parts.append(part)
+                        else:
+                            best.add(i, *part[1:])
+                if most is None:
+                    x, y, est = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, int),) * 3
+                else:
+                    x, y, est, left_out = best.pairs()
             if len(x):
                 a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
                 found.append((a, b, est, np.full(len(a), g["key"].iloc[0]), np.full(len(a), left_out)))
