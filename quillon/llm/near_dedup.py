@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as wh
-from .common import Scratch, by_batch, documents, groups, wanted_rows
+from .common import Scratch, by_batch, documents, groups, marked_rows, wanted_rows
 from .components import components
 
 HASHES, BINS = 64, 1024
@@ -370,7 +370,10 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, that their component keeps."""
     gone = near_duplicates(docs, width, per_cent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    # only rows that may go are dealt out by id
+    rows = marked_rows(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone, "__maybe")
+    asked = rows.where("__maybe").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return rows.where(~F.col("__maybe")).unionByName(asked).select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
