@@ -20,9 +20,8 @@ return to the blocks that need them, so no task ever holds the vocabulary.
 Weights: gated recurrent units, truncated back-propagation through time in numpy
 with states carried from window to window.  A warm start on a bounded number of
 blocks (``WARM_BLOCKS``) is followed by training in every partition of the
-corpus, on the documents that a hash chooses (``SHARE`` of them, all of their
-words), and the partitions' weights are averaged, weighted by their tokens, in
-a tree.  Scoring carries the state through the whole document.
+corpus, on all words of all documents that aren't held out, and the partitions'
+weights are averaged, weighted by their tokens, in a tree.  Scoring carries the state through the whole document.
 
 Defined results: null and empty texts have one token, the end; a row without
 doc_id is not held out; repeated rows count and are scored each; without any
@@ -48,7 +47,7 @@ from .tokens import _MARK
 HEAD, SLOTS, FORMS, HIDDEN = 1024, 32, 24, 24
 #: Least counts of the tail's magnitudes.
 BINS = (1, 2, 4, 16, 128)
-BLOCK, WARM_BLOCKS, SHARE, WARM_UPDATES = 10 << 20, 3, 8, 240
+BLOCK, WARM_BLOCKS, SHARE, WARM_UPDATES = 10 << 20, 3, 1, 240
 GROUPS = HEAD // SLOTS
 TAIL = len(BINS) * FORMS
 CLASSES = GROUPS + TAIL + 1
@@ -202,10 +201,10 @@ def _symbols(v: Vocabulary, share: int):
         chosen = ~held & (np.array([zlib.crc32(f"{d}-train".encode()) % share for d in docs]) == 0)
         row = {
             "block": r.block, "docs": docs, "held": held.tolist(), "n_tokens": (size + 1).tolist(), "n_known": sums((c > 0).astype(np.int64)),
-            "base": sums(base), "inside": sums(inside), "taught_sizes": (size + 1)[chosen].tolist(),
+            "base": sums(base), "inside": sums(inside), "chosen": chosen.tolist(), "lower": np.packbits((taught != symbol)[word]).tobytes(),
         }
         trim()
-        row |= dict(zip(("s0", "s1"), planes(symbol[word], 2))) | dict(zip(("t0", "t1"), planes(taught[word[np.repeat(chosen, size + 1)]], 2)))
+        row |= dict(zip(("s0", "s1"), planes(symbol[word], 2)))
         return pd.DataFrame([row])
 
     return run
@@ -213,7 +212,7 @@ def _symbols(v: Vocabulary, share: int):
 
 CODED = (
     "block long, docs array<long>, held array<boolean>, n_tokens array<int>, n_known array<long>, base array<double>, inside array<double>, "
-    "taught_sizes array<int>, s0 binary, s1 binary, t0 binary, t1 binary"
+    "chosen array<boolean>, lower binary, s0 binary, s1 binary"
 )
 
 
@@ -452,8 +451,15 @@ class Trainer:
         self.net.flat += self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
 
 
+TAUGHT = ("n_tokens", "chosen", "lower", "s0", "s1")
+
+
 def _taught(r) -> tuple[np.ndarray, np.ndarray]:
-    return unplane([r.t0, r.t1]), np.asarray(r.taught_sizes, np.int64)
+    """Symbols and sizes of a block's chosen documents; where a word without the occurrence at hand has another symbol, it is that of the next lower magnitude."""
+    symbol, sizes, chosen = unplane([r.s0, r.s1]), np.asarray(r.n_tokens, np.int64), np.asarray(r.chosen, bool)
+    lower = np.unpackbits(np.frombuffer(r.lower, np.uint8), count=len(symbol)).astype(bool)
+    less = np.where(symbol - FORMS < HEAD, UNKNOWN, symbol - FORMS)
+    return np.where(lower, less, symbol)[np.repeat(chosen, sizes)], sizes[chosen]
 
 
 def _train_part(start: np.ndarray, missing: tuple[np.ndarray, np.ndarray], rate: float):
@@ -485,14 +491,14 @@ def fit(coded: DataFrame, v: Vocabulary, s: Scratch) -> Network:
     net = Network.fresh(v)
     trainer = Trainer(net)
     first = [r.block for r in coded.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS).collect()]
-    warm = coded.where(F.col("block").isin(first)).select("block", "t0", "t1", "taught_sizes").orderBy("block").collect()
+    warm = coded.where(F.col("block").isin(first)).select("block", *TAUGHT).orderBy("block").collect()
     for _ in range(6):  # small corpora are gone through again
         for r in warm:
             trainer.train(*_taught(r), updates=WARM_UPDATES)
         if trainer.t >= WARM_UPDATES:
             break
     kind = "tokens long, weights binary"
-    parts = coded.select("t0", "t1", "taught_sizes").mapInPandas(_train_part(net.flat, (net.missing_classes, net.missing_words), trainer.rate / 4), kind)
+    parts = coded.select(*TAUGHT).mapInPandas(_train_part(net.flat, (net.missing_classes, net.missing_words), trainer.rate / 4), kind)
     parts = s.save(parts, "weights")
     n = parts.count()
     if n > 64:  # sums of sums

@@ -382,3 +382,22 @@ def test_licence_scan_of_odd_rows(spark):
     assert got == [(1, 1, "MIT", 1.0), (4, 0, "MIT", 1.0), (4, 0, "MIT", 1.0)]
     assert license_scan.scan(docs.limit(0)).count() == 0
     assert "Python" not in license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_documents_that_are_not_held_out_are_trained_on(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and again word{i % 3} w{i}") for i in range(60)], "doc_id long, text string")
+    seen, fit = [], lm_score.fit
+
+    def watched(coded, v, s):
+        for r in coded.collect():
+            symbols, sizes = lm_score._taught(r)
+            assert len(symbols) == sizes.sum()
+            seen.extend(sizes.tolist())
+            known = np.asarray(lm_score.unplane([r.s0, r.s1]))[np.repeat(~np.asarray(r.held), r.n_tokens)]
+            # a word that occurs once teaches the unknown; words of the head stay
+            assert (symbols[known < lm_score.HEAD] == known[known < lm_score.HEAD]).all() and (symbols <= lm_score.UNKNOWN).all()
+        return fit(coded, v, s)
+
+    monkeypatch.setattr(lm_score, "fit", watched)
+    got = lm_score.log_likelihood(docs).collect()
+    assert len(seen) == sum(not r.held_out for r in got) and sum(seen) == sum(r.n_tokens for r in got if not r.held_out)
