@@ -38,15 +38,15 @@ from .common import Scratch, by_batch
 
 # Element names of the HTML standard, by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe noembed noframes xmp template textarea title svg math object".split())
-NEVER = RAW | frozenset("head nav footer aside form button select option datalist dialog menu audio video canvas map figcaption label fieldset legend".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript iframe noembed noframes xmp template textarea title svg".split())
+NEVER = RAW | frozenset("head nav footer aside form button select option datalist dialog menu audio video canvas map label fieldset legend".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
 CLOSES_P = frozenset(
-    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot select article section div main body html".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table tbody thead tfoot tr td th figure".split()) | INLINE
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table tbody thead tfoot tr td th figure figcaption object".split()) | INLINE
 #: Words of a class, an id or a role that name a part which isn't the article.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay nav navbar navigation menu breadcrumb "
@@ -58,7 +58,17 @@ PARTS = frozenset(
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
-_NAMED = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+#: Class tokens that set a container apart within the article too.
+APART = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion popup modal nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar widget cookie cookies comment comments comment-list replies disqus share share-buttons sharing social related newsletter subscribe "
+    "subscription signup pagination pager".split()
+)
+#: Roles that say the same as nav and dialog.
+ROLES = frozenset("navigation search dialog alertdialog menu".split())
+NAMING = frozenset("class id role hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -114,19 +124,29 @@ def walk(page: str):
                     break
                 if stack[i].tag in SCOPE:
                     break
-        name, words, hidden, role = "", set(), False, ""
+        name, words, tokens, hidden, role = "", set(), set(), False, ""
         if attrs.strip():
-            for k, a, b, c in _NAMED.findall(attrs):
+            seen = set()
+            for k, a, b, c in _ATTRIBUTE.findall(attrs):
                 value, k = (a or b or c).lower(), k.lower()
+                if k not in NAMING or k in seen:  # of repeated attributes the first counts
+                    continue
+                seen.add(k)
                 hidden |= k == "hidden"
+                if k == "hidden":
+                    continue
                 role = value if k == "role" else role
-                name += f".{value}" if k != "hidden" else ""
+                name += f".{value}"
                 words.update(_WORDS.findall(value))
+                if k == "class":
+                    tokens.update(value.split())
         up = stack[-1] if stack else None
         style = tag + name
         main = tag in ("article", "main") or role in ("article", "main")
         inside = main or bool(up and up.main)
-        out = bool(up and up.out) or tag in NEVER or hidden or bool(words & PARTS) and not tag == "body" or tag == "header" and not inside
+        # within the article a word of a name says little: a section may be on sharing, a heading on a discussion
+        apart = tag not in HEADINGS and bool(tokens & APART or role in ROLES) if inside else tag != "body" and bool(words & PARTS)
+        out = bool(up and up.out) or tag in NEVER or hidden or apart or tag == "header" and not inside
         judged = tag not in ("html", "body") and not main and (bool(name) or tag not in PLAIN)
         stack.append(Node(tag, style, out, inside, judged, xxhash.xxh64_intdigest(style, up.path & 0xFFFFFFFF if up else 0) >> 1))
 

@@ -359,6 +359,23 @@ def test_main_text_of_a_page():
     assert site_style.main_text("<div id=menu>m</div><div class=body>t</div><p>u", set()) == "t u"
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<h2 id='discussion'>Kept</h2>", "<section id='related-work'>Kept</section>", "<div class='post share-enabled'>Kept</div>", "<div style='overflow:hidden'>Kept</div>",
+        "<div title='the hidden valley'>Kept</div>", "<div data-id='ad'>Kept</div>", "<a href='/p?id=reply'>Kept</a>", "<a href=/p?id=reply>Kept</a>",
+        "<figure><figcaption>Kept</figcaption></figure>", "<math><mi>Ke</mi><mo>pt</mo></math>", "<object>Kept</object>",
+    ],
+)
+def test_main_text_keeps_what_only_looks_like_a_part(part):
+    assert site_style.main_text(page(f"<p>a</p>{part}<p>b</p>"), set()) in ("a Kept b", "aKept b", "a Keptb")
+
+
+@pytest.mark.parametrize("part", ["<div hidden>no</div>", "<div class='x ads'>no</div>", "<ul class=comments><li>no</ul>", "<div role=navigation>no</div>"])
+def test_main_text_drops_parts_within_an_article(part):
+    assert site_style.main_text(page(f"<p>a</p>{part}<p>b</p>"), set()) == "a b"
+
+
 def test_style_tree_drops_what_all_pages_of_a_site_share(spark):
     body = lambda i: f"<div class='c1'><p>story {i} is its own</p></div><div class='c2'>subscribe today</div>"
     rows_ = [(i, f"http://a.example/{i}", f"<html><body>{body(i)}</body></html>", 1) for i in range(20)]
