@@ -245,8 +245,8 @@ def extract(pages: DataFrame, min_pages: int = 8, least: float = 0.3, broadcast_
             by.setdefault(r.host, set()).add(r.path)
         return s.close(pages.mapInPandas(by_batch(_texts(by), column="html"), kind))
     lists = s.save(noise.groupBy("host").agg(F.collect_list("path").alias("noise")), "lists")
-    name = F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit("")))
-    joined = pages.withColumn("host", name).join(lists, "host", "left").select("page_id", "url", "html", "noise")
+    hosts = F.pandas_udf(lambda urls: pd.Series([host(u) for u in urls.tolist()], dtype=object), "string")  # as in the tree and in the other way
+    joined = pages.withColumn("host", hosts("url")).join(lists, "host", "left").select("page_id", "url", "html", "noise")
     return s.close(joined.mapInPandas(by_batch(_texts(None), column="html"), kind))
 
 

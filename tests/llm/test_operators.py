@@ -389,6 +389,16 @@ def test_style_tree_drops_what_all_pages_of_a_site_share(spark):
     assert site_style.extract(pages).count() == len(rows_) and site_style.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_does_not_depend_on_the_number_of_template_branches(spark):
+    urls = ["http://my_site.example/{}", "http://d.example/a b|{}", "http://E.example:80/{}?q=<{}>", "http://u:p@f.example/{}", "http://[::1]/{}", "//g.example/{}", "{}", None]
+    html = "<html><body><div class='c1'><p>story {} is its own</p></div><div class='c2'>subscribe today</div></body></html>"
+    rows_ = [(100 * k + i, u and u.format(i, i), html.format(i)) for k, u in enumerate(urls) for i in range(10)]
+    rows_ += [(10_000 + i, f"http://own.example/{i}", f"<html><body><div class='c2'>text {i} of its own</div></body></html>") for i in range(200)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    few, many = ({r.page_id: r.text for r in site_style.extract(pages, broadcast_rows=n).collect()} for n in (100_000, 0))
+    assert few == many and all(few[100 * k + i] == f"story {i} is its own" for k in range(len(urls)) for i in range(10))
+
+
 # --- 4
 def test_licence_scan_of_odd_rows(spark):
     docs = spark.createDataFrame(
