@@ -1,7 +1,8 @@
 """Main text of HTML pages by site style trees.
 
 The pages of a host are merged into a style tree: elements with the same path of
-tags, classes and ids are one node, and a node knows how many pages have it and
+tags, classes and ids (but for numbers that name a page, and for attributes of
+html and body) are one node, and a node knows how many pages have it and
 which contents it holds there.  A node's importance is the entropy of its
 contents, divided by the entropy that as many different contents would have
 (1: every page says something else; 0: every page says the same).  Branches of
@@ -69,6 +70,10 @@ APART = frozenset(
 ROLES = frozenset("navigation search dialog alertdialog menu".split())
 NAMING = frozenset("class id role hidden".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What names one page: numbers of posts and pages, long numbers, hexadecimal keys.
+_OF_A_PAGE = re.compile(
+    r"\b((?:post|page|node|nid|article|entry|item|story|topic|thread|product|id)-?_?(?:id)?[-_]?)\d+\b|\d{3,}|\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{8,}\b"
+)
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -79,6 +84,10 @@ def host(url: str | None) -> str:
         return ""
 
 
+def _common(m: re.Match) -> str:
+    return (m[1] or "") + "#"
+
+
 class Node:
     __slots__ = ("tag", "style", "out", "main", "judged", "path")
 
@@ -136,12 +145,12 @@ def walk(page: str):
                 if k == "hidden":
                     continue
                 role = value if k == "role" else role
-                name += f".{value}"
+                name += f".{_OF_A_PAGE.sub(_common, value)}" if any(map(str.isdigit, value)) else f".{value}"
                 words.update(_WORDS.findall(value))
                 if k == "class":
                     tokens.update(value.split())
         up = stack[-1] if stack else None
-        style = tag + name
+        style = tag if tag in ("html", "body") else tag + name
         main = tag in ("article", "main") or role in ("article", "main")
         inside = main or bool(up and up.main)
         # within the article a word of a name says little: a section may be on sharing, a heading on a discussion

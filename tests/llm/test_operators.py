@@ -399,6 +399,15 @@ def test_main_text_does_not_depend_on_the_number_of_template_branches(spark):
     assert few == many and all(few[100 * k + i] == f"story {i} is its own" for k in range(len(urls)) for i in range(10))
 
 
+def test_style_tree_sees_one_template_behind_values_of_a_page(spark):
+    page_ = "<html><body class='postid-{0} x'><div id='page-{0}'><div class='post-{0} k{1}'><p>story {0} is its own</p></div><div class='c2'>subscribe today</div></div></body></html>"
+    keys = [f"{i * 2654435761 % (1 << 32):08x}a1" for i in range(20)]
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page_.format(i, f" {k}")) for i, k in enumerate(keys)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_style.extract(pages).collect()} == {i: f"story {i} is its own" for i in range(20)}
+    # numbers that tell columns apart stay
+    assert len(site_style.nodes("<div class='col-4'>a</div><div class='col-8'>b</div>")) == 2
+
+
 # --- 4
 def test_licence_scan_of_odd_rows(spark):
     docs = spark.createDataFrame(
