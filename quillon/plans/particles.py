@@ -34,7 +34,7 @@ def edges(spark, d):
 )
 def bfs_levels(spark, d):
     e = edges(spark, d)
-    return G.bfs(e, G.default_source(e), 12)
+    return G.bfs(e, G.default_source(e))
 
 
 @register(

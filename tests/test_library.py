@@ -277,3 +277,16 @@ def test_translation_calls_only_for_misses(spark):
     assert [r.name for r in translation.pending(tasks, status).collect()] == ["b", "c"]
     new = translation.record(status, frame(spark, [("b", "SUCCESS", 2)], "name string, status string, at int"))
     assert [r.name for r in translation.pending(tasks, new).collect()] == ["c"]
+
+
+# --- registered queries
+
+
+def test_bfs_levels_reach_the_end_of_a_long_component(spark, tmp_path):
+    from quillon import registry
+
+    # parts and suppliers in a chain: p1 s1 p2 s2 ...
+    rows = [(i, s, 50) for i in range(1, 11) for s in (i - 1, i) if s]
+    frame(spark, rows, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.v: r.level for r in registry.queries()["bfs_levels"](spark, str(tmp_path)).collect()}
+    assert got == {2 * i: 2 * (i - 1) for i in range(1, 11)} | {2 * i + 1: 2 * i - 1 for i in range(1, 11)}
