@@ -10,11 +10,19 @@ at least limit / (2 - limit) and at most (2 - limit) / limit times its bigrams:
 segments outside all such ranges are dropped by their number of words before any
 bigram is made, and the others meet only templates of their range.
 
+A notice that is wrapped over lines, or a sentence of a longer line, is found by
+windows: runs of words, of any lines, that begin and end with a bigram of a
+template and have at most (2 - limit) / limit times its bigrams.  Only documents
+with enough of a template's bigrams have windows.  Of those that overlap, the one
+that shares most bigrams stays (ties: the higher Dice, the name, the place), and
+it is reported unless its line, or a line or text around it that states the same
+or a longer form of it, is reported itself.
+
 Templates are a fixed list in the plan itself; nothing is joined or shuffled.
 
 Defined results: null and empty texts have no segments; a segment is reported
 once, with its best template (ties: the name that comes first); repeated rows
-are reported each; line is the number of the line from 0, -1 for a whole text.
+are reported each; line is the number of the line from 0 (of a window, its first), -1 for a whole text.
 """
 
 from __future__ import annotations
@@ -122,10 +130,85 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
     )
     found = found.select("doc_id", "line", "n", F.explode(F.array(best)).alias("b"))
     dice = F.col("b.shared") * 2.0 / (F.col("n") + F.col("b.m"))
-    return found.select(
+    segments = found.select(
         "doc_id", "line", "b.license", F.col("b.shared").alias("shared"), F.col("n").alias("segment_bigrams"), F.col("b.m").alias("template_bigrams"),
         dice.alias("dice"),
     )
+    return segments.unionByName(_windows(docs, known, bounds, top))
+
+
+def _among(p: list[str]):
+    return lambda h: h["p"].isin(p)
+
+
+def _windows(docs: DataFrame, known: dict[str, list[str]], bounds: dict[str, tuple[int, int]], top: Fraction) -> DataFrame:
+    """Rows of the notices that are neither lines nor whole texts."""
+    every = sorted({p for pairs in known.values() for p in pairs})
+    firsts = sorted({p.split(" ")[0] for p in every})
+    least = min(low for low, _ in bounds.values())
+    enough = lambda shared, n, m: F.lit(2 * top.denominator) * shared >= F.lit(top.numerator) * (n + F.lit(m))
+    found = documents(docs).where("text is not null").select("doc_id", F.explode(F.array(F.transform(F.split("text", "\n"), _words))).alias("lines"))
+    found = found.select("doc_id", "lines", F.explode(F.array(F.flatten("lines"))).alias("w"))
+    starts = F.filter(F.transform("w", lambda x, i: F.when(x.isin(firsts), i)), F.isnotnull)
+    found = found.select("doc_id", "lines", "w", F.explode(F.array(starts)).alias("at")).where(F.size("at") >= least)
+    hits = F.transform("at", lambda i: F.struct(i.alias("i"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("p")))
+    found = found.select("doc_id", "lines", "w", F.explode(F.array(F.filter(hits, lambda h: h["p"].isin(every)))).alias("hits")).where(F.size("hits") >= least)
+    # of each template its hits, where there are enough different ones
+    own = []
+    for name, p in known.items():
+        low, high = bounds[name]
+        mine = F.filter("hits", _among(p))
+        own.append(F.struct(F.lit(name).alias("license"), F.lit(len(p)).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, p)).alias("q"), mine.alias("hits")))
+    own = F.filter(F.array(*own), lambda t: F.size(F.array_distinct(F.transform(t["hits"], lambda h: h["p"]))) >= t["low"])
+    found = found.select("doc_id", "lines", "w", F.explode(F.array(own)).alias("own")).where(F.size("own") > 0)
+
+    def best(t: Column, start: Column) -> Column:
+        """The windows from one start on; the last is the best."""
+        ends = F.filter(t["hits"], lambda h: (h["i"] >= start) & (h["i"] < start + t["high"]))
+        pairs = F.transform(ends, lambda h: F.struct(h["i"].alias("end"), _bigrams(F.slice(F.col("w"), start + 1, h["i"] - start + 2)).alias("p")))
+        counted = F.transform(pairs, lambda x: F.struct(F.size(F.array_intersect(x["p"], t["q"])).alias("shared"), F.size(x["p"]).alias("n"), x["end"].alias("end")))
+        fit = F.filter(counted, lambda x: (x["n"] >= t["low"]) & (F.lit(2 * top.denominator) * x["shared"] >= F.lit(top.numerator) * (x["n"] + t["m"])))
+        rows = F.transform(
+            fit, lambda x: F.struct(
+                (-x["shared"] * 2.0 / (x["n"] + t["m"])).alias("less"), (-x["shared"]).alias("fewer"), x["end"].alias("end"), x["n"].alias("n"), t["m"].alias("m"),
+                t["license"].alias("license"), start.alias("start"),
+            )
+        )
+        return F.array_min(rows)
+
+    each = F.flatten(F.transform("own", lambda t: F.filter(F.transform(t["hits"], lambda h: best(t, h["i"])), F.isnotnull)))
+    order = F.array_sort(
+        F.transform(
+            each, lambda x: F.struct(x["fewer"].alias("fewer"), x["less"].alias("less"), x["license"].alias("license"), x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["m"].alias("m"))
+        )
+    )
+    found = found.select("doc_id", "lines", "w", F.explode(F.array(order)).alias("all")).where(F.size("all") > 0)
+    # bigrams start to end are words start to end + 1
+    apart = lambda x, y: (x["start"] > y["end"] + 1) | (y["start"] > x["end"] + 1)
+    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda a, x: F.when(F.forall(a, lambda y: apart(x, y)), F.concat(a, F.array(x))).otherwise(a))
+    # what the segments around report
+    names = list(known)
+
+    def fits(p: Column) -> Column:
+        one = [F.when(F.size(p).between(*bounds[t]) & enough(F.size(F.array_intersect(p, F.array(*map(F.lit, known[t])))), F.size(p), len(known[t])), F.lit(t)) for t in names]
+        return F.filter(F.array(*one), F.isnotnull)
+
+    line_of = F.flatten(F.transform("lines", lambda x, i: F.transform(x, lambda _: i)))
+    found = found.select("doc_id", "lines", "w", line_of.alias("line_of"), F.explode(kept).alias("x"))
+    found = found.select("doc_id", "lines", "w", "x", F.get("line_of", F.col("x.start")).alias("line"), F.get("line_of", F.col("x.end") + 1).alias("last"))
+    around = F.transform(F.sequence("line", "last"), lambda k: _bigrams(F.get("lines", k)))
+    whole = F.when(F.size("lines") > 1, F.array(_bigrams(F.col("w")))).otherwise(F.array().cast("array<array<string>>"))
+    found = found.select("doc_id", "x", "line", "last", F.explode(F.array(F.struct(F.transform(around, fits).alias("lines"), F.flatten(F.transform(whole, fits)).alias("whole")))).alias("said"))
+    longer = F.lit(None).cast("array<string>")
+    for t in names:
+        longer = F.when(F.col("x.license") == t, F.array(*[F.lit(u) for u in names if set(known[t]) <= set(known[u])])).otherwise(longer)
+    same = F.arrays_overlap(longer, F.concat(F.flatten("said.lines"), F.col("said.whole")))
+    inside = (F.col("line") == F.col("last")) & (F.size(F.flatten("said.lines")) > 0)
+    shared = -F.col("x.fewer")
+    return found.where(~same & ~inside).select(
+        "doc_id", "line", "x.license", shared.alias("shared"), F.col("x.n").alias("segment_bigrams"), F.col("x.m").alias("template_bigrams"),
+        (shared * 2.0 / (F.col("x.n") + F.col("x.m"))).alias("dice"),
+    )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

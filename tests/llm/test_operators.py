@@ -437,3 +437,21 @@ def test_all_documents_that_are_not_held_out_are_trained_on(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "fit", watched)
     got = lm_score.log_likelihood(docs).collect()
     assert len(seen) == sum(not r.held_out for r in got) and sum(seen) == sum(r.n_tokens for r in got if not r.held_out)
+
+
+def test_licenses_are_found_in_wrapped_notices_and_within_lines(spark):
+    def wrapped(name, n=9):
+        w = license_scan.TEMPLATES[name].split(" ")
+        return "\n".join(" * " + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    long = "\n".join(f"other words of line {i} that say nothing" for i in range(40))
+    texts = [f"{long}\n{wrapped(n)}\n{long}" for n in ("MIT-grant", "ISC", "Apache-2.0-notice", "GPL-3.0-notice")]
+    texts += [f"{long}\nThis tool is old and it was made by many. Released under the MIT License. Have fun with it and tell us of it.", long]
+    texts += ["Released under the MIT License.\n" + long, f"{texts[0]}\n{texts[1]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = license_scan.scan(docs)
+    got = {(r.doc_id, r.line, r.license, round(r.dice, 2)) for r in out.collect()}
+    want = {(0, 40, "MIT-grant", 1.0), (1, 40, "ISC", 1.0), (2, 40, "Apache-2.0-notice", 1.0), (3, 40, "GPL-3.0-notice", 1.0), (4, 40, "MIT", 1.0), (6, 0, "MIT", 1.0)}
+    assert want <= got and {(i, x) for i, _, x, _ in got if i == 7} == {(7, "MIT-grant"), (7, "ISC")}
+    assert not [x for x in got if x[0] == 5] and len([x for x in got if x[0] == 6]) == 1
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
