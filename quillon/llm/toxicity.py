@@ -1,31 +1,38 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Tokens are words; a chain is a sentence.  A token's features are its word
-(lower-case, marks cut off) and its first three, four and five bytes.  Training
-takes labelled documents:
+Tokens are words; a chain is a sentence, or ``CHAIN`` words of a longer one.  A
+token's features are its word (lower-case, marks cut off) and its first three,
+four and five bytes.  Training takes labelled documents:
 
 1. a feature that occurs in toxic documents far beyond chance (a binomial tail,
-   corrected for the number of features) marks the tokens that carry it, in
-   toxic documents, as toxic: these are the labelled tokens;
-2. feature weights and the transition weights of the chain are fitted to them by
-   gradient ascent on the conditional likelihood (forward-backward);
-3. 1 - product(1 - marginal) and the sum of marginals over a document's tokens
-   are calibrated to a probability by a logistic regression on the same
-   documents' labels.
+   corrected for the number of features) labels the tokens that carry it, in
+   toxic documents, as toxic, as surely as it parts toxic from clean documents:
+   1 - (share of clean documents with it) / (share of toxic ones with it), if
+   that is a half at least.  All other tokens are labelled clean;
+2. feature weights and the transition weights of the chain are fitted to these
+   soft labels by gradient ascent on the expected conditional likelihood
+   (forward-backward);
+3. 1 - product(1 - marginal) and the sum of marginals over a document's tokens,
+   as such and by its length, are calibrated to a probability by a logistic
+   regression on the same documents' labels.
 
 Training is bounded by ``max_docs`` labelled rows and ``max_chars`` characters
 of text, taken in the order of a hash of doc_id; rows whose text alone exceeds
-what is left of the bound are skipped, texts are never cut.  Scoring covers all
-words of all texts.
+what is left of the bound are skipped, texts are never cut.  Texts become numbers
+in the tasks that read them, and one task fits the bounded sample, so that
+neither texts nor the fit take memory of the driver.  Scoring covers all words of
+all texts.
 
 Defined results: null and empty texts have no tokens and get the score of a text
 without any toxic token; a doc_id with several labels counts as toxic if one
-says so; a null label is no label; without both kinds of label every score is
-the share of toxic ones (0 where there is none).
+says so; a null label is no label; repeated labelled rows count once; without
+both kinds of label every score is the share of toxic ones (0 where there is
+none).  Spans are ranges of characters (code points) of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,11 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import by_batch, crc_mod, documents, small_batches
+from .common import by_batch, crc_mod, documents, small_batches, trim
 from .tokens import _MARK
 
 PREFIXES = (3, 4, 5)
 KINDS = 1 + len(PREFIXES)
+#: Words of a chain at most.
+CHAIN = 128
+#: Tokens whose marginals are computed at a time in training.
+AT_ONCE = 200_000
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -52,18 +63,19 @@ class Model:
     bias: float = -20.0
     change: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(3))
     base: float = -30.0
 
 
 @dataclass
 class Tokens:
-    """Words of a batch: distinct ones with their features, and the chains."""
+    """Words of some texts: distinct ones with their features, and the chains."""
 
     word: np.ndarray  # distinct word of each token
     features: np.ndarray  # distinct word x kind
     first: np.ndarray  # first token of each document, and the end
     begin: np.ndarray  # first token of each chain, and the end
+    distinct: np.ndarray  # hashes of the distinct words
     start: np.ndarray  # bytes
     end: np.ndarray
     buf: np.ndarray
@@ -96,9 +108,12 @@ def tokenize(texts: list[str | None]) -> Tokens:
         stop = np.concatenate([[True], _STOP[buf[end[:-1] - 1]]])
         begin = np.flatnonzero(line | stop)
         begin = np.unique(np.concatenate([begin, first[:-1][first[:-1] < len(start)]]))
+        size = np.diff(np.append(begin, len(start)))
+        turn = np.arange(len(start)) - np.repeat(begin, size)
+        begin = np.flatnonzero(turn % CHAIN == 0)
     else:
         begin = np.zeros(0, np.int64)
-    return Tokens(word, features, first, np.concatenate([begin, [len(start)]]).astype(np.int64), start, end, buf)
+    return Tokens(word, features, first, np.concatenate([begin, [len(start)]]).astype(np.int64), distinct, start, end, buf)
 
 
 def emissions(features: np.ndarray, model: Model) -> np.ndarray:
@@ -173,40 +188,40 @@ def marginals(e: np.ndarray, begin: np.ndarray, model: Model) -> np.ndarray:
 
 
 def summaries(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each document: log odds that some token is toxic, and the log of 1 + the sum of marginals."""
+    """For each document: log odds that some token is toxic, and the log of 1 + the sum of marginals, as such and in a hundred words."""
     clean = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9)))])
     total = np.concatenate([[0.0], np.cumsum(p)])
     some = -np.expm1(clean[first[1:]] - clean[first[:-1]])
     some = np.clip(some, 1e-6, 1 - 1e-6)
-    return np.stack([np.log(some / (1 - some)), np.log1p(np.maximum(0, total[first[1:]] - total[first[:-1]]))], 1)
+    total = np.maximum(0, total[first[1:]] - total[first[:-1]])
+    return np.stack([np.log(some / (1 - some)), np.log1p(total), np.log1p(100 * total / np.maximum(1, np.diff(first)))], 1)
 
 
-def _telling(t: Tokens, toxic: np.ndarray, risk: float = 0.01) -> np.ndarray:
-    """Hashes of the features whose share of toxic documents can't be chance."""
-    share = toxic.mean()
-    doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first)).astype(np.int64)
-    pairs = np.unique(doc * len(t.features) + t.word)
-    doc, word = pairs // len(t.features), pairs % len(t.features)
+def telling(t: Tokens, toxic: np.ndarray, risk: float = 0.01, least: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the features whose share of toxic documents can't be chance, and how surely each speaks for toxic."""
+    docs, words = len(t.first) - 1, len(t.features)
+    all_toxic, share = float(toxic.sum()), float(toxic.mean())
+    pairs = np.unique(np.repeat(np.arange(docs), np.diff(t.first)) * words + t.word)
+    doc, word = pairs // max(1, words), pairs % max(1, words)
     keys, yes, no = [], [], []
     for k in range(KINDS):
-        h = t.features[word, k]
-        order = np.lexsort((doc, h))
-        h, d = h[order], doc[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) & (h != 0)
-        h, y = h[new], toxic[d[new]]
-        u, at, n = np.unique(h, return_index=True, return_counts=True)
-        if len(u):
-            keys.append(u)
-            yes.append(np.add.reduceat(y, at))
-            no.append(n - np.add.reduceat(y, at))
-    if not keys:
-        return np.zeros(0, np.uint64)
+        found, number = np.unique(t.features[:, k], return_inverse=True)
+        own = np.unique(number[word] * docs + doc)
+        n = np.bincount(own // docs, minlength=len(found))
+        y = np.bincount(own // docs, toxic[own % docs], len(found))
+        real = found != 0
+        keys.append(found[real])
+        yes.append(y[real])
+        no.append((n - y)[real])
     key, y, x = np.concatenate(keys), np.concatenate(yes), np.concatenate(no)
-    rate = y / (y + x)
     # Chernoff's bound of the binomial tail, for all features at once
     with np.errstate(divide="ignore", invalid="ignore"):
+        rate = y / (y + x)
         gain = (y + x) * (np.where(y > 0, rate * np.log(rate / share), 0) + np.where(x > 0, (1 - rate) * np.log((1 - rate) / (1 - share)), 0))
-    return key[(rate > max(0.8, share)) & (gain > np.log(len(key) / risk))]
+        sure = 1 - (x + 0.5) / (docs - all_toxic + 1) * all_toxic / y
+    kept = np.flatnonzero((rate > share) & (sure >= least) & (gain > np.log(max(1, len(key)) / risk)))
+    kept = kept[np.argsort(key[kept], kind="stable")]
+    return key[kept], sure[kept]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -224,57 +239,69 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def train(texts: list[str | None], toxic: np.ndarray, rounds: int = 60, rate: float = 0.5) -> Model:
+    return train_tokens(tokenize(texts), toxic, rounds, rate)
+
+
+def train_tokens(t: Tokens, toxic: np.ndarray, rounds: int = 60, rate: float = 0.5) -> Model:
     model = Model()
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         model.base = float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
         return model
-    t = tokenize(texts)
-    telling = _telling(t, y)
-    has = np.isin(t.features, telling)
-    doc_toxic = np.repeat(y, np.diff(t.first)) > 0
-    label = has.any(1)[t.word] & doc_toxic
-    used = np.unique(np.concatenate([telling, np.unique(t.features[np.unique(t.word[label])])])) if label.any() else telling
-    model.keys, model.weights = used[used != 0], np.zeros(len(used[used != 0]))
-    if label.any():
+    keys, sure = telling(t, y)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, t.features), len(keys) - 1)
+        label = np.where(keys[at] == t.features, sure[at], 0.0).max(1)[t.word] * np.repeat(y, np.diff(t.first))
+        used = np.unique(np.concatenate([keys, t.features[np.unique(t.word[label > 0])].ravel()]))
+        model.keys = used[used != 0]
+        model.weights = np.zeros(len(model.keys))
         _ascend(t, label, model, rounds, rate)
-    else:
-        model.bias = -20.0
     p = marginals(emissions(t.features, model)[t.word], t.begin, model)
     w = _fit_logistic(summaries(p, t.first), y)
-    model.scale, model.base = w[:2], float(w[2])
+    model.scale, model.base = w[:-1], float(w[-1])
     return model
 
 
 def _ascend(t: Tokens, label: np.ndarray, model: Model, rounds: int, rate: float) -> None:
-    """Gradient ascent with a step per weight (Adam) on the chains' conditional log-likelihood."""
+    """Gradient ascent with a step per weight (Adam) on the chains' expected conditional log-likelihood."""
     at = np.searchsorted(model.keys, t.features)
     known = model.keys[np.minimum(at, len(model.keys) - 1)] == t.features
     row, kind = np.nonzero(known)
     slot = at[row, kind]
     # chains without known features are told apart by their length only
     chains, standin = distinct_chains(~known.any(1)[t.word], t.begin)
-    tokens, own = _of_chains(t.begin, chains)
     times = np.bincount(standin).astype(float)
-    weight, word = np.repeat(times, np.diff(own)), t.word[tokens]
+    order = np.argsort(np.diff(t.begin)[chains], kind="stable")  # chains of a piece are about as long
+    chains, times = chains[order], times[order]
+    upto = np.cumsum(np.diff(t.begin)[chains])
+    pieces = np.split(np.arange(len(chains)), np.searchsorted(upto, np.arange(AT_ONCE, upto[-1], AT_ONCE)))
     n = len(t.word)
-    y = label.astype(int)
     first = np.zeros(n, bool)
     first[t.begin[:-1]] = True
     inner = np.flatnonzero(~first)
-    seen = np.zeros((2, 2))
-    seen += np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2)
-    began = np.bincount(y[first], minlength=2)
+    a, b = label[inner - 1], label[inner]
+    seen = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
+    began = np.array([(1 - label[first]).sum(), label[first].sum()])
     model.bias = float(np.log((label.sum() + 1) / (n - label.sum() + 1)))
+    # what a word's tokens are labelled, over all chains; those merged above have no labels
+    want = np.bincount(t.word, label, len(t.features))
     size = [len(model.weights), 1, 4, 2]
     w = np.concatenate([model.weights, [model.bias], model.change.ravel(), model.start])
     m1, m2 = np.zeros(len(w)), np.zeros(len(w))
     for i in range(1, rounds + 1):
         model.weights, model.bias = w[: size[0]], float(w[size[0]])
         model.change, model.start = w[size[0] + 1 : size[0] + 5].reshape(2, 2), w[-2:]
-        p, pairs, starts = forward_backward(emissions(t.features, model)[word], own, model.start, model.change, times)
-        diff = np.bincount(word, (label[tokens] - p) * weight, len(t.features))
+        e = emissions(t.features, model)
+        diff, pairs, starts = want.copy(), np.zeros((2, 2)), np.zeros(2)
+        for piece in pieces:
+            if not len(piece):
+                continue
+            tokens, own = _of_chains(t.begin, chains[piece])
+            word = t.word[tokens]
+            p, some_pairs, some_starts = forward_backward(e[word], own, model.start, model.change, times[piece])
+            diff -= np.bincount(word, p * np.repeat(times[piece], np.diff(own)), len(t.features))
+            pairs, starts = pairs + some_pairs, starts + some_starts
         g = np.concatenate([np.bincount(slot, diff[row], size[0]), [diff.sum()], (seen - pairs).ravel(), began - starts])
         g -= 0.05 * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
@@ -284,25 +311,32 @@ def _ascend(t: Tokens, label: np.ndarray, model: Model, rounds: int, rate: float
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, list[list[list[int]]]]:
-    """A score from 0 to 1 for each text, and its toxic spans as [first word, end word]."""
+    """A score from 0 to 1 for each text, and its toxic spans as [first character, end]."""
     t = tokenize(texts)
     p = marginals(emissions(t.features, model)[t.word], t.begin, model)
     z = summaries(p, t.first) @ model.scale + model.base
     scores = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     hot = np.flatnonzero(p >= 0.5)
     spans: list[list[list[int]]] = [[] for _ in texts]
+    if not len(hot):
+        return scores, spans
     docs = np.searchsorted(t.first, hot, "right") - 1
-    for d, k in zip(docs.tolist(), hot.tolist()):
-        k -= int(t.first[d])
-        if spans[d] and spans[d][-1][1] == k:
-            spans[d][-1][1] = k + 1
+    # bytes that don't begin a character, and the characters of earlier texts (each ends by a line break)
+    inner = np.concatenate([[0], np.cumsum((t.buf & 0xC0) == 0x80)])
+    before = np.cumsum([0, *(len(x or "") + 1 for x in texts)])
+    start, end = t.start[hot] - inner[t.start[hot]], t.end[hot] - inner[t.end[hot]]
+    last = -2
+    for d, k, a, b in zip(docs.tolist(), hot.tolist(), (start - before[docs]).tolist(), (end - before[docs]).tolist()):
+        if spans[d] and last == k - 1:
+            spans[d][-1][1] = b
         else:
-            spans[d].append([k, k + 1])
+            spans[d].append([a, b])
+        last = k
     return scores, spans
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int, hold_out: int | None) -> pd.DataFrame:
-    """text and toxic of the labelled rows that training takes."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int, hold_out: int | None) -> DataFrame:
+    """doc_id, text and toxic of the labelled rows that training takes."""
     toxic = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     toxic = toxic.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if hold_out:
@@ -310,26 +344,75 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars:
     chosen = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # a bounded sample, so it can be broadcast
     docs = documents(docs)
     sizes = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("o"))
+    sizes = sizes.groupBy("doc_id", "o").agg(F.sum("n").alias("n")).orderBy("o", "doc_id").select("doc_id", "n").toPandas()  # max_docs rows at most
     ids, left = [], max_chars
-    for r in sizes.groupBy("doc_id", "o").agg(F.sum("n").alias("n")).orderBy("o", "doc_id").collect():
-        if r.n <= left:
-            ids.append((r.doc_id,))
-            left -= r.n
-    if not ids:
-        return pd.DataFrame({"text": [], "toxic": []})
-    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long")
-    rows = docs.join(F.broadcast(chosen), "doc_id").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    return rows.sort_values(["doc_id", "text"]).drop_duplicates()
+    for doc, n in zip(sizes["doc_id"].tolist(), sizes["n"].tolist()):
+        if n <= left:
+            ids.append(doc)
+            left -= n
+    wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": np.array(ids, np.int64)}), "doc_id long")
+    return docs.join(F.broadcast(chosen), "doc_id").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic")
+
+
+CODED = "docs array<long>, toxic array<int>, sizes array<int>, words binary, begins binary, distinct binary, features binary"
+FITTED = "keys binary, weights binary, numbers array<double>"
+
+
+def _coded(frame: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a batch as numbers of the batch's distinct words, with their features."""
+    t = tokenize(frame["text"].tolist())
+    begins = np.zeros(len(t.word), np.uint8)
+    begins[t.begin[:-1]] = 1
+    row = {
+        "docs": frame["doc_id"].tolist(), "toxic": frame["toxic"].tolist(), "sizes": np.diff(t.first).tolist(), "words": t.word.astype(np.int32).tobytes(),
+        "begins": begins.tobytes(), "distinct": t.distinct.tobytes(), "features": t.features.tobytes(),
+    }
+    return pd.DataFrame([row])
+
+
+def joined_tokens(rows) -> tuple[Tokens, np.ndarray]:
+    """Tokens and labels of coded batches, documents by id; what doesn't depend on how they were dealt to batches."""
+    texts, hashes, features, known = [], [], [], 0
+    for r in rows:
+        word = np.frombuffer(r.words, np.int32) + known
+        begins = np.frombuffer(r.begins, np.uint8)
+        hashes.append(np.frombuffer(r.distinct, np.uint64))
+        features.append(np.frombuffer(r.features, np.uint64).reshape(-1, KINDS))
+        known += len(hashes[-1])
+        cuts = np.cumsum([0, *r.sizes])
+        texts += [(int(d), int(y), word[a:b], begins[a:b]) for d, y, a, b in zip(r.docs, r.toxic, cuts[:-1], cuts[1:])]
+    if not texts:
+        return tokenize([]), np.zeros(0)
+    distinct, at, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    number = number.astype(np.int32)
+    texts = [(d, y, number[w], b) for d, y, w, b in texts]
+    texts.sort(key=lambda x: (x[0], len(x[2]), x[2].tobytes()))
+    texts = [x for i, x in enumerate(texts) if not i or x[0] != texts[i - 1][0] or len(x[2]) != len(texts[i - 1][2]) or (x[2] != texts[i - 1][2]).any()]
+    word, begins = np.concatenate([x[2] for x in texts]), np.concatenate([x[3] for x in texts])
+    first = np.cumsum([0, *(len(x[2]) for x in texts)])
+    none = np.zeros(0, np.int64)
+    begin = np.append(np.flatnonzero(begins), len(word))
+    return Tokens(word, np.concatenate(features)[at], first, begin, distinct, none, none, none), np.array([x[1] for x in texts], float)
+
+
+def _fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    model = train_tokens(*joined_tokens(r for frame in frames for r in frame.itertuples(index=False)))
+    numbers = [model.bias, model.base, *model.scale, *model.start, *model.change.ravel()]
+    yield pd.DataFrame([{"keys": model.keys.tobytes(), "weights": model.weights.astype(float).tobytes(), "numbers": [float(x) for x in numbers]}])
+    trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, max_chars: int = 12_000_000, hold_out: int | None = None) -> Model:
     """A model from labelled documents; those whose crc32(doc_id) mod hold_out is 0 take no part."""
-    rows = training_rows(docs, labels, max_docs, max_chars, hold_out)
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy())
+    small_batches(docs.sparkSession)
+    rows = training_rows(docs, labels, max_docs, max_chars, hold_out).mapInPandas(by_batch(_coded), CODED)
+    (r,) = rows.repartition(1).mapInPandas(_fitted, FITTED).collect()  # one row
+    n = r.numbers
+    return Model(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.weights, float), n[0], np.array(n[7:]).reshape(2, 2), np.array(n[5:7]), np.array(n[2:5]), n[1])
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, spans (word positions of toxic runs) of every document."""
+    """doc_id, score, spans (characters of toxic runs of words) of every document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         scores, spans = score_texts(frame["text"].tolist(), model)
@@ -352,7 +435,5 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), hold_out=5)
-    out = tag(docs, model).select("doc_id", "score", F.size("spans").alias("n_spans"))
-    return out.select(
-        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_spans"
-    )
+    out = tag(docs, model)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

@@ -286,7 +286,15 @@ def test_toxicity_learns_planted_words_and_odd_rows(spark):
     out = {r.doc_id: r for r in toxicity.tag(docs, model).collect()}
     held = [(y, out[i].score) for i, _, y in rows_ if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(s >= 0.5) == bool(y) for y, s in held]) > 0.95
-    assert out[None].score > 0.5 and list(map(list, out[None].spans)) == [[1, 2]] and out[1000].score == out[1001].score < 0.5
+    assert out[None].score > 0.5 and list(map(list, out[None].spans)) == [[3, 7]] and out[1000].score == out[1001].score < 0.5
+    # spans are characters of the text, and copies don't change them; long texts are scored whole
+    long_text = "één v1 v2 " * 20_000 + "é. Vile, nastyfoo v3"
+    score, spans = toxicity.score_texts(["é v1. vile", long_text, "é v1. vile", None], model)
+    assert [["é v1. vile"[a:b] for a, b in x] for x in (spans[0], spans[2])] == [["vile"], ["vile"]] and score[0] == score[2]
+    assert [long_text[a:b] for a, b in spans[1]] == ["Vile, nastyfoo"] and spans[3] == []
+    # neither the dealing to partitions nor repeated rows change the model
+    again = toxicity.fit(docs.unionByName(docs).repartition(7), labels.repartition(3), hold_out=5)
+    assert np.array_equal(again.keys, model.keys) and np.allclose(again.weights, model.weights) and np.allclose(again.scale, model.scale)
     clean = toxicity.without_toxic(docs, model)
     assert clean.columns == docs.columns and 1000 in {r.doc_id for r in clean.collect()}
     nothing = toxicity.fit(docs, labels.limit(0))
