@@ -5,10 +5,12 @@ the model predicts a class, then the word within it.
 
 * The ``HEAD`` most frequent words form classes of ``SLOTS`` words each; the word
   within the class is predicted from the recurrent state as well.
-* All other words of the training documents belong to classes by their count's
-  magnitude and their form (last bytes, marks, non-ASCII bytes); within such a
-  class a word has its share of the class's training tokens.
-* One class is for words that training didn't see.
+* All other words of the training documents belong to a class by their count's
+  magnitude and, within it, to a form (last bytes, marks, non-ASCII bytes), which
+  is predicted from the state too; of a magnitude and form, a word has its share
+  of their training tokens.
+* One class is for words that training didn't see; as in the unigram base, they
+  are one event, however they are spelt.
 
 Probabilities of all known words and the unknown one sum to 1 in every state.
 For training, a word counts without the occurrence at hand, so words seen once
@@ -50,7 +52,9 @@ BINS = (1, 2, 4, 16, 128)
 BLOCK, WARM_BLOCKS, SHARE, WARM_UPDATES = 10 << 20, 3, 1, 240
 GROUPS = HEAD // SLOTS
 TAIL = len(BINS) * FORMS
-CLASSES = GROUPS + TAIL + 1
+#: Classes that have slots: those of the head, then the magnitudes of the tail.
+SLOTTED = GROUPS + len(BINS)
+CLASSES = SLOTTED + 1
 UNKNOWN = HEAD + TAIL
 START = UNKNOWN + 1
 END = np.uint64((1 << 64) - 1)
@@ -96,6 +100,8 @@ def _code(modulus: int, remainder: int):
         # frequent words get small numbers
         n = np.bincount(word, minlength=len(distinct))
         order = np.argsort(-n, kind="stable")
+        if len(order) >= 1 << 24:
+            raise ValueError("more distinct words in a block than three bytes can number; use smaller blocks")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(1, len(order) + 1)
         counts = np.bincount(word, teaches, len(distinct)).astype(np.int64)[order]
@@ -216,12 +222,20 @@ CODED = (
 )
 
 
+def place(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and slot of each symbol; what is unknown has no slot (0)."""
+    tail = symbol - HEAD
+    head = symbol < HEAD
+    cls = np.where(head, symbol // SLOTS, np.where(symbol == UNKNOWN, SLOTTED, GROUPS + tail // FORMS))
+    return cls, np.where(head, symbol % SLOTS, np.where(symbol == UNKNOWN, 0, tail % FORMS))
+
+
 class Network:
     """Gated recurrent units with a class-factored output; all weights in one vector."""
 
     SHAPES = (
-        ("x", (START + 1, 3 * HIDDEN)), ("u", (HIDDEN, 3 * HIDDEN)), ("wc", (HIDDEN, CLASSES)), ("bc", (CLASSES,)),
-        ("ww", (GROUPS, HIDDEN, SLOTS)), ("bw", (GROUPS, SLOTS)),
+        ("x", (START + 1, 3 * HIDDEN)), ("u", (HIDDEN, 3 * HIDDEN)), ("wc", (CLASSES, HIDDEN)), ("bc", (CLASSES, 1)),
+        ("ww", (SLOTTED, SLOTS, HIDDEN)), ("bw", (SLOTTED, SLOTS, 1)),
     )
 
     def __init__(self, flat: np.ndarray, missing_classes: np.ndarray, missing_words: np.ndarray):
@@ -241,68 +255,88 @@ class Network:
         rng = np.random.default_rng(seed)
         words = np.zeros(HEAD)
         words[: len(v.head_counts)] = v.head_counts
-        words = words.reshape(GROUPS, SLOTS)
-        # one occurrence of each word left out: those seen once become unknown, and so on
-        less = v.totals.reshape(len(BINS), FORMS).copy()
-        classes = np.concatenate([words.sum(1), less.ravel(), [max(1.0, float(v.types[:FORMS].sum()))]])
-        missing_classes, missing_words = classes <= 0, words <= 0
+        slots = np.zeros((SLOTTED, SLOTS))
+        slots[:GROUPS] = words.reshape(GROUPS, SLOTS)
+        slots[GROUPS:, :FORMS] = v.totals.reshape(len(BINS), FORMS)
+        # one occurrence of each word left out: those seen once become unknown
+        classes = np.append(slots.sum(1), max(1.0, float(v.types[:FORMS].sum())))
+        missing_classes, missing_words = classes <= 0, slots <= 0
         net = cls(rng.normal(0, 0.1, cls.size()), missing_classes, missing_words)
-        net.bc[:] = np.where(missing_classes, -1e4, np.log(np.maximum(classes, 1)))
+        net.bc[:, 0] = np.where(missing_classes, -1e4, np.log(np.maximum(classes, 1)))
         net.bc -= net.bc.max()
-        net.bw[:] = np.where(missing_words, -1e4, np.log(np.maximum(words, 1)))
+        net.bw[:, :, 0] = np.where(missing_words, -1e4, np.log(np.maximum(slots, 1)))
         net.bw -= net.bw.max(1, keepdims=True)
         net.wc *= 0.5
         net.ww *= 0.5
         return net
 
-    def step(self, h: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, g = self.x[symbol], h @ self.u
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
-
-    def log_likelihood(self, hs: np.ndarray, target: np.ndarray, grad: Network | None = None, weight: np.ndarray | None = None):
-        """Natural log-probability of each target (a symbol, -1: none); with grad, also d/dh, and weights' gradients are added."""
+    def step(self, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state from the last one and the input's part of the gates (a row of x per lane); and z, r, n, u's part of n."""
+        g = h @ self.u
+        zr = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        zr *= 0.5  # the logistic function by tanh
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
+        n = r * g
+        n += a[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, g
+
+    def log_likelihood(self, hs: np.ndarray, target: np.ndarray, grad: Network | None = None):
+        """Natural log-probability of each target (a symbol, -1: none) in the states hs (HIDDEN x targets).
+
+        With grad, also d/dhs, and weights' gradients are added to it.
+        """
         there = target >= 0
-        head = there & (target < HEAD)
-        cls = np.where(head, target // SLOTS, np.where(there, target - HEAD + GROUPS, 0))
-        logit = hs @ self.wc + self.bc
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
-        rows = np.arange(len(hs))
-        out = np.where(there, logit[rows, cls] - np.log(total), 0.0)
+        cls, slot = place(np.where(there, target, UNKNOWN))
+        logit = self.wc @ hs
+        logit += self.bc
+        logit -= logit.max(0)
+        rows = np.arange(len(target))
+        out = logit[cls, rows]
+        e = np.exp(logit, out=logit)
+        total = e.sum(0)
+        out = np.where(there, out - np.log(total), 0.0)
         dh = None
         if grad is not None:
-            d = -e / total[:, None]
-            d[rows, cls] += 1
-            d *= there[:, None]
-            d[:, self.missing_classes] = 0
-            grad.wc += hs.T @ d
-            grad.bc += d.sum(0)
-            dh = d @ self.wc.T
-        at = np.flatnonzero(head)
-        order = at[np.argsort(cls[at], kind="stable")]
-        cuts = np.searchsorted(cls[order], np.arange(GROUPS + 1))
-        for k in range(GROUPS):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
+            e *= np.where(there, -1 / total, 0).astype(np.float32)
+            e[cls, rows] += there
+            e[self.missing_classes] = 0
+            grad.wc += e @ hs.T
+            grad.bc += e.sum(1, keepdims=True)
+            dh = self.wc.T @ e
+        order = np.argsort(np.where(there, cls, SLOTTED).astype(np.int16), kind="stable")
+        cuts = np.searchsorted(cls[order][: int((there & (cls < SLOTTED)).sum())], np.arange(SLOTTED + 1))
+        order = order[: cuts[-1]]
+        x, slot = hs[:, order], slot[order]
+        own_out, own_dh = np.empty(len(order)), np.empty_like(x)
+        for k in range(SLOTTED):
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            if a == b:
                 continue
-            x, slot = hs[own], target[own] % SLOTS
-            logit = x @ self.ww[k] + self.bw[k]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(1)
-            mine = np.arange(len(own))
-            out[own] += logit[mine, slot] - np.log(total)
+            own, mine = x[:, a:b], np.arange(b - a)
+            logit = self.ww[k] @ own
+            logit += self.bw[k]
+            logit -= logit.max(0)
+            said = logit[slot[a:b], mine]
+            e = np.exp(logit, out=logit)
+            total = e.sum(0)
+            own_out[a:b] = said - np.log(total)
             if grad is not None:
-                d = -e / total[:, None]
-                d[mine, slot] += 1
-                d[:, self.missing_words[k]] = 0
-                grad.ww[k] += x.T @ d
-                grad.bw[k] += d.sum(0)
-                dh[own] += d @ self.ww[k].T
+                e *= -1 / total
+                e[slot[a:b], mine] += 1
+                e[self.missing_words[k]] = 0
+                grad.ww[k] += e @ own.T
+                grad.bw[k] += e.sum(1, keepdims=True)
+                own_dh[:, a:b] = self.ww[k].T @ e
+        out[order] += own_out
+        if grad is not None:
+            dh[:, order] += own_dh
         return out, dh
 
 
@@ -373,9 +407,9 @@ def _stream(symbols: np.ndarray, sizes: np.ndarray, most: int, window: int):
     return np.ascontiguousarray(target), np.ascontiguousarray(given), first
 
 
-def score(net: Network, symbols: np.ndarray, sizes: np.ndarray, most: int = 384, window: int = 64) -> np.ndarray:
-    """log10 probability of each document's symbols; the state goes on from window to window to the document's end."""
-    out = np.zeros(len(sizes))
+def score(net: Network, symbols: np.ndarray, sizes: np.ndarray, most: int = 768, window: int = 32) -> np.ndarray:
+    """log10 probability of each document's symbols, in all (row 0) and of known words and ends only (row 1); the state goes on from window to window to the document's end."""
+    out = np.zeros((2, len(sizes)))
     if not len(symbols):
         return out
     dealt = deal(symbols, sizes, most)
@@ -387,12 +421,14 @@ def score(net: Network, symbols: np.ndarray, sizes: np.ndarray, most: int = 384,
         hs = np.zeros((b - a, len(live), HIDDEN), np.float32)
         own = h[live]
         for t in range(b - a):
-            own = np.where(first[t][:, None], np.float32(0), own)
-            own = net.step(own, given[t])[0]
+            own[first[t]] = 0
+            own = net.step(own, net.x[given[t]])[0]
             hs[t] = own
         h[live] = own
-        logp, _ = net.log_likelihood(hs.reshape(-1, HIDDEN), target.ravel())
-        out += np.bincount(docs.ravel(), logp, len(sizes))
+        target, docs = target.ravel(), docs.ravel()
+        logp, _ = net.log_likelihood(np.ascontiguousarray(hs.reshape(-1, HIDDEN).T), target)
+        out[0] += np.bincount(docs, logp, len(sizes))
+        out[1] += np.bincount(docs, np.where(target == UNKNOWN, 0.0, logp), len(sizes))
     return out / LN10
 
 
@@ -402,43 +438,53 @@ class Trainer:
     def __init__(self, net: Network, rate: float = 0.004):
         self.net, self.rate, self.m, self.v, self.t = net, rate, np.zeros_like(net.flat), np.zeros_like(net.flat), 0
 
-    def train(self, symbols: np.ndarray, sizes: np.ndarray, most: int = 128, window: int = 32, updates: int | None = None) -> int:
+    def train(self, symbols: np.ndarray, sizes: np.ndarray, most: int = 256, window: int = 32, updates: int | None = None) -> int:
         """Tokens trained on."""
         if not len(symbols):
             return 0
         net, done = self.net, 0
         target, given, first = _stream(symbols, sizes, most, window)
-        h = np.zeros((target.shape[1], HIDDEN), np.float32)
+        width = target.shape[1]
+        h = np.zeros((width, HIDDEN), np.float32)
+        grad = Network(np.zeros_like(net.flat), net.missing_classes, net.missing_words)
         for a in range(0, len(target), window):
             if updates is not None and self.t >= updates:
                 break
-            b = min(a + window, len(target))
-            keep, hs = [], []
-            for t in range(a, b):
-                prev = np.where(first[t][:, None], np.float32(0), h)
-                h, z, r, n, g = net.step(prev, given[t])
-                keep.append((prev, z, r, n, g))
-                hs.append(h)
-            goal = target[a:b].ravel()
+            steps = min(window, len(target) - a)
+            prev, z, r, n, g, hs = np.empty((6, steps, width, HIDDEN), np.float32)
+            inputs = net.x[given[a : a + steps]]
+            for t in range(steps):
+                prev[t] = h
+                prev[t][first[a + t]] = 0
+                h, z[t], r[t], n[t], g[t] = net.step(prev[t], inputs[t])
+                hs[t] = h
+            goal = target[a : a + steps].ravel()
             tokens = int((goal >= 0).sum())
-            grad = Network(np.zeros_like(net.flat), net.missing_classes, net.missing_words)
-            _, dh = net.log_likelihood(np.concatenate(hs), goal, grad)
-            dh = dh.reshape(b - a, -1, HIDDEN)
-            carry, inputs = np.zeros_like(h), []
-            for t in range(b - a - 1, -1, -1):
-                prev, z, r, n, g = keep[t]
+            grad.flat[:] = 0
+            _, dh = net.log_likelihood(np.ascontiguousarray(hs.reshape(-1, HIDDEN).T), goal, grad)
+            dh = np.ascontiguousarray(dh.T).reshape(steps, width, HIDDEN)
+            # what doesn't depend on the flow back is made for all steps at once
+            by_n, by_z, by_r = (1 - z) * (1 - n * n), (prev - n) * z * (1 - z), g * r * (1 - r)
+            flow, inner = np.empty((2, steps, width, 3 * HIDDEN), np.float32)
+            carry, back = np.zeros_like(h), np.ascontiguousarray(net.u.T)
+            for t in range(steps - 1, -1, -1):
                 d = dh[t] + carry
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (prev - n) * z * (1 - z)
-                dr = dn * g * r * (1 - r)
-                du = np.concatenate([dz, dr, dn * r], 1)
-                grad.u += prev.T @ du
-                inputs.append(np.concatenate([dz, dr, dn], 1))
-                carry = (d * z + du @ net.u.T) * ~first[a + t][:, None]
-            rows, flow = given[a:b][::-1].ravel(), np.concatenate(inputs)
-            order = np.argsort(rows, kind="stable")
+                dn = d * by_n[t]
+                own = flow[t]
+                np.multiply(d, by_z[t], out=own[:, :HIDDEN])
+                np.multiply(dn, by_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
+                own[:, 2 * HIDDEN :] = dn
+                inner[t] = own
+                inner[t][:, 2 * HIDDEN :] *= r[t]
+                carry = inner[t] @ back
+                d *= z[t]
+                carry += d
+                carry[first[a + t]] = 0
+            grad.u += prev.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
+            rows, flow = given[a : a + steps].ravel(), flow.reshape(-1, 3 * HIDDEN)
+            order = np.argsort(rows.astype(np.int16), kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
-            grad.x[rows[order][cut]] += np.add.reduceat(flow[order], cut)
+            grad.x[rows[order[cut]]] += np.add.reduceat(flow[order], cut)
             self._update(grad.flat / max(1, tokens))
             done += tokens
         return done
@@ -498,7 +544,7 @@ def fit(coded: DataFrame, v: Vocabulary, s: Scratch) -> Network:
         if trainer.t >= WARM_UPDATES:
             break
     kind = "tokens long, weights binary"
-    parts = coded.select(*TAUGHT).mapInPandas(_train_part(net.flat, (net.missing_classes, net.missing_words), trainer.rate / 4), kind)
+    parts = coded.select(*TAUGHT).mapInPandas(_train_part(net.flat, (net.missing_classes, net.missing_words), trainer.rate / 3), kind)
     parts = s.save(parts, "weights")
     n = parts.count()
     if n > 64:  # sums of sums
@@ -515,8 +561,8 @@ def _score(flat: np.ndarray, missing: tuple[np.ndarray, np.ndarray], tokens: int
         for frame in frames:
             for r in frame.itertuples(index=False):
                 sizes = np.asarray(r.n_tokens, np.int64)
-                total = score(net, unplane([r.s0, r.s1]), sizes) + np.asarray(r.inside)
-                out = {"doc_id": r.docs, "held_out": r.held, "n_tokens": sizes, "n_known": r.n_known, "train_tokens": tokens, "base_score": r.base, "score": total}
+                total, known = score(net, unplane([r.s0, r.s1]), sizes) + np.asarray(r.inside)
+                out = {"doc_id": r.docs, "held_out": r.held, "n_tokens": sizes, "n_known": r.n_known, "train_tokens": tokens, "base_score": r.base, "score": total, "known_score": known}
                 yield pd.DataFrame(out).astype({"doc_id": "Int64"})
                 trim()
 
@@ -524,7 +570,9 @@ def _score(flat: np.ndarray, missing: tuple[np.ndarray, np.ndarray], tokens: int
 
 
 def log_likelihood(docs: DataFrame, modulus: int = 7, remainder: int = 2, share: int = SHARE, block: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_score of every row.
+
+    known_score is the part of score that known words and ends have; the rest is that of unseen words.
 
     Rows whose crc32(doc_id) mod modulus is ``remainder`` are held out of all
     counts and of training.
@@ -544,7 +592,7 @@ def log_likelihood(docs: DataFrame, modulus: int = 7, remainder: int = 2, share:
     s.drop("blocks", "counts")
     s.release()
     net = fit(coded, v, s)
-    out = coded.mapInPandas(_score(net.flat, (net.missing_classes, net.missing_words), v.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = coded.mapInPandas(_score(net.flat, (net.missing_classes, net.missing_words), v.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double")
     return s.close(out)
 
 
