@@ -35,17 +35,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the folder that driver and executors share, so that lost executors cost no recomputation.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder takes its place.  ``close(keep)`` deletes
-    every table but ``keep``; that one goes when the process ends.
+    The folder is ``spark.checkpoint.dir``, or the checkpoint folder of the
+    context; where neither is set, one in the warehouse, and in local mode, as in
+    tests, a temporary one.  ``close(keep)`` deletes every table but ``keep``;
+    what is left goes when the process ends.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         small_batches(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="quillon-"))
+        context = spark.sparkContext
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if not base and context.master.startswith("local"):
+            base = _LOCAL["dir"] = _LOCAL.get("dir") or tempfile.mkdtemp(prefix="quillon-")
+        base = base or spark.conf.get("spark.sql.warehouse.dir")
         self.spark, self.root, self.names = spark, f"{base.rstrip('/')}/quillon-{tag}-{uuid.uuid4().hex}", set()
+        OPEN.append(self)
+        atexit.register(self.end)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """df, written under ``name`` and read again."""
@@ -71,16 +76,33 @@ class Scratch:
         """Write ``keep``, drop all else, and return ``keep`` as read again."""
         out = self.save(keep, name) if keep is not None else None
         self.drop(*(self.names - {name}))
-        atexit.register(self._end)
         return out
 
-    def _end(self) -> None:
+    def end(self) -> None:
+        """Delete all tables, the kept one too."""
+        atexit.unregister(self.end)
+        if self in OPEN:
+            OPEN.remove(self)
         try:
             _delete(self.spark, self.root)
         except Exception:  # the session has ended; its cluster cleans the folder
             pass
 
 
+#: Folders in use, in the order they were opened.
+OPEN: list[Scratch] = []
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to differ from all columns."""
+    have, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def trim() -> None:
     """Gives memory that a worker has freed back to the system; else pools of Arrow and the C library keep it for good."""
     import ctypes
@@ -111,15 +133,17 @@ def marked_rows(rows: DataFrame, column: str, wanted: DataFrame, out: str) -> Da
         h = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
         return F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({c}), {FILTER_BITS}), 64) as int))")
 
+    at, held = unused([*rows.columns, *wanted.columns, out], "word", "bits")
     (word, bit), (own_word, own_bit) = place(wanted.columns[0]), place(column)
-    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    joined = rows.withColumn("__word", own_word).join(F.broadcast(bits), "__word", "left")
-    return joined.withColumn(out, F.coalesce(F.col("__bits").bitwiseAND(own_bit) != 0, F.lit(False))).drop("__word", "__bits")
+    bits = wanted.groupBy(word.alias(at)).agg(F.bit_or(bit).alias(held))
+    joined = rows.withColumn(at, own_word).join(F.broadcast(bits), at, "left")
+    return joined.withColumn(out, F.coalesce(F.col(held).bitwiseAND(own_bit) != 0, F.lit(False))).drop(at, held)
 
 
 def wanted_rows(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """The rows whose column is among the wanted ids, and a few others (see marked_rows)."""
-    return marked_rows(rows, column, wanted, "__maybe").where("__maybe").drop("__maybe")
+    (maybe,) = unused(rows.columns, "maybe")
+    return marked_rows(rows, column, wanted, maybe).where(F.col(maybe)).drop(maybe)
 
 
 #: Rows of an Arrow batch: with texts of some kilobytes, the default of 10,000 is a hundred megabytes in the JVM and as much in Python.

@@ -18,9 +18,13 @@ payload    the ids, little-endian, nothing in between
 ========== ==================================================================
 
 ``parts`` holds the ids that lie before each partition, so that a global start is
-rel_start plus one number.  Keyed access costs a search of the shard directory
-(first_key, last_key), one probe of the hash, one fingerprint comparison and one
-slice; a key that isn't there is refused by its fingerprint (or by the stored key).
+rel_start plus one number.  Keyed access finds its shard by equality: keys are cut
+into cells about as wide as a shard's range, and a shard stands in the directory
+once for each cell that it touches (about twice as many rows as shards).  What
+follows takes the same time whatever a shard's size: a probe of the hash's packed
+bits, of which a count is stored every ``RANK_BITS`` bits, one fingerprint
+comparison and one slice; a key that isn't there is refused by its fingerprint (or
+by the stored key).
 
 Defined results: null text has the end id only; null keys come first and can be
 read in sequence only; rows of the same key stay next to each other (ties by the
@@ -40,10 +44,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as wh
-from .common import Scratch, documents, trim
+from .common import Scratch, documents, trim, wanted_rows
 from .tokens import default_vocabulary, encode_frame, encoder
 
 MAX_LEVELS = 40
+RANK_BITS = 512
 
 
 def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -61,43 +66,49 @@ class PerfectHash:
     wants its bit.  A key's number is the rank of its bit.
     """
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        base = np.cumsum([0, *(int(b.sum()) for b in levels)])
-        self.ranks = [np.cumsum(b) - b + base[i] for i, b in enumerate(levels)]
+    def __init__(self, levels: list[bytes]):
+        """``levels``: of each, the number of bits, its bits that earlier levels and blocks have set, and the bits."""
+        self.levels, self.parts = levels, []
+        for raw in levels:
+            size = int.from_bytes(raw[:8], "little")
+            at = 8 + 8 * (size // RANK_BITS + 1)
+            self.parts.append((size, np.frombuffer(raw, "<i8", size // RANK_BITS + 1, 8), np.frombuffer(raw, np.uint8, offset=at)))
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], np.asarray(keys, np.int64)
+        levels, left, before = [], np.asarray(keys, np.int64), 0
         while len(left):
             if len(levels) == MAX_LEVELS:
                 raise ValueError("keys are not distinct")
             size = 2 * len(left)
             at = _place(left, len(levels), size)
             n = np.bincount(at, minlength=size)
-            levels.append(n == 1)
+            alone = n == 1
+            ranks = before + np.concatenate([[0], np.cumsum(alone)])[: size + 1 : RANK_BITS]
+            levels.append(size.to_bytes(8, "little") + ranks[: size // RANK_BITS + 1].astype("<i8").tobytes() + np.packbits(alone).tobytes())
+            before += int(alone.sum())
             left = left[n[at] > 1]
         return cls(levels)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         keys = np.asarray(keys, np.int64)
         out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for i, bits in enumerate(self.levels):
+        for i, (size, ranks, bits) in enumerate(self.parts):
             if not len(open_):
                 break
-            at = _place(keys[open_], i, len(bits))
-            hit = bits[at]
-            out[open_[hit]] = self.ranks[i][at[hit]]
+            at = _place(keys[open_], i, size)
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            found = at[hit]
+            # set bits of the block's bytes before, and of the own byte
+            begin, whole = found // RANK_BITS * (RANK_BITS // 8), found >> 3
+            span = np.arange(RANK_BITS // 8)
+            before = np.minimum(begin[:, None] + span, len(bits) - 1)
+            inside = np.where(begin[:, None] + span < whole[:, None], np.bitwise_count(bits[before]), 0).sum(1)
+            own = np.bitwise_count(bits[whole] >> (8 - (found & 7)).astype(np.uint8) if len(whole) else bits[:0])
+            out[open_[hit]] = ranks[found // RANK_BITS] + inside + np.where(found & 7, own, 0)
             open_ = open_[~hit]
         return out
 
-    def dump(self) -> list[bytes]:
-        return [len(b).to_bytes(8, "little") + np.packbits(b).tobytes() for b in self.levels]
-
-    @classmethod
-    def load(cls, levels: list[bytes]) -> PerfectHash:
-        return cls([np.unpackbits(np.frombuffer(b, np.uint8, offset=8), count=int.from_bytes(b[:8], "little")).astype(bool) for b in levels])
-
 
 SHARD = (
     "part int, seq int, rel_start long, first_key long, last_key long, width int, n_docs int, n_ids long, keys array<long>, "
@@ -117,7 +128,7 @@ def shard_row(keys: list[int | None], ids: list[np.ndarray], width: int) -> dict
     entries[slot] = np.stack([first + offset, count], 1) if len(distinct) else entries
     return {
         "first_key": int(known[0]) if len(known) else None, "last_key": int(known[-1]) if len(known) else None, "width": width,
-        "n_docs": len(keys), "n_ids": int(sum(sizes)), "keys": keys, "levels": index.dump(), "prints": prints.tobytes(), "entries": entries.tobytes(),
+        "n_docs": len(keys), "n_ids": int(sum(sizes)), "keys": keys, "levels": index.levels, "prints": prints.tobytes(), "entries": entries.tobytes(),
         "bounds": np.cumsum([0, *sizes]).tolist(), "payload": np.concatenate(ids).astype(f"<u{width}").tobytes() if ids else b"",
     }
 
@@ -127,7 +138,7 @@ class Shard:
 
     def __init__(self, row):
         self.row, self.keys = row, row.keys
-        self.index = PerfectHash.load(list(row.levels))
+        self.index = PerfectHash(list(row.levels))
         self.prints = np.frombuffer(row.prints, np.uint32)
         self.entries = np.frombuffer(row.entries, np.uint32).reshape(-1, 2)
         self.bounds = np.asarray(row.bounds, np.int64)
@@ -141,8 +152,8 @@ class Shard:
         slot = self.index.slots(keys)
         there = (slot >= 0) & (self.prints[slot] == fingerprint(keys))
         first, count = self.entries[slot].astype(np.int64).T
-        own = np.array([k if k is not None and k == k else -1 for k in self.row.keys], np.int64)
-        there &= own[np.where(there, first, 0)] == keys
+        at = np.flatnonzero(there)  # the stored key itself tells a fingerprint that agrees by chance
+        there[at] = [self.keys[i] == k for i, k in zip(first[at].tolist(), keys[at].tolist())]
         return first, np.where(there, count, 0)
 
     def read(self, document: int) -> np.ndarray:
@@ -177,7 +188,8 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int | None, scratch: S
     longer document.
     """
     ordered = documents(docs).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    # (doc_id, tie), so that rows of one doc_id, or of none, aren't bound to one task
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     shards = scratch.save(ordered.select("doc_id", "text").mapInPandas(_write(vocabulary, end_id, by_word, limit), SHARD), "shards")
     total = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per partition
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -225,10 +237,16 @@ def lookup(shards: DataFrame, parts: DataFrame, keys: DataFrame) -> DataFrame:
     Only shards whose key range holds an asked key are opened.
     """
     asked = keys.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    directory = shards.select("part", "seq", "first_key", "last_key")
-    found = asked.join(directory, (asked["key"] >= directory["first_key"]) & (asked["key"] <= directory["last_key"]))
+    directory = shards.where("first_key is not null").select("part", "seq", "first_key", "last_key")
+    r = directory.agg(F.min("first_key"), F.max("last_key"), F.count("*")).first()  # one row
+    bits = min(63, int((r[1] - r[0]) // r[2]).bit_length()) if r[2] else 0
+    cell = lambda c: F.shiftright(F.col(c), bits)
+    directory = directory.select("part", "seq", "first_key", "last_key", F.explode(F.sequence(cell("first_key"), cell("last_key"))).alias("cell"))
+    found = asked.withColumn("cell", cell("key")).join(directory, "cell").where("key between first_key and last_key")
     found = found.groupBy("part", "seq").agg(F.collect_set("key").alias("wanted"))
-    rows = shards.join(found, ["part", "seq"]).mapInPandas(_probe, "doc_id long, part int, rel long, ids array<long>")
+    # only the shards that are asked for are moved, but for a few
+    near = wanted_rows(shards.withColumn("shard", F.xxhash64("part", "seq")), "shard", found.select(F.xxhash64("part", "seq").alias("shard"))).drop("shard")
+    rows = near.join(found, ["part", "seq"]).mapInPandas(_probe, "doc_id long, part int, rel long, ids array<long>")
     return rows.join(parts, "part").select("doc_id", (F.col("rel") + F.col("before")).alias("start"), "ids")
 
 

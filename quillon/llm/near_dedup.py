@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash as wh
-from .common import Scratch, by_batch, documents, groups, marked_rows, wanted_rows
+from .common import Scratch, by_batch, documents, groups, marked_rows, unused, wanted_rows
 from .components import components
 
 HASHES, BINS = 64, 1024
@@ -272,8 +272,8 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, out: str)
     """rows with the component of a document's column; its own id without one."""
     if labels is None:
         return rows.withColumn(out, F.col(column))
-    known = labels.select(F.col("node").alias(column), F.col("label").alias("__l"))
-    return rows.join(known, column, "left").withColumn(out, F.coalesce("__l", column)).drop("__l")
+    known = labels.select(F.col("node").alias(column), F.col("label").alias("known_label"))
+    return rows.join(known, column, "left").withColumn(out, F.coalesce("known_label", column)).drop("known_label")
 
 
 def _crowds(rows: DataFrame, s: Scratch) -> DataFrame:
@@ -369,11 +369,12 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, that their component keeps."""
-    gone = near_duplicates(docs, width, per_cent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    key, goes, maybe = unused(docs.columns, "key", "goes", "maybe")
+    gone = near_duplicates(docs, width, per_cent).where(~F.col("kept")).select(F.col("doc_id").alias(goes)).distinct()
     # only rows that may go are dealt out by id
-    rows = marked_rows(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone, "__maybe")
-    asked = rows.where("__maybe").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    return rows.where(~F.col("__maybe")).unionByName(asked).select(*docs.columns)
+    rows = marked_rows(docs.withColumn(key, F.col("doc_id").cast("long")), key, gone, maybe)
+    asked = rows.where(F.col(maybe)).join(gone, F.col(key) == F.col(goes), "left_anti")
+    return rows.where(~F.col(maybe)).unionByName(asked).drop(key, maybe)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ from .common import Scratch, documents, trim
 from .tokens import default_vocabulary, encode_frame
 
 WINDOW = 2048
+#: Ranks (lengths times partitions) that are broadcast at most; beyond, tails meet them by partition.
+BROADCAST_RANKS = 4_000_000
 
 
 def combinations(hist: np.ndarray, window: int, grid: int = 48) -> np.ndarray:
@@ -207,14 +209,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, by
     places = Places(plan(hist, window))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("c").over(before.partitionBy("tail").orderBy("part")), F.lit(0))
-    ranks = s.save(counts.select("part", "tail", earlier.alias("earlier")), "ranks")
+    every = counts.select("part").distinct().select("part", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("tail"))
+    ranks = every.join(counts, ["part", "tail"], "left").select("part", "tail", earlier.alias("earlier"))
+    # a row per partition: for each length, the tails of it in earlier partitions
+    ranks = ranks.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("tail", "earlier"))).alias("x"))
+    ranks = s.save(ranks.select("part", F.col("x.earlier").alias("earlier")), "ranks")
     whole = tails.groupBy("part").agg(F.sum(F.size("crcs")).alias("w"))  # a row per partition
     whole = s.save(whole.select("part", F.coalesce(F.sum("w").over(before.orderBy("part")), F.lit(0)).alias("whole"), "w"), "whole")
     total = whole.agg(F.sum("w")).first()[0] or 0
-    rows = tails.join(ranks, ["part", "tail"]).join(F.broadcast(whole) if whole.count() <= 10_000 else whole, "part")
-    rows = rows.select(
-        "doc_id", "n", "crcs", "tail", "ids", (F.col("tail_rank") + F.col("earlier")).alias("rank"), (F.col("full_before") + F.col("whole")).alias("full_start")
-    )
+    parts = whole.join(ranks, "part").select("part", "whole", "earlier")
+    # eight bytes a length, so some tens of megabytes at most are broadcast
+    rows = tails.join(F.broadcast(parts) if whole.count() * window <= BROADCAST_RANKS else parts.hint("merge"), "part")
+    rank = F.col("tail_rank") + F.get("earlier", F.col("tail"))
+    rows = rows.select("doc_id", "n", "crcs", "tail", "ids", rank.alias("rank"), (F.col("full_before") + F.col("whole")).alias("full_start"))
     return s.close(rows.mapInPandas(_place(places, window, places.sequences, total), PIECES))
 
 

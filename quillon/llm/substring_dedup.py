@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import Scratch, by_batch, documents, marked_rows, wanted_rows
+from .common import Scratch, by_batch, documents, marked_rows, unused, wanted_rows
 
 WIDTH, SEED = 50, 8
 
@@ -109,8 +109,9 @@ def intervals(starts: np.ndarray, width: int) -> np.ndarray:
     return np.stack([s[new], s[last] + width], 1)
 
 
-def _marked(docs: DataFrame, s: Scratch, width: int, seed: int) -> DataFrame:
-    """docs with two more columns: __starts (of redundant windows), __twin (all words are an earlier document's)."""
+def _marked(docs: DataFrame, s: Scratch, width: int, seed: int) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: starts (of redundant windows), twin (all words are an earlier document's)."""
+    id_, row, maybe, own, twin = unused(docs.columns, "id", "row", "maybe", "starts", "twin")
     texts = documents(docs).withColumn("row", F.xxhash64("text"))
     scan = s.save(texts.mapInPandas(by_batch(_scan(width, seed)), "doc_id long, row long, n_words long, h1 long, h2 long, seeds array<long>"), "scan")
     # the smallest id stands for all texts of the same words: the others repeat its windows, all of them and no more
@@ -125,27 +126,27 @@ def _marked(docs: DataFrame, s: Scratch, width: int, seed: int) -> DataFrame:
     windows = s.save(windows, "windows")
     first = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     first = s.save(first.where("least <> most").select("w", "least"), "first")
-    starts = windows.join(first, "w").where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias("__starts"))
-    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__row")]
-    starts = s.save(starts.withColumnsRenamed({"doc_id": "__id", "row": "__row"}), "starts")
-    twins = twins.withColumnsRenamed({"doc_id": "__id", "row": "__row"}).withColumn("__twin", F.lit(True))
+    starts = windows.join(first, "w").where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias(own))
+    key = [F.col("doc_id").cast("long").alias(id_), F.xxhash64(F.col("text").cast("string")).alias(row)]
+    starts = s.save(starts.withColumnsRenamed({"doc_id": id_, "row": row}), "starts")
+    twins = twins.withColumnsRenamed({"doc_id": id_, "row": row}).withColumn(twin, F.lit(True))
     # only texts that may lose words are dealt out by id to meet their windows
-    rows = marked_rows(docs.select("*", *key), "__id", starts.select("__id").unionByName(twins.select("__id")), "__maybe")
-    met = rows.where("__maybe").join(starts, ["__id", "__row"], "left").join(twins, ["__id", "__row"], "left")
-    whole = rows.where(~F.col("__maybe")).withColumns({"__starts": F.lit(None).cast("array<int>"), "__twin": F.lit(False)})
-    out = met.unionByName(whole).drop("__id", "__row", "__maybe")
-    return out.withColumn("__twin", F.coalesce("__twin", F.lit(False)))
+    rows = marked_rows(docs.select("*", *key), id_, starts.select(id_).unionByName(twins.select(id_)), maybe)
+    met = rows.where(F.col(maybe)).join(starts, [id_, row], "left").join(twins, [id_, row], "left")
+    whole = rows.where(~F.col(maybe)).withColumns({own: F.lit(None).cast("array<int>"), twin: F.lit(False)})
+    out = met.unionByName(whole).drop(id_, row, maybe)
+    return out.withColumn(twin, F.coalesce(twin, F.lit(False))), own, twin
 
 
-def _cut(frame: pd.DataFrame, width: int) -> list[tuple[int, int, str, list[list[int]]]]:
-    """(words, words removed, kept words, removal intervals) of each row."""
+def _cut(frame: pd.DataFrame, width: int, own: str, twin: str) -> list[tuple[int, int, str, list[list[int]]]]:
+    """(words, words removed, kept words, removal intervals) of each row; its columns own and twin are those of _marked."""
     out = []
     buf, start, end, first = wh.word_spans(frame["text"].tolist())
     raw = buf.tobytes()
-    for k, (starts, twin) in enumerate(zip(frame["__starts"].tolist(), frame["__twin"].tolist())):
+    for k, (starts, all_go) in enumerate(zip(frame[own].tolist(), frame[twin].tolist())):
         a, b = int(first[k]), int(first[k + 1])
         n, keep = b - a, np.ones(b - a, bool)
-        spans = np.array([[0, n]] if twin and n >= width else [], np.int64).reshape(-1, 2)
+        spans = np.array([[0, n]] if all_go and n >= width else [], np.int64).reshape(-1, 2)
         if starts is not None and not len(spans):
             spans = intervals(np.asarray(starts, np.int64), width)
         for x, y in spans:
@@ -158,30 +159,32 @@ def _cut(frame: pd.DataFrame, width: int) -> list[tuple[int, int, str, list[list
 def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text), intervals (of word positions) for every row of docs."""
     s = Scratch(docs.sparkSession, "repeats")
+    marked, own, twin = _marked(documents(docs), s, width, seed)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_cut(frame, width), columns=["n_words", "n_removed", "kept", "intervals"])
+        out = pd.DataFrame(_cut(frame, width, own, twin), columns=["n_words", "n_removed", "kept", "intervals"])
         out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
         return out
 
     kind = "doc_id long, n_words long, n_removed long, kept string, intervals array<array<long>>"
-    return s.close(_marked(documents(docs), s, width, seed).mapInPandas(by_batch(run), kind))
+    return s.close(marked.mapInPandas(by_batch(run), kind))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """docs, all columns and rows, with the kept words as text (and n_chars, if there is one) where words were removed."""
     s = Scratch(docs.sparkSession, "repeats")
     columns = docs.columns
+    marked, own, twin = _marked(docs, s, width, seed)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = frame[columns].copy()
-        rows = _cut(frame, width)
+        rows = _cut(frame, width, own, twin)
         out["text"] = [kept if removed else text for text, (_, removed, kept, _) in zip(frame["text"].tolist(), rows)]
         if "n_chars" in columns:
             out["n_chars"] = [len(kept) if removed else n for n, (_, removed, kept, _) in zip(frame["n_chars"].tolist(), rows)]
         return out
 
-    return s.close(_marked(docs, s, width, seed).mapInPandas(by_batch(run), docs.schema))
+    return s.close(marked.mapInPandas(by_batch(run), docs.schema))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,13 @@
 it, nor between a letter or digit and the marks behind it, so a text's ids are
 those of its pieces one after the other.  A piece is a word, or a word's ASCII
 letters and the run of marks at its end.  Each distinct piece of a batch is
-encoded once; a bounded memory of earlier pieces saves most of that.
+encoded once; a bounded memory of earlier pieces saves most of that.  Pieces that
+differ in the case of A-Z are one, but for those with ``<|``: the library looks
+for its special units before it lower-cases.
 ``direct`` encodes texts as they are, for vocabularies that don't split so.
+
+Defined results: null and empty texts have no ids of their own; ids depend on the
+text alone, not on the texts that were encoded before.
 """
 
 from __future__ import annotations
@@ -86,6 +91,10 @@ class Encoder:
         buf, start, end, first = wh.word_spans(texts)
         start, end, first = pieces(buf, start, end, first)
         h = wh.hash_spans(buf, start, end, True)
+        marks = np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|")))
+        if len(marks):
+            special = np.unique(np.searchsorted(start, marks, "right") - 1)
+            h[special] = wh.mix(wh.hash_spans(buf, start[special], end[special], False) + np.uint64(1))
         distinct, at, where = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
