@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import Scratch
+from quillon.llm.common import OPEN, Scratch
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.near_dedup import without_near_duplicates
 from quillon.llm.packing import pack
@@ -62,9 +62,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
-    for name, stage in STAGES[:-1]:
-        docs = s.save(stage(spark, docs, sf_dir), name)
-        if before:
-            s.drop(before)
-        before = name
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES:
+            opened = len(OPEN)
+            docs = s.save(stage(spark, docs, sf_dir), name)
+            # the stage's own tables, and what it read, are done with
+            for tables in OPEN[opened:]:
+                tables.end()
+            if before:
+                s.drop(before)
+            before = name
+    except BaseException:
+        s.end()
+        raise
+    return docs
