@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from .elementwise import cell_index
 
 
+#: Blocks of particles where cells don't part them: pairs of blocks are keys of their own.
+BLOCKS = 16
+
+
 def minimum_image(d: Column, box: float) -> Column:
     return d - box * F.round(d / box)
 
@@ -21,10 +25,17 @@ def pairs_within(particles: DataFrame, cutoff: float, box: float, periodic: bool
     A range join made an equi-join: cells are no smaller than the cutoff, each
     particle is sent to the neighbouring cells (half of them suffice), and
     distances are tested within cells.  d is the place of a minus that of b.
+    Where the cutoff spans (nearly) the whole box, most pairs are results; then
+    particles are dealt to BLOCKS blocks by id, and every pair of blocks is a key.
     """
     cells = max(1, int(box / cutoff))
     if periodic and cells < 3:  # neighbours on both sides would be the same cell
         cells = 1
+    if cells == 1:
+        own, other = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)), F.explode(F.expr(f"sequence(0L, {BLOCKS - 1}L)"))
+        left = particles.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}a") for c in "xyz"), own.alias("i"), other.alias("j"))
+        right = particles.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}b") for c in "xyz"), own.alias("j"), other.alias("i"))
+        return _near(left.join(right, ["i", "j"]), cutoff, box, periodic)
     reach = range(-1, 2) if cells > 1 else range(1)
     offsets = [(i, j, k) for i in reach for j in reach for k in reach]
     cell = [cell_index(c, box, cells).alias(f"c{c}") for c in "xyz"]
@@ -36,7 +47,11 @@ def pairs_within(particles: DataFrame, cutoff: float, box: float, periodic: bool
         sent = sent.withColumn(f"c{c}", F.pmod(at, F.lit(cells)) if periodic else at)
     right = sent.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}b") for c in "xyz"), "cx", "cy", "cz")
     left = own.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}a") for c in "xyz"), "cx", "cy", "cz")
-    joined = left.join(right, ["cx", "cy", "cz"]).where("a < b")
+    return _near(left.join(right, ["cx", "cy", "cz"]), cutoff, box, periodic)
+
+
+def _near(joined: DataFrame, cutoff: float, box: float, periodic: bool) -> DataFrame:
+    joined = joined.where("a < b")
     gaps = {f"d{c}": F.col(f"{c}a") - F.col(f"{c}b") for c in "xyz"}
     if periodic:
         gaps = {k: minimum_image(d, box) for k, d in gaps.items()}
@@ -45,17 +60,17 @@ def pairs_within(particles: DataFrame, cutoff: float, box: float, periodic: bool
     return joined.withColumn("r2", r2).where(F.col("r2") < cutoff * cutoff)
 
 
-def radial_distribution(particles: DataFrame, box: float, bins: int, count: int) -> DataFrame:
-    """(bin, r, g) on [0, box/2]: pair counts over those of an even spread of ``count`` particles."""
+def radial_distribution(particles: DataFrame, box: float, bins: int) -> DataFrame:
+    """(bin, r, g) on [0, box/2]: pair counts over those of an even spread of as many particles."""
     width = box / 2 / bins
     pairs = pairs_within(particles, box / 2, box).select(F.floor(F.sqrt("r2") / width).cast("long").alias("bin")).where(F.col("bin") < bins)
     n = pairs.groupBy("bin").agg((2 * F.count("*")).alias("n"))
     every = particles.sparkSession.range(bins).withColumnRenamed("id", "bin")
     r = (F.col("bin") + 0.5) * width
     shell = F.lit(4 * math.pi * width) * r * r
-    return every.join(n, "bin", "left").select(
-        "bin", r.alias("r"), (F.coalesce("n", F.lit(0)) / (shell * F.lit(count * count / box**3))).alias("g")
-    )
+    total = particles.agg(F.count("*").cast("double").alias("total"))  # one row
+    spread = F.col("total") * F.col("total") / F.lit(box**3)
+    return every.join(n, "bin", "left").crossJoin(F.broadcast(total)).select("bin", r.alias("r"), (F.coalesce("n", F.lit(0)) / (shell * spread)).alias("g"))
 
 
 def sinc(x: Column) -> Column:

@@ -34,6 +34,25 @@ def row_numbers(df: DataFrame, idx: str = "idx", out: str = "rn", buckets: int |
     return prefix_sum(df.withColumn("__one", F.lit(1).cast("long")), idx, "__one", out, True, buckets).drop("__one")
 
 
+def ranks(df: DataFrame, by: list[Column], idx: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
+    """Position from 0 in the order of the ascending columns ``by``, then of the distinct idx, in two phases.
+
+    Rows of the same ``by`` are dealt to ordered buckets of idx; counts of the
+    groups and buckets are scanned, and each bucket numbers its own rows.  The
+    scan sees a row for each value of ``by`` and bucket.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"__by{i}" for i in range(len(by))]
+    marked = df.withColumns(dict(zip(names, by))).withColumn("__b", _bucket(df, idx, buckets))
+    counts = marked.groupBy(*names, "__b").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(*names, "__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*names, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy(*names, "__b").orderBy(idx)
+    same = [marked[c].eqNullSafe(starts[c]) for c in [*names, "__b"]]
+    joined = marked.join(starts, same).select(marked["*"], "__o")
+    return joined.withColumn(out, F.col("__o") + F.row_number().over(inside) - 1).drop(*names, "__b", "__o")
+
+
 def row_window(df: DataFrame, kind: str, idx: str = "idx") -> DataFrame:
     """Rows of a positional window: all, second_half, last_80_percent or last_fraction:f (one row at least)."""
     if kind == "all":
@@ -58,16 +77,37 @@ def every_nth(df: DataFrame, step: str, k: int) -> DataFrame:
 
 
 def relative_to_first(df: DataFrame, idx: str, v: str, nth: int = 1, by: list[str] | None = None, out: str = "ratio") -> DataFrame:
-    """v over its nth value in order, within each group of ``by``."""
-    w = Window.partitionBy(*(by or [])).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn(out, F.col(v) / F.nth_value(v, nth).over(w))
+    """v over its nth value in order, within each group of ``by``; null where there are fewer.
 
+    The nth values are made first, of the first rows only, and meet the rows by
+    group, so that no task holds a group.
+    """
+    if not by:
+        first = df.orderBy(idx).limit(nth).agg(F.when(F.count("*") == nth, F.max_by(v, idx)).alias("__f"))
+        return df.crossJoin(F.broadcast(first)).withColumn(out, F.col(v) / F.col("__f")).drop("__f")  # one row
+    place = Window.partitionBy(*by).orderBy(idx)  # row_number <= n is cut off before the shuffle
+    first = df.withColumn("__k", F.row_number().over(place)).where(F.col("__k") <= nth).where(F.col("__k") == nth).select(*by, F.col(v).alias("__f"))
+    keys = [df[c].eqNullSafe(first[c]) for c in by]
+    return df.join(first, keys, "left").select(df["*"], (df[v] / F.col("__f")).alias(out))
+
+
+def trapezoid(df: DataFrame, x: str, y: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Integral of y over x by trapezoids, per group, in two phases.
 
-def trapezoid(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Integral of y over x by trapezoids, per group."""
-    w = Window.partitionBy(*(by or [])).orderBy(x)
-    area = 0.5 * (F.col(y) + F.lead(y).over(w)) * (F.lead(x).over(w) - F.col(x))
-    return df.withColumn("__a", area).groupBy(*(by or [])).agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias("integral"))
+    Each ordered bucket sums its own trapezoids; its first and last points, a row a
+    group and bucket, give those between buckets.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = by or []
+    rows = df.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"), _bucket(df, x, buckets).alias("__b"))
+    inside = Window.partitionBy(*by, "__b").orderBy("__x")
+    area = 0.5 * (F.col("__y") + F.lead("__y").over(inside)) * (F.lead("__x").over(inside) - F.col("__x"))
+    ends = [f("__y", "__x").alias(n) for f, n in ((F.min_by, "__y0"), (F.max_by, "__y1"))]
+    sums = rows.withColumn("__a", area).groupBy(*by, "__b").agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias("__a"), F.min("__x").alias("__x0"), F.max("__x").alias("__x1"), *ends)
+    after = Window.partitionBy(*by).orderBy("__b")  # a row a bucket
+    gap = 0.5 * (F.col("__y1") + F.lead("__y0").over(after)) * (F.lead("__x0").over(after) - F.col("__x1"))
+    total = sums.withColumn("__g", F.coalesce(gap, F.lit(0.0))).groupBy(*by).agg(F.sum(F.col("__a") + F.col("__g")).alias("integral"))
+    return total.withColumn("integral", F.coalesce("integral", F.lit(0.0)))
 
 
 def smooth_periodic(bins: DataFrame, size: int, sigma: float = 1.0, idx: str = "bin", v: str = "v") -> DataFrame:

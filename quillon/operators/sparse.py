@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scans import ranks
 
 
 def spmv(a: DataFrame, x: DataFrame, rows: int | None = None) -> DataFrame:
@@ -37,8 +38,7 @@ def csr_to_ell(csr: DataFrame) -> DataFrame:
 
 def ell_to_jds(ell: DataFrame) -> DataFrame:
     """(place, r, nnz): rows by falling number of entries (ties: the smaller row first)."""
-    # as many rows as the matrix; ordering them is the format's definition
-    return ell.select((F.row_number().over(Window.orderBy(F.desc("nnz"), "r")) - 1).cast("long").alias("place"), "r", "nnz")
+    return ranks(ell.select("r", "nnz"), [-F.col("nnz")], "r", "place").select(F.col("place").cast("long").alias("place"), "r", "nnz")
 
 
 def spmv_csr(csr: DataFrame, x: DataFrame) -> DataFrame:

@@ -17,12 +17,12 @@ from ..sources import generators as S
 from ..sources.tables import table
 from ..streaming import simulation as T
 
-EDGES = """(SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem WHERE l_quantity = 50
-            UNION SELECT DISTINCT 2 * l_suppkey + 1, 2 * l_partkey FROM lineitem WHERE l_quantity = 50)"""
+EDGES = """(SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem
+            UNION SELECT DISTINCT 2 * l_suppkey + 1, 2 * l_partkey FROM lineitem)"""
 
 
 def edges(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity = 50")
+    rows = table(spark, d, "lineitem")
     return G.undirected(rows.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")))
 
 
@@ -47,9 +47,13 @@ def bfs_bottom_up(spark, d):
     return G.bfs_bottom_up(e, G.bfs(e, G.default_source(e), 1), 1)
 
 
-@register("graph_adjacency", "SELECT 2 * l_partkey AS src, CAST(count(*) AS INTEGER) AS degree FROM lineitem WHERE l_quantity = 50 GROUP BY 1 UNION ALL SELECT 2 * l_suppkey + 1, CAST(count(*) AS INTEGER) FROM lineitem WHERE l_quantity = 50 GROUP BY 1")
+@register(
+    "graph_adjacency",
+    """SELECT src, CAST(count(*) AS INTEGER) AS degree, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours
+       FROM (SELECT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem UNION ALL SELECT 2 * l_suppkey + 1, 2 * l_partkey FROM lineitem) GROUP BY 1""",
+)
 def graph_adjacency(spark, d):
-    return G.adjacency(edges(spark, d)).select("src", F.size("neighbours").alias("degree"))
+    return G.adjacency(edges(spark, d)).select("src", F.size("neighbours").alias("degree"), F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @register("rmat_edges")
@@ -68,11 +72,11 @@ def unique_coo(spark, d):
 
 
 #: Embedding components as positions and momenta, in thousandths.
-PARTS = """(SELECT vec_id AS id, """ + ", ".join(f"CAST(round(CAST(embedding[{k}] AS DOUBLE) * 1000) AS BIGINT) AS {c}" for k, c in enumerate(("x", "y", "z", "px", "py", "pz"), 1)) + " FROM embeddings WHERE vec_id < 400)"
+PARTS = """(SELECT vec_id AS id, """ + ", ".join(f"CAST(round(CAST(embedding[{k}] AS DOUBLE) * 1000) AS BIGINT) AS {c}" for k, c in enumerate(("x", "y", "z", "px", "py", "pz"), 1)) + " FROM embeddings)"
 
 
 def thousandths(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+    e = table(spark, d, "embeddings")
     c = [F.round(F.col("embedding")[k].cast("double") * 1000).cast("long").alias(n) for k, n in enumerate(("x", "y", "z", "px", "py", "pz"))]
     return e.select(F.col("vec_id").alias("id"), *c)
 
@@ -119,20 +123,25 @@ def _gap(c: str) -> str:
 R2 = " + ".join(f"{_gap(c)} * {_gap(c)}" for c in "xyz")
 
 
-@register("neighbour_pairs", f"SELECT a.id AS a, b.id AS b, CAST({R2} AS DOUBLE) AS r2 FROM {PARTS} a JOIN {PARTS} b ON a.id < b.id WHERE {R2} < 6400 AND greatest(abs(a.x), abs(a.y), abs(a.z), abs(b.x), abs(b.y), abs(b.z)) < 500")
+def in_box(p):
+    """Places moved into the box by whole edges, as cells need them; gaps by minimum image don't change."""
+    return p.withColumns({c: F.col(c) - BOX * F.floor((F.col(c) + BOX / 2) / BOX) for c in "xyz"})
+
+
+@register("neighbour_pairs", f"SELECT a.id AS a, b.id AS b, CAST({R2} AS DOUBLE) AS r2 FROM {PARTS} a JOIN {PARTS} b ON a.id < b.id WHERE {R2} < 6400")
 def neighbour_pairs(spark, d):
-    p = thousandths(spark, d).where("greatest(abs(x), abs(y), abs(z)) < 500")
+    p = in_box(thousandths(spark, d))
     return J.pairs_within(p, 80.0, BOX).select("a", "b", F.col("r2").cast("double").alias("r2"))
 
 
 RDF = f"""SELECT CAST(b AS BIGINT) AS bin, round(CAST((b + 0.5) * 50 AS DOUBLE), 6) AS r,
-    round(coalesce(n, 0) / (4 * pi() * 50 * ((b + 0.5) * 50) * ((b + 0.5) * 50) * (400.0 * 400.0 / 1e9)), 6) AS g FROM generate_series(0, 9) s(b)
+    round(coalesce(n, 0) / (4 * pi() * 50 * ((b + 0.5) * 50) * ((b + 0.5) * 50) * (t.c * t.c / 1e9)), 6) AS g FROM generate_series(0, 9) s(b) CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS c FROM embeddings) t
     LEFT JOIN (SELECT CAST(floor(sqrt({R2}) / 50) AS BIGINT) AS bin, 2 * count(*) AS n FROM {PARTS} a JOIN {PARTS} b ON a.id < b.id WHERE {R2} < 250000 GROUP BY 1) h ON h.bin = b"""
 
 
 @register("rdf", RDF)
 def rdf(spark, d):
-    return J.radial_distribution(thousandths(spark, d), BOX, 10, 400).select("bin", F.round("r", 6).alias("r"), F.round("g", 6).alias("g"))
+    return J.radial_distribution(thousandths(spark, d), BOX, 10).select("bin", F.round("r", 6).alias("r"), F.round("g", 6).alias("g"))
 
 
 @register(
@@ -218,10 +227,10 @@ def scale_momenta(spark, d):
 
 
 @register("lennard_jones_pairs", f"""WITH p AS (SELECT a.id AS a, b.id AS b, ({R2}) / 6400.0 AS r2 FROM {PARTS} a JOIN {PARTS} b ON a.id < b.id
-        WHERE {R2} < 6400 * 1.44 AND greatest(abs(a.x), abs(a.y), abs(a.z), abs(b.x), abs(b.y), abs(b.z)) < 500)
+        WHERE {R2} < 6400 * 1.44)
         SELECT a, b, round(CASE WHEN r2 > 1e-6 THEN 4 * (pow(1 / r2, 3) * pow(1 / r2, 3) - pow(1 / r2, 3)) ELSE 0 END, 6) AS energy FROM p WHERE r2 > 0.5""")
 def lennard_jones_pairs(spark, d):
-    p = thousandths(spark, d).where("greatest(abs(x), abs(y), abs(z)) < 500")
+    p = in_box(thousandths(spark, d))
     r2 = F.col("r2") / 6400
     return J.pairs_within(p, 96.0, BOX).where(r2 > 0.5).select("a", "b", F.round(X.lennard_jones(r2)[2], 6).alias("energy"))
 

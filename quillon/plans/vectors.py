@@ -211,11 +211,11 @@ def format_sizes(spark, d):
 
 
 DENSE = """(SELECT vec_id AS r, CAST(i - 1 AS BIGINT) AS c, CAST(floor(embedding[i] * 256) AS BIGINT) AS v
-            FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id < 200))"""
+            FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
 
 
 def dense(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("r"), F.posexplode("embedding").alias("c", "x"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("r"), F.posexplode("embedding").alias("c", "x"))
     return e.select("r", F.col("c").cast("long").alias("c"), F.floor(F.col("x").cast("double") * 256).alias("v"))
 
 
@@ -369,12 +369,16 @@ def upsert_latest(spark, d):
 
 @register(
     "three_sort_modes",
-    """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS by_date, CAST(row_number() OVER (ORDER BY lower(o_orderpriority), o_orderkey) AS INTEGER) AS by_name
-       FROM orders WHERE o_orderkey < 500""",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS by_date,
+       row_number() OVER (ORDER BY lower(o_orderpriority), o_orderkey) - 1 AS by_name,
+       row_number() OVER (ORDER BY nullif(o_orderpriority, '4-NOT SPECIFIED') IS NULL, lower(o_orderstatus), o_orderkey) - 1 AS by_absent FROM orders""",
 )
 def three_sort_modes(spark, d):
-    from pyspark.sql.window import Window
-
-    o = table(spark, d, "orders").where("o_orderkey < 500")  # a page of a listing
-    by = lambda *c: F.row_number().over(Window.orderBy(*c))
-    return o.select("o_orderkey", by(F.desc("o_orderdate"), "o_orderkey").alias("by_date"), by(F.lower("o_orderpriority"), "o_orderkey").alias("by_name"))
+    """Newest first; by name whatever its case; those with a value before those without, by name."""
+    o = table(spark, d, "orders")
+    absent = (F.col("o_orderpriority") == "4-NOT SPECIFIED").cast("int")
+    orders = {"by_date": [F.datediff(F.lit("1970-01-01"), "o_orderdate")], "by_name": [F.lower("o_orderpriority")], "by_absent": [absent, F.lower("o_orderstatus")]}
+    out = o.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    for name, by in orders.items():
+        out = W.ranks(out, by, "o_orderkey", name)
+    return out.select("o_orderkey", *orders)

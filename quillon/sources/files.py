@@ -68,7 +68,7 @@ def lammps_dump(spark: SparkSession, path: str) -> DataFrame:
     frames = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "ITEM: TIMESTEP")).alias("f")).where(F.trim("f") != "")
     step = F.regexp_extract("f", r"^\s*(\d+)", 1).try_cast("long")
     names = F.split(F.trim(F.regexp_extract("f", r"ITEM: ATOMS([^\n]*)", 1)), r"\s+")
-    body = F.regexp_extract("f", r"ITEM: ATOMS[^\n]*\n([^I]*)", 1)
+    body = F.regexp_extract("f", r"ITEM: ATOMS[^\n]*\n((?s:.*?))(?=ITEM: |\z)", 1)
     last = frames.select(step.alias("step"), names.alias("names"), body.alias("body"))
     last = last.agg(F.max_by(F.struct("step", "names", "body"), "step").alias("x")).select("x.*")
     atoms = last.select("step", "names", F.posexplode(F.split("body", "\n")).alias("line", "value")).where(F.trim("value") != "")
@@ -127,7 +127,7 @@ def first_pages(df: DataFrame, text: str = "text", limit: int = 6000, out: str =
     return df.withColumn(out, F.substring(text, 1, limit))
 
 
-def relevant_papers(df: DataFrame, word: str = "qgp") -> DataFrame:
+def relevant_papers(df: DataFrame, word: str) -> DataFrame:
     """Search results with an identifier or the word in title or summary."""
     hit = F.contains(F.lower(F.concat_ws(" ", "title", "summary")), F.lit(word))
     return df.where(F.coalesce(F.col("arxiv_id") != "", F.lit(False)) | F.coalesce(hit, F.lit(False)))

@@ -49,11 +49,11 @@ def test_json_folder_and_archive_sources(spark, tmp_path):
     db = files.json_documents(spark, str(tmp_path / "db.json"), "path string, short string", {"short": "-"})
     assert sorted(map(tuple, db.collect())) == [("a", "s"), ("b", "-")]
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "QGP_flow.pdf").write_text("x")
+    (tmp_path / "sub" / "Plasma_flow.pdf").write_text("x")
     (tmp_path / "sub" / "other.pdf").write_text("xyz")
-    found = files.scan_folder(spark, str(tmp_path / "sub"), ".pdf", ["qgp", "flow"])
-    assert [(r.name, r.tags) for r in found.collect()] == [("QGP_flow.pdf", ["qgp", "flow"])]
-    assert files.scan_folder(spark, str(tmp_path / "sub"), ".pdf", ["qgp"], found).count() == 0
+    found = files.scan_folder(spark, str(tmp_path / "sub"), ".pdf", ["plasma", "flow"])
+    assert [(r.name, r.tags) for r in found.collect()] == [("Plasma_flow.pdf", ["plasma", "flow"])]
+    assert files.scan_folder(spark, str(tmp_path / "sub"), ".pdf", ["plasma"], found).count() == 0
     import io
     import tarfile
 
