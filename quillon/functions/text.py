@@ -134,8 +134,12 @@ def inline_to_latex(text: Column) -> Column:
 
 
 def escape_latex(text: Column) -> Column:
-    out = F.regexp_replace(text, r"([&%$#_{}])", r"\\$1")
-    return F.replace(F.replace(out, F.lit("~"), F.lit(r"\textasciitilde{}")), F.lit("^"), F.lit(r"\textasciicircum{}"))
+    """Characters that LaTeX gives a meaning, as themselves."""
+    held = F.replace(text, F.lit("\\"), F.lit("\x00"))  # backslashes first, as the others bring new ones
+    out = F.regexp_replace(held, r"([&%$#_{}])", r"\\$1")
+    for sign, name in (("~", "asciitilde"), ("^", "asciicircum"), ("\x00", "backslash")):
+        out = F.replace(out, F.lit(sign), F.lit(rf"\text{name}{{}}"))
+    return out
 
 
 def key_value(line: Column, key: str) -> Column:

@@ -140,3 +140,18 @@ def mean_squared_displacement(box: float) -> Column:
         d = F.col(c) + F.col(f"i{c}") * F.lit(box) - F.col(f"{c}0")
         total = d * d if total is None else total + d * d
     return F.avg(total)
+
+
+def thermo_summary(df: DataFrame, particles: int, rho: float, window: str = "second_half", per_particle: bool = False, idx: str = "step") -> DataFrame:
+    """Means over the steady window of a run: temperature, pressure, compressibility factor P / (rho T), and energies a particle.
+
+    df holds idx, t, p, pe and total; energies of the whole system unless ``per_particle``.
+    """
+    from .scans import row_window
+
+    scale = F.lit(1.0 if per_particle else float(particles))
+    mean = row_window(df, window, idx).agg(*(F.avg(c).alias(c) for c in ("t", "p", "pe", "total")))
+    return mean.select(
+        F.col("t").alias("t_mean"), F.col("p").alias("p_mean"), (F.col("p") / (rho * F.col("t"))).alias("z_mean"), (F.col("pe") / scale).alias("pe_per_particle"),
+        (F.col("total") / scale).alias("total_per_particle"),
+    )

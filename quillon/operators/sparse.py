@@ -48,6 +48,26 @@ def spmv_csr(csr: DataFrame, x: DataFrame) -> DataFrame:
     return csr.select("r").join(y, "r", "left").select("r", F.coalesce("y", F.lit(0)).alias("y"))
 
 
+def spmv_ell(ell: DataFrame, x: DataFrame) -> DataFrame:
+    """Product from the padded form: what fills a row up, behind its ``nnz`` entries, is passed over."""
+    flat = ell.select("r", "nnz", F.posexplode("entries").alias("k", "e")).where("k < nnz").select("r", "e.c", "e.v")
+    y = flat.join(x.withColumnRenamed("i", "c"), "c").groupBy("r").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+    return ell.select("r").join(y, "r", "left").select("r", F.coalesce("y", F.lit(0)).alias("y"))
+
+
+def jds_diagonals(ell: DataFrame) -> DataFrame:
+    """(k, place, c, v): the jagged diagonals, i.e. the k-th entries of all rows that have as many, rows by falling length."""
+    order = ell_to_jds(ell).select("place", F.col("r").alias("row"))
+    flat = ell.select("r", "nnz", F.posexplode("entries").alias("k", "e")).where("k < nnz")
+    return flat.join(order, flat["r"] == order["row"]).select("k", "place", "e.c", "e.v")
+
+
+def spmv_jds(diagonals: DataFrame, order: DataFrame, x: DataFrame) -> DataFrame:
+    """Product from the jagged diagonals; ``order`` (place, r) leads back to rows."""
+    y = diagonals.join(x.withColumnRenamed("i", "c"), "c").groupBy("place").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+    return order.join(y, "place", "left").select("r", F.coalesce("y", F.lit(0)).alias("y"))
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """(r, c, v) of A B by a join on the inner index."""
     pairs = a.select("r", F.col("c").alias("k"), F.col("v").alias("x")).join(b.select(F.col("r").alias("k"), "c", F.col("v").alias("y")), "k")

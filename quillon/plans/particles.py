@@ -424,3 +424,46 @@ def juttner_fit(spark, d):
     bins = A.density_histogram(p, 0.0, 2.5, 50).select(((F.col("bin") + 0.5) * 0.05).alias("p"), "density")
     _, t = fit_juttner(bins, 0.5)
     return spark.createDataFrame([(round(t, 3),)], "temperature double")
+
+
+@register(
+    "thermo_summary",
+    f"""WITH s AS (SELECT step, cents / 1000.0 AS t, CAST(n AS DOUBLE) AS p, -1.0 * cents AS pe, 0.5 * cents AS total FROM {SERIES}),
+        w AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY step) - 1 AS k, count(*) OVER () AS c FROM s) WHERE k >= c // 2)
+        SELECT round(avg(t), 6) AS t_mean, round(avg(p), 6) AS p_mean, round(avg(p) / (0.8 * avg(t)), 6) AS z_mean, round(avg(pe) / 64, 6) AS pe_per_particle,
+        round(avg(total) / 64, 6) AS total_per_particle FROM w""",
+)
+def thermo_summary(spark, d):
+    s = series(spark, d).select("step", (F.col("cents") / 1000).alias("t"), F.col("n").cast("double").alias("p"), (-1.0 * F.col("cents")).alias("pe"), (0.5 * F.col("cents")).alias("total"))
+    out = A.thermo_summary(s, 64, 0.8)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@register(
+    "closed_formulas",
+    f"""SELECT id, round((1 + eta + eta * eta - pow(eta, 3)) / pow(1 - eta, 3) - 0.3 * rho / 1.5, 9) AS mean_field, round(1 / (1 - 4 * eta), 9) AS excluded,
+        round(1 + 2.5 * eta + 4.59 * eta * eta, 9) AS series, round(4 * pi() * pow(1 / (3 * pi()), 1.5) * rho * rho * exp(-rho * rho / 3), 9) AS maxwell,
+        round(rho * rho * exp(-sqrt(rho * rho + 0.25) / 0.4), 9) AS juttner
+        FROM (SELECT id, abs(x) / 2000.0 AS rho, abs(x) / 2000.0 * (pi() / 6) AS eta FROM {PARTS})""",
+)
+def closed_formulas(spark, d):
+    rho = F.abs("x") / 2000.0
+    p = thousandths(spark, d).select("id", rho.alias("rho"))
+    rho, eta = F.col("rho"), X.packing_fraction(F.col("rho"), 1.0)
+    out = {
+        "mean_field": X.mean_field_z(eta, rho, 1.5, 0.3), "excluded": X.contact_value(eta, "excluded_volume"), "series": X.contact_value(eta, 2),
+        "maxwell": X.maxwell_speed(rho, 1.5), "juttner": X.juttner_shape(rho, 0.4, 0.5),
+    }
+    return p.select("id", *(F.round(v, 9).alias(k) for k, v in out.items()))
+
+
+@register(
+    "virial_and_tails",
+    """WITH g AS (SELECT i, i * 0.003 AS r FROM generate_series(1, 4000) s(i)),
+        b AS (SELECT 2 * pi() * 0.003 * sum((1 - exp(-least(4 * (pow(r, -12) - pow(r, -6)) / 1.3, 700))) * r * r * (CASE WHEN i = 4000 THEN 0.5 ELSE 1 END)) AS b2 FROM g)
+        SELECT round(b2, 6) AS b2, round(16.0 / 3 * pi() * 0.64 * (2.0 / 3 * pow(2.5, -9) - pow(2.5, -3)), 9) AS pressure_tail,
+        round(8.0 / 3 * pi() * 0.8 * (pow(2.5, -9) / 3 - pow(2.5, -3)), 9) AS energy_tail FROM b""",
+)
+def virial_and_tails(spark, d):
+    row = (round(X.second_virial(1.3), 6), round(X.pressure_tail(0.8), 9), round(X.energy_tail(0.8), 9))
+    return spark.createDataFrame([row], "b2 double, pressure_tail double, energy_tail double")

@@ -197,10 +197,11 @@ def summary_comparison(spark, d):
 
 @register(
     "markdown_lines",
-    r"""SELECT * FROM (VALUES (0, 'heading', '\section{Title}'), (1, 'list', '\item \textbf{bold} and \texttt{code}'), (2, 'table', 'a & b \\'), (3, 'separator', '\hline'), (4, 'text', '\href{u}{link}')) t(line, kind, latex)""",
+    r"""SELECT * FROM (VALUES (0, 'heading', '\section{Title}'), (1, 'list', '\item \textbf{bold} and \texttt{code}'), (2, 'table', 'a & b \\'), (3, 'separator', '\hline'), (4, 'text', '\href{u}{link}'), (5, 'text', '50\% \& more\_x \textbackslash{}y \textasciitilde{}'),
+       (6, 'table', '\$1 & a\_b \\')) t(line, kind, latex)""",
 )
 def markdown_lines(spark, d):
-    rows = ["# Title", "- **bold** and `code`", "| a | b |", "|---|---|", "[link](u)"]
+    rows = ["# Title", "- **bold** and `code`", "| a | b |", "|---|---|", "[link](u)", "50% & more_x \\y ~", "| $1 | a_b |"]
     return K.markdown_to_latex(spark.createDataFrame(list(enumerate(rows)), "line int, text string"))
 
 

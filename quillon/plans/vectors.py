@@ -180,6 +180,17 @@ def spmv_csr(spark, d):
     return P.spmv_csr(P.coo_to_csr(coo(spark, d), suppliers(spark, d)), price(spark, d))
 
 
+@register("spmv_ell", SPMV)
+def spmv_ell(spark, d):
+    return P.spmv_ell(P.csr_to_ell(P.coo_to_csr(coo(spark, d), suppliers(spark, d))), price(spark, d))
+
+
+@register("spmv_jds", SPMV)
+def spmv_jds(spark, d):
+    ell = P.csr_to_ell(P.coo_to_csr(coo(spark, d), suppliers(spark, d)))
+    return P.spmv_jds(P.jds_diagonals(ell), P.ell_to_jds(ell).select("place", "r"), price(spark, d))
+
+
 @register(
     "coo_to_csr_ptrs",
     f"""SELECT r, CAST(nnz AS BIGINT) AS nnz, CAST(coalesce(sum(nnz) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start

@@ -31,9 +31,14 @@ def uniform_edges(spark: SparkSession, vertices: int, edges: int, seed: int = 12
 
 
 def unique_coo(spark: SparkSession, rows: int, cols: int, nnz: int, seed: int = 3) -> DataFrame:
-    """Random entries, one per place."""
+    """``nnz`` random entries, one per place: the first so many different places that are drawn."""
     at = lambda k, n: F.floor(hash_uniform(seed, "id", F.lit(k)) * n)
-    return spark.range(nnz).select(at(0, rows).alias("r"), at(1, cols).alias("c"), hash_uniform(seed, "id", F.lit(2)).alias("v")).dropDuplicates(["r", "c"])
+    wanted, drawn = min(nnz, rows * cols), max(1, nnz)
+    while True:
+        drawn *= 2
+        first = spark.range(drawn).select("id", at(0, rows).alias("r"), at(1, cols).alias("c")).groupBy("r", "c").agg(F.min("id").alias("id"))
+        if first.count() >= wanted:
+            return first.orderBy("id").limit(wanted).select("r", "c", hash_uniform(seed, "id", F.lit(2)).alias("v"))
 
 
 def vector(spark: SparkSession, n: int, seed: int = 5, levels: int | None = None) -> DataFrame:

@@ -58,13 +58,13 @@ def markdown_report(title: str, tables: dict[str, DataFrame], limit: int = 1000)
 
 def markdown_to_latex(lines: DataFrame, order: str = "line", text: str = "text") -> DataFrame:
     """(line, kind, latex) of Markdown lines; headings, images, list items, tables and inline marks are translated."""
-    from ..functions.text import classify_markdown, heading_level, inline_to_latex
+    from ..functions.text import classify_markdown, escape_latex, heading_level, inline_to_latex
 
     kind, level = classify_markdown(F.col(text)), heading_level(F.col(text))
-    body = inline_to_latex(F.trim(F.regexp_replace(F.trim(F.col(text)), r"^(#{1,6}|[-*+]|\d+[.])\s+", "")))
+    body = inline_to_latex(escape_latex(F.trim(F.regexp_replace(F.trim(F.col(text)), r"^(#{1,6}|[-*+]|\d+[.])\s+", ""))))
     section = F.when(level == 1, "section").when(level == 2, "subsection").when(level == 3, "subsubsection").otherwise("paragraph")
     image = F.regexp_extract(text, r"!\[[^\]]*\]\(([^)]*)\)", 1)
-    cells = F.array_join(F.transform(F.split(F.regexp_replace(F.trim(F.col(text)), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), " & ")
+    cells = F.array_join(F.transform(F.split(F.regexp_replace(F.trim(F.col(text)), r"^\||\|$", ""), r"\|"), lambda c: escape_latex(F.trim(c))), " & ")
     latex = (
         F.when(kind == "heading", F.concat(F.lit("\\"), section, F.lit("{"), body, F.lit("}"))).when(kind == "image", F.concat(F.lit("\\includegraphics{"), image, F.lit("}")))
         .when(kind == "list", F.concat(F.lit("\\item "), body)).when(kind == "table", F.concat(cells, F.lit(" \\\\"))).when(kind == "separator", F.lit("\\hline"))
