@@ -290,3 +290,42 @@ def test_bfs_levels_reach_the_end_of_a_long_component(spark, tmp_path):
     frame(spark, rows, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.v: r.level for r in registry.queries()["bfs_levels"](spark, str(tmp_path)).collect()}
     assert got == {2 * i: 2 * (i - 1) for i in range(1, 11)} | {2 * i + 1: 2 * i - 1 for i in range(1, 11)}
+
+
+def test_ranks_integrals_and_first_values_in_two_phases(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(i, rng.choice([None, "b", "A", "c"]), rng.choice([1, 2]), float(rng.randrange(50))) for i in rng.sample(range(10_000), 300)]
+    df = spark.createDataFrame(data, "idx long, name string, g int, v double").repartition(5)
+    want = {r[0]: k for k, r in enumerate(sorted(data, key=lambda r: (r[1] is not None, (r[1] or "").lower(), r[0])))}
+    assert {r.idx: r.rank for r in scans.ranks(df, [F.lower("name")], "idx", buckets=7).collect()} == want
+    area = {}
+    for g in (None, 1, 2):
+        rows = sorted((r[0], r[3]) for r in data if g in (None, r[2]))
+        area[g] = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(rows, rows[1:]))
+    assert abs(scans.trapezoid(df, "idx", "v", buckets=7).first().integral - area[None]) < 1e-6
+    assert all(abs(r.integral - area[r.g]) < 1e-6 for r in scans.trapezoid(df, "idx", "v", ["g"], 7).collect())
+    assert scans.trapezoid(df.limit(0), "idx", "v").first().integral == 0 and scans.ranks(df.limit(0), [F.col("name")], "idx").count() == 0
+    third = {g: sorted((r[0], r[3]) for r in data if r[2] == g)[2][1] for g in (1, 2)}
+    got = scans.relative_to_first(df.withColumn("v", F.col("v") + 1), "idx", "v", 3, ["g"]).collect()
+    assert len(got) == 300 and all(abs(r.ratio - r.v / (third[r.g] + 1)) < 1e-9 for r in got)
+    assert scans.relative_to_first(df, "idx", "v", 400).where("ratio is not null").count() == 0
+
+
+def test_random_entries_are_as_many_as_asked(spark):
+    for rows, cols, nnz in ((64, 64, 1000), (3, 3, 20), (5, 4, 20), (2, 2, 0)):
+        got = generators.unique_coo(spark, rows, cols, nnz).collect()
+        assert len(got) == len({(r.r, r.c) for r in got}) == min(nnz, rows * cols) and all(0 <= r.r < rows and 0 <= r.c < cols for r in got)
+
+
+def test_pairs_of_a_wide_cutoff_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    places = [(i, *(rng.uniform(-5, 5) for _ in range(3))) for i in range(60)]
+    df = spark.createDataFrame(places, "id long, x double, y double, z double")
+    gap = lambda a, b: sum((u - v - 10 * round((u - v) / 10)) ** 2 for u, v in zip(a[1:], b[1:]))
+    want = {(a[0], b[0]) for a in places for b in places if a[0] < b[0] and gap(a, b) < 25}
+    found = [(r.a, r.b) for r in neighbours.pairs_within(df, 5.0, 10.0).collect()]
+    assert len(found) == len(want) and set(found) == want
