@@ -47,17 +47,21 @@ def components(links: DataFrame, s: Scratch, name: str = "components") -> DataFr
     while True:
         around = links.join(_copied(labels.withColumnRenamed("node", "b"), "b", heavy), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
         near = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        near = s.save(near, f"{name}-near")
+        near = s.save(near, f"{name}-near{turn}")
         # labels that have another label themselves
         hops = near.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("next")).join(near.select("label").distinct(), "label")
         hops = s.save(hops, f"{name}-hops")
-        often = near.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("label")
-        asks = marked_rows(near, "label", hops.select("label"), "hops")
-        moved = _salted(asks.where("hops"), "label", "node", often).join(_copied(hops, "label", often), ["label", "salt"], "left")
-        moved = moved.select("node", "old", F.coalesce("next", "label").alias("label")).unionByName(asks.where("not hops").select("node", "old", "label"))
-        moved = s.save(moved, f"{name}-{turn + 1}")
+        if hops.limit(1).count():
+            often = near.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("label")
+            asks = marked_rows(near, "label", hops.select("label"), "hops")
+            moved = _salted(asks.where("hops"), "label", "node", often).join(_copied(hops, "label", often), ["label", "salt"], "left")
+            moved = moved.select("node", "old", F.coalesce("next", "label").alias("label")).unionByName(asks.where("not hops").select("node", "old", "label"))
+            moved = s.save(moved, f"{name}-{turn + 1}")
+            s.drop(f"{name}-near{turn}")
+        else:
+            moved = near
         changed = moved.where("old <> label").limit(1).count()
-        s.drop(f"{name}-{turn}", f"{name}-near", f"{name}-hops")
+        s.drop(f"{name}-{turn}", f"{name}-near{turn - 1}", f"{name}-hops")
         labels, turn = moved.select("node", "label"), turn + 1
         if not changed:
             s.drop(f"{name}-links", f"{name}-heavy")
