@@ -350,7 +350,8 @@ def near_duplicates(
             chosen = s.save(ends.withColumn("place", place).where(F.col("place") <= named).select("a", "b").distinct(), f"chosen{turn}")
         told = s.save(_told(chosen, texts, width, per_cent), f"told{turn}")
         done = told if done is None else done.unionByName(told)
-        labels = components(done.where("linked").select("a", "b"), s, f"components{turn}")
+        if told.where("linked").limit(1).count():  # else the components are as before
+            labels = components(done.where("linked").select("a", "b"), s, f"components{turn}")
         if named is None:
             break
         left = s.save(pairs.join(chosen, ["a", "b"], "left_anti"), f"left{turn}")
