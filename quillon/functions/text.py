@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,22 +65,21 @@ def join_paragraphs(df: DataFrame, key: str, paragraph: str = "paragraph", order
     return df.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r[paragraph]), "\n\n").alias("text"))
 
 
+# fixed values: commands whose paragraphs hold no prose, file commands, and commands whose argument is prose
+_NO_PROSE = ["\\def", "\\newcommand", "\\usepackage", "\\documentclass", "\\bibliographystyle", "\\bibliography"]
+_FILES = ["\\input", "\\include", "\\subfile"]
+_PROSE = ["\\title", "\\section", "\\subsection", "\\subsubsection", "\\caption", "\\author"]
+
+
 def worth_translating(p: Column) -> Column:
-    """False for blank paragraphs, comments, pure markup or numbers, and what has no run of three letters."""
-    t = F.trim(p)
-    lines = F.split(t, "\n")
-    rules = [
-        F.length(t) == 0,
-        F.forall(lines, lambda x: F.startswith(F.ltrim(x), F.lit("%"))),
-        t.rlike(r"^\\(begin|end)\{[^}]*\}$"),
-        t.rlike(r"^\\(documentclass|usepackage|newcommand|renewcommand|bibliography|bibliographystyle|label|input|include|maketitle|tableofcontents)\b"),
-        t.rlike(r"^[\d\s.,;:()\[\]+*/=<>-]*$"),
-        ~t.rlike(r"\p{L}{3}"),
-    ]
-    bad = rules[0]
-    for r in rules[1:]:
-        bad = bad | r
-    return ~bad
+    """False for blank paragraphs, comments, definitions, figures without a caption, file commands, and a lone command whose argument isn't prose."""
+    t = F.regexp_replace(p, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^\s+", "")), lambda x: x != "")
+    begins = lambda c, names: reduce(or_, (F.startswith(c, F.lit(n)) for n in names))
+    lone = t.rlike(r"^\\[a-zA-Z]+\{[^}]+\}$") & ~reduce(or_, (F.contains(t, F.lit(n)) for n in _PROSE))
+    figure = F.startswith(t, F.lit("\\begin{figure}")) & ~F.contains(t, F.lit("\\caption"))
+    comment = F.forall(lines, lambda x: F.startswith(x, F.lit("%")))
+    return ~((t == "") | comment | begins(t, _NO_PROSE) | figure | F.forall(lines, lambda x: begins(x, _FILES)) | lone)
 
 
 def strip_environment(p: Column) -> tuple[Column, Column, Column]:

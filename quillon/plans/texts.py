@@ -91,11 +91,14 @@ def paragraph_join(spark, d):
 
 @register(
     "paragraph_filter",
-    """SELECT k AS worth, count(*) AS n FROM (SELECT regexp_matches(trim(p), '[a-zA-Z]{3}') AS k FROM (SELECT unnest(string_split(text, chr(10))) AS p FROM documents WHERE lang = 'en')) GROUP BY 1""",
+    r"""SELECT NOT (t = '' OR regexp_matches(t, '^(%|\\(def|newcommand|usepackage|documentclass|bibliography|input|include|subfile))')
+                   OR (starts_with(t, '\begin{figure}') AND NOT contains(t, '\caption'))
+                   OR (regexp_matches(t, '^\\[a-zA-Z]+\{[^}]+\}$') AND NOT regexp_matches(t, '\\(title|section|subsection|subsubsection|caption|author)'))) AS worth,
+              count(*) AS n
+       FROM (SELECT regexp_replace(p, '^\s+|\s+$', '', 'g') AS t FROM (SELECT unnest(string_split(text, chr(10))) AS p FROM documents)) GROUP BY 1""",
 )
 def paragraph_filter(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("p"))
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("p"))
     return lines.select(T.worth_translating(F.col("p")).alias("worth")).groupBy("worth").agg(F.count("*").alias("n"))
 
 

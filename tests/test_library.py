@@ -228,7 +228,9 @@ def test_texts(spark):
     df = frame(spark, [(1, "x" * 1801), (2, "")], "doc_id long, text string")
     assert [(r.chunk_no, len(r.chunk)) for r in text.chunks(df).orderBy("chunk_no").collect()] == [(0, 1000), (1, 1000), (2, 201)]
     p = frame(spark, [("\\begin{abstract} body \\end{abstract}",), ("% c",), ("12 + 3",), ("A real sentence.",)], "p string")
-    assert [r[0] for r in p.select(text.worth_translating(F.col("p"))).collect()] == [True, False, False, True]
+    assert [r[0] for r in p.select(text.worth_translating(F.col("p"))).collect()] == [True, False, True, True]
+    q = frame(spark, [(x,) for x in ("\\def\\a{b}", "\\begin{figure}\nx\n\\end{figure}", "\\input{a}\n \\include{b}", "\\input{a}\nwords", "\\label{x}", "\\section{Intro}")], "p string")
+    assert [r[0] for r in q.select(text.worth_translating(F.col("p"))).collect()] == [False, False, False, True, False, True]
     head, body, tail = p.select(*text.strip_environment(F.col("p"))).first()
     assert (head.strip(), body.strip(), tail.strip()) == ("\\begin{abstract}", "body", "\\end{abstract}")
     one = frame(spark, [("\\input{a} \\include{b.tex}", "\\alpha中", "T: 5 | x")], "a string, b string, c string")
