@@ -52,9 +52,10 @@ class Scratch:
         OPEN.append(self)
         atexit.register(self.end)
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
         """df, written under ``name`` and read again."""
         writer = df.write.mode("overwrite")
+        writer = writer.option("compression", codec) if codec else writer
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name)) if not partition_by else self.spark.read.parquet(self.path(name))
