@@ -20,9 +20,14 @@ footers are, while an article varies in build or holds most of the text.
 A page adds what it knows of an element itself: it favours what lies in the
 article (the element article or main, or else the smallest container that holds
 half of the text) and running text, and disfavours what lies outside a marked
-article, and by ``NAMED`` what HTML or the whole name of a class or id sets apart (nav,
-footer, aside, form; ad, comments ...), unless that holds most of the page's text
-and no article elsewhere.  Elements below ``least`` go with all that is in
+article, and by ``NAMED`` what HTML or the name of a class or id sets apart (nav,
+footer, aside, form; ad, comments ...; by the first part of a name, as in ad-slot,
+only what holds a minor share of the text), unless that holds most of the page's text
+and no article elsewhere.  Article elements within such parts (comments,
+teasers) and small ones beside a large one aren't the article.  The amounts were
+set by hand such that running text straight in an article stays whatever the
+tree says, what is set apart goes even at full importance (1 + INSIDE + NAMED <
+LEAST), and an unknown container stays unless something speaks against it.  Elements below ``least`` go with all that is in
 them.  Running text straight in the article stays with it, since copies of an
 article on many pages are still the article.
 
@@ -78,10 +83,17 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 #: Names of a class or id that set a container apart within the article too.
 APART = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion popup modal nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar widget cookie cookies comment comments comment-list replies disqus share share-buttons sharing social related newsletter subscribe "
-    "subscription signup pagination pager".split()
+    "ad ads ad-banner ad-container ad-slot advert adverts advertisement advertising sponsor sponsored promo promotion popup modal nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar widget cookie cookies comment comments commentlist comment-list comments-area comments-list comments-section replies disqus "
+    "share share-buttons sharing social related related-articles related-content related-links related-posts related-stories newsletter newsletter-signup "
+    "subscribe subscription signup pagination pager teaser teasers".split()
 )
+#: First parts, before - or _, of a class or id that do so where the container holds a minor share of the page's text.
+APART_FIRST = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments cookie cookies breadcrumb breadcrumbs newsletter signup subscribe pagination pager teaser".split()
+)
+#: Of several articles one counts if it has this share of the largest one's text, or if the smaller ones together have more than that.
+FAIR = 0.25
 #: Roles that say the same as nav and dialog.
 ROLES = frozenset("navigation search dialog alertdialog menu".split())
 NAMING = frozenset("class id role hidden".split())
@@ -111,10 +123,10 @@ UNKNOWN, LEAST = 0.75, 0.6
 
 
 class Node:
-    __slots__ = ("up", "tag", "style", "named", "worded", "main", "flow", "path", "size", "children")
+    __slots__ = ("up", "tag", "style", "mark", "named", "hinted", "worded", "main", "flow", "path", "size", "children")
 
-    def __init__(self, up: Node | None, tag: str, style: str, named: bool, worded: bool, main: bool, flow: bool):
-        self.up, self.tag, self.style, self.named, self.worded, self.main, self.flow = up, tag, style, named, worded, main, flow
+    def __init__(self, up: Node | None, tag: str, style: str, mark: str, named: bool, hinted: bool, worded: bool, main: bool, flow: bool):
+        self.up, self.tag, self.style, self.mark, self.named, self.hinted, self.worded, self.main, self.flow = up, tag, style, mark, named, hinted, worded, main, flow
         self.path = xxhash.xxh64_intdigest(style, up.path & 0xFFFFFFFF if up else 0) >> 1
         self.size, self.children = 0, []
 
@@ -140,13 +152,15 @@ def _opened(tag: str, attrs: str, up: Node | None) -> Node | None:
     if tag in NEVER or hidden:
         return None
     root = tag in ("html", "body")
-    main = tag in ("article", "main") or role in ("article", "main")
-    inside = main or bool(up and up.main)
+    mark = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
+    inside = bool(mark) or bool(up and up.main)
     heading = tag in HEADINGS
-    named = not root and not main and (tag in ASIDE or tag == "header" and not inside or role in ROLES or bool(tokens & APART) and not heading)
+    apart = not root and not heading and bool(tokens & APART)
+    named = apart or not (root or mark) and (tag in ASIDE or tag == "header" or role in ROLES)
+    hinted = not (root or heading or mark) and tag not in INLINE and any(re.split("[-_]", x, maxsplit=1)[0] in APART_FIRST for x in tokens)
     # within the article a word of a name says little: a section may be on sharing, a heading on a discussion
-    worded = not (root or main or inside or heading) and bool(words & PARTS)
-    return Node(up, tag, tag if root else tag + name, named, worded, inside, tag in PLAIN and not name)
+    worded = not (root or inside or heading) and bool(words & PARTS)
+    return Node(up, tag, tag if root else tag + name, mark, named, hinted, worded, inside, tag in PLAIN and not name)
 
 
 class Page:
@@ -188,7 +202,61 @@ class Page:
                 if up:
                     up.children.append(node)
             stack.append(node)
-        self.marked = [x for x in self.nodes if x.main and not (x.up and x.up.main) and x.size]
+        self._settle()
+
+    def _settle(self) -> None:
+        """What is apart, and which marked elements are the article, now that the sizes are known.
+
+        An article element that is apart, or lies in a part that is, isn't the
+        article (a comment, a teaser), and of several beside each other the small
+        ones aren't (see FAIR).  A part that is apart by its name but holds both most
+        of the text and all articles is a mere wrapper.
+        """
+        in_article: set[int] = set()  # and the articles themselves
+        home: dict[int, int] = {}  # the main element around
+        apart: set[int] = set()
+        wrapped: set[int] = set()  # apart, but for wrappers
+        for x in self.nodes:  # parents come first
+            me, up = id(x), id(x.up)
+            x.named = x.named or x.hinted and 2 * x.size < self.size
+            if x.mark == "article" or up in in_article:
+                in_article.add(me)
+            if x.up and (x.up.mark == "main" or up in home):
+                home[me] = up if x.up.mark == "main" else home[up]
+            # whether a header is apart depends on the articles beside it, which are settled first
+            if x.named and x.tag != "header" or up in apart:
+                apart.add(me)
+            if x.named and (x.mark or 2 * x.size < self.size) or up in wrapped:
+                wrapped.add(me)
+        own = [x for x in self.nodes if x.mark and x.size]
+        free = {id(x) for x in own if id(x) not in apart} or {id(x) for x in own if id(x) not in wrapped}
+        outer = [x for x in own if x.mark == "article" and id(x) in free and id(x.up) not in in_article]
+        largest = max((x.size for x in outer), default=0)
+        small = [x for x in outer if x.size < FAIR * largest]
+        if sum(x.size for x in small) < largest:
+            for x in small:
+                x.named = True
+                free.discard(id(x))
+        with_article = self._above({id(x) for x in outer})
+        inside: set[int] = set()
+        self.marked: list[Node] = []
+        for x in self.nodes:
+            if x.tag == "header" and x.named:
+                x.named = id(x) not in in_article and (id(x) not in home or home[id(x)] in with_article)
+            if id(x.up) in inside:
+                inside.add(id(x))
+            elif id(x) in free:
+                inside.add(id(x))
+                self.marked.append(x)
+        self.holders = self._above({id(x) for x in self.marked})
+
+    def _above(self, of: set[int]) -> set[int]:
+        """All elements around the given ones."""
+        out: set[int] = set()
+        for x in reversed(self.nodes):
+            if x.up and (id(x) in of or id(x) in out):
+                out.add(id(x.up))
+        return out
 
     def _text(self, stack: list, text: str) -> None:
         top = stack[-1] if stack else None
@@ -214,7 +282,7 @@ class Page:
             at, level = large, large.children
 
 
-ROOT = Node(None, "", "", False, False, False, False)
+ROOT = Node(None, "", "", "", False, False, False, False, False)
 
 
 def _tokens(page: str):
@@ -281,7 +349,7 @@ def main_text(page: str, importance: dict[int, float], least: float = LEAST, nam
         value = importance.get(x.path, UNKNOWN + (1 - UNKNOWN) * x.size / max(1, p.size))
         value += RUNNING * x.flow
         if names:
-            holds = any(_within(y, x) for y in p.marked)
+            holds = id(x) in p.holders
             most = 2 * x.size >= p.size
             if within:
                 value += INSIDE
@@ -297,12 +365,6 @@ def main_text(page: str, importance: dict[int, float], least: float = LEAST, nam
     return main_text(page, {}, least, names) if importance and not text else text
 
 
-def _within(x: Node | None, y: Node) -> bool:
-    while x is not None and x is not y:
-        x = x.up
-    return x is y
-
-
 def _rows(frame: pd.DataFrame) -> pd.DataFrame:
     rows = [
         (h, path, xxhash.xxh64_intdigest(text) >> 1, xxhash.xxh64_intdigest(build) >> 1, share)
@@ -313,6 +375,12 @@ def _rows(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["host", "path", "content", "build", "share"])
 
 
+def _paths(frame: pd.DataFrame) -> pd.DataFrame:
+    """page, host, path of the nodes with text of every page."""
+    rows = [(key, host(url), path) for key, url, page in zip(frame["page"], frame["url"], frame["html"]) for path in {x.path for x in Page(page or "").nodes if x.size}]
+    return pd.DataFrame(rows, columns=["page", "host", "path"])
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, kind, value, n, share: contents (kind 0) and presentations (1) of every node of every host's tree, on how many pages, and their shares' sum."""
     seen = pages.select("url", "html").mapInPandas(by_batch(_rows, column="html"), "host string, path long, content long, build long, share double")
@@ -359,7 +427,7 @@ def extract(pages: DataFrame, min_pages: int = 8, least: float = LEAST, broadcas
     """page_id, url, text, n_chars of every page.
 
     The nodes of low importance go to all tasks if there are at most
-    ``broadcast_rows`` of them; else they are joined by host.
+    ``broadcast_rows`` of them; else they are joined by host and path with the nodes of every page.
     """
     s = Scratch(pages.sparkSession, "site")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -370,10 +438,13 @@ def extract(pages: DataFrame, min_pages: int = 8, least: float = LEAST, broadcas
         for r in low.collect():
             by.setdefault(r.host, {})[r.path] = r.importance
         return s.close(pages.mapInPandas(by_batch(_texts(by, least, names), column="html"), kind))
-    lists = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("x"))
-    lists = s.save(lists.select("host", F.col("x.path").alias("paths"), F.col("x.importance").alias("values")), "lists")
-    hosts = F.pandas_udf(lambda urls: pd.Series([host(u) for u in urls.tolist()], dtype=object), "string")  # as in the tree and in the other way
-    joined = pages.withColumn("host", hosts("url")).join(lists, "host", "left").select("page_id", "url", "html", "paths", "values")
+    # each distinct page asks for its own nodes, so no row grows with its host
+    page = F.md5(F.concat(F.coalesce("url", F.lit("")), F.lit("\x00"), F.coalesce("html", F.lit(""))).cast("binary"))
+    keyed = pages.withColumn("page", page)
+    asked = keyed.select("page", "url", "html").mapInPandas(by_batch(_paths, column="html"), "page string, host string, path long").distinct()
+    found = asked.join(low, ["host", "path"]).groupBy("page").agg(F.collect_list(F.struct("path", "importance")).alias("x"))
+    lists = s.save(found.select("page", F.col("x.path").alias("paths"), F.col("x.importance").alias("values")), "lists")
+    joined = keyed.join(lists, "page", "left").select("page_id", "url", "html", "paths", "values")
     return s.close(joined.mapInPandas(by_batch(_texts(None, least, names), column="html"), kind))
 
 

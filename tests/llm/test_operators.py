@@ -448,6 +448,70 @@ def test_main_text_drops_parts_within_an_article(part):
     assert site_style.main_text(page(f"<p>a</p>{part}<p>b</p>"), {}) == "a b"
 
 
+BESIDE = [
+    "<section id='comments'><article class='comment'><p>{no}</p></article><article class='comment'><p>{no}</p></article></section>", "<ol class='commentlist'><li><article><p>{no}</p></article></li></ol>",
+    "<div class='comments-area'><article>{no}</article></div>", "<aside class='related'><article><h3>{no}</h3></article></aside>", "<div class='more'><article><a href=x>{no}</a></article><article>{no}</article></div>",
+    "<div class='widget'><article>{no}</article></div>", "<article class='teaser'>{no}</article>", "<footer><article>{no}</article></footer>", "<header>{no}</header>", "<div class='comments'>{no}</div>",
+]
+WITHIN = [
+    "<div class='ad-slot'><p>{no}</p></div>", "<div class='ad-banner'>{no}</div>", "<div class='newsletter-signup'>{no}</div>", "<aside>{no}</aside>", "<section class='comments-area'><article>{no}</article></section>",
+    "<div id='comment_12'>{no}</div>", "<ul class='breadcrumb-trail'><li>{no}</li></ul>", "<article class='related'>{no}</article>",
+]
+
+
+@pytest.mark.parametrize("part", BESIDE)
+@pytest.mark.parametrize("around", ["{article}{part}", "<main>{article}{part}</main>", "<main>{part}{article}</main>", "<div class=site><main>{article}</main>{part}</div>"])
+def test_what_stands_beside_an_article_goes(part, around):
+    story = " ".join(f"word{i}" for i in range(30))
+    part = part.format(no="no not this")
+    html = around.format(article=f"<article class='post'><header><h1>Title</h1></header><p>{story}</p></article>", part=part)
+    assert site_style.main_text(f"<body><nav>m</nav>{html}<footer>f</footer></body>", {}) == f"Title {story}"
+
+
+@pytest.mark.parametrize("part", WITHIN)
+def test_what_is_apart_within_an_article_goes(part):
+    assert site_style.main_text(page(f"<p>{'some story ' * 9}</p>{part.format(no='no')}<p>end</p>"), {}) == f"{'some story ' * 9}end"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<main><header><h1>Kept</h1></header><p>Kept</p></main>", "<article>Kept</article><article>Kept</article>", "<article>Kept and kept and kept</article>" + "<article>Kept</article>" * 9,
+        "<div class='post ad-free'><p>Kept</p></div>", "<article><section class='comment-on-law'>Kept Kept Kept</section></article>", "<article class='post'><article>Kept</article>Kept</article>",
+    ],
+)
+def test_articles_of_any_build_stay(html):
+    want = " ".join(re.sub("<[^>]*>", " ", html).split())
+    assert " ".join(site_style.main_text(f"<body><nav>m</nav>{html}<footer>f</footer></body>", {}).split()) == want
+
+
+def test_a_site_keeps_its_stories_only(spark):
+    """Comments, teasers and adverts differ on every page, so the tree alone would keep them."""
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    rows_, want = [], []
+    for i in range(120):
+        story, late = say(60), say(20)
+        want.append(f"T{i} {story} {late}")
+        comments = "".join(f"<article class=comment id=c{k}>{say(15)}</article>" for k in range(rng.integers(0, 9)))
+        body = f"<article><h1>T{i}</h1><p>{story}</p><div class='ad-slot'>{say(9)}</div><p>{late}</p></article>"
+        beside = f"<section id=comments>{comments}</section><aside class=related><article>{say(8)}</article></aside>"
+        html = [f"<header>{say(3)}</header>{body}{beside}", f"<main><header>{say(3)}</header>{body}{beside}</main>", f"<div class=w><main>{body}</main>{beside}</div>"][i % 3]
+        rows_.append((i, f"http://h{i % 3}.example/{i}", f"<html><body><nav>menu</nav>{html}<footer>foot</footer></body></html>"))
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    for limit in (100_000, 0):
+        got = {r.page_id: r.text for r in site_style.extract(pages, broadcast_rows=limit).collect()}
+        assert [got[i] for i in range(120)] == want
+
+
+def test_pages_of_thousands_of_articles_are_read_in_linear_time():
+    import time
+
+    html = "<main>" + "".join(f"<article><p>post {i}</p></article>" for i in range(20_000)) + "</main>" + "<div>" * 20_000 + "deep"
+    began = time.time()
+    assert len(site_style.main_text(html, {}).split()) == 40_000 and time.time() - began < 20
+
+
 def test_style_tree_drops_what_all_pages_of_a_site_share(spark):
     body = lambda i: f"<div class='c1'><p>story {i} is its own</p></div><div class='c2'>subscribe today</div>"
     rows_ = [(i, f"http://a.example/{i}", f"<html><body>{body(i)}</body></html>", 1) for i in range(20)]
