@@ -7,7 +7,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -24,8 +23,8 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 5, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
-    """(key, score): the k best documents by Okapi BM25, ties to the smaller key.
+def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 5, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, digits: int | None = None) -> DataFrame:
+    """(key, score): the k best documents by Okapi BM25 (rounded, if digits are given), ties to the smaller key.
 
     idf is ln((N - df + 0.5) / (df + 0.5)); a negative one counts as ``eps``
     times the mean idf of all words.  Only the query's words are counted per
@@ -45,7 +44,9 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k
     tf = found.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("times") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     rows = tf.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats.select("avgdl")))  # as many terms as the query has
-    return rows.groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    scores = rows.groupBy(key).agg(F.sum(part).alias("score"))
+    scores = scores if digits is None else scores.withColumn("score", F.round("score", digits))
+    return scores.orderBy(F.desc("score"), key).limit(k)
 
 
 def keyword_in_context(text: Column, needle: str, reach: int = 200) -> Column:
@@ -100,9 +101,10 @@ def space_after_macro(text: Column) -> Column:
 
 
 def sticky(df: DataFrame, flag: Column, order: str, by: list[str] | None = None, out: str = "after") -> DataFrame:
-    """True from the first row on which the flag is set."""
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.max(F.when(flag, 1).otherwise(0)).over(w) == 1)
+    """True from the first row on which the flag is set; order tells a group's rows apart."""
+    from ..operators.scans import carry_forward
+
+    return carry_forward(df, [order], {out: F.when(flag, F.lit(True))}, by).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def safe_name(text: Column, size: int = 100) -> Column:

@@ -1,9 +1,12 @@
-"""Graphs as edge tables (src, dst), and breadth-first search over them."""
+"""Graphs as edge tables (src, dst): breadth-first search, triangles, cores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .rounds import written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -26,22 +29,20 @@ def bfs(edges: DataFrame, source: int, max_depth: int | None = None) -> DataFram
 
     A level's frontier is joined with the edges and loses what was seen before;
     the loop ends with an empty frontier.  Edges are reduced to distinct ones
-    and dealt by their source once.  Each level is checkpointed where the
-    session has a checkpoint folder, so that the plan doesn't grow with depth.
+    and written once; every level writes its frontier and all that was seen, as one
+    table, so a plan holds one level whatever the depth.
     """
     spark = edges.sparkSession
-    reliable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    cut = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    links = edges.select("src", "dst").where("src <> dst").distinct().repartition("src").persist()
+    links = written(edges.select("src", "dst").where("src <> dst").distinct())
     seen = spark.createDataFrame([(source, 0)], "v long, level int")
     frontier, level = seen, 0
     while max_depth is None or level < max_depth:
         level += 1
         step = links.join(frontier.select(F.col("v").alias("src")), "src").select(F.col("dst").alias("v")).distinct()
-        frontier = cut(step.join(seen.select("v"), "v", "left_anti").withColumn("level", F.lit(level)))
-        if not frontier.limit(1).count():
+        frontier = written(step.join(seen.select("v"), "v", "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = written(seen.unionByName(frontier))
     return seen
 
 
@@ -50,3 +51,61 @@ def bfs_bottom_up(edges: DataFrame, levels: DataFrame, level: int) -> DataFrame:
     frontier = levels.where(F.col("level") == level).select(F.col("v").alias("dst"))
     near = edges.join(frontier, "dst", "left_semi").select(F.col("src").alias("v")).distinct()
     return near.join(levels.select("v"), "v", "left_anti").withColumn("level", F.lit(level + 1))
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """Distinct undirected edges without loops, each once as (u < v)."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+
+
+#: Out-going edges of a vertex that meet each other in one task.
+HUB = 1000
+
+
+def triangles(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(v, n): in how many triangles each vertex is that is in any.
+
+    Edges point to the end of the higher degree (of equal ones, the larger
+    number), so no vertex has more than the root of twice the edges of them, and
+    each triangle is one wedge a -> b, a -> c with an edge b -> c.  A vertex with
+    more than ``hub`` edges has its wedges made by several tasks: one side's edges
+    are dealt out, the other's go to each of them.
+    """
+    links = written(simple(edges))
+    degree = links.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    ends = links.join(degree.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")
+    up = F.struct("du", "u") < F.struct("dv", "v")
+    low, high = (F.struct(F.col(d).alias("d"), F.col(x).alias("x")) for d, x in (("du", "u"), ("dv", "v")))
+    arcs = written(ends.select(F.when(up, low).otherwise(high).alias("a"), F.when(up, high).otherwise(low).alias("b")))
+    out = arcs.groupBy("a").agg(F.ceil(F.count("*") / hub).cast("int").alias("salts"))
+    salted = arcs.join(out, "a")
+    one = salted.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    two = salted.select("a", F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    wedges = one.join(two, ["a", "salt"]).where(F.col("b") < F.col("c")).select("a", "b", "c")
+    closed = wedges.join(arcs.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
+    return closed.select(F.explode(F.array("a.x", "b.x", "c.x")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+
+
+def core_numbers(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(v, core): the largest k such that the vertex lies in a subgraph where all have k neighbours or more.
+
+    Each vertex holds a bound, at first its degree.  A round lowers it to the
+    largest k such that k neighbours have a bound of k or more; the bounds that no round lowers
+    are the core numbers (peeling from all sides at once).  A vertex's neighbours are
+    counted by their bound, cut at its own, before they are shuffled, so a
+    hub's rows in a task are as many as different bounds.  Every round is
+    written.  Vertices without neighbours aren't there.
+    """
+    links = written(simple(edges).select(F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("e")).select("e.*"))
+    bounds = written(links.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("core")))
+    done = 0
+    while max_rounds is None or done < max_rounds:
+        done += 1
+        near = links.join(bounds.select(F.col("v").alias("dst"), F.col("core").alias("bound")), "dst").join(bounds.select(F.col("v").alias("src"), "core"), "src")
+        counts = near.groupBy("src", "core", F.least("bound", "core").alias("k")).agg(F.count("*").alias("n"))
+        at_least = F.sum("n").over(Window.partitionBy("src", "core").orderBy(F.desc("k")))
+        fresh = written(counts.select("src", "core", F.least("k", at_least).alias("h")).groupBy(F.col("src").alias("v"), F.col("core").alias("old")).agg(F.max("h").alias("core")))
+        bounds = fresh.select("v", "core")
+        if fresh.where("core < old").isEmpty():
+            break
+    return bounds

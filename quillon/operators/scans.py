@@ -7,10 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _choose(key: Column, cuts: list[Column], first: int = 0) -> Column:
+    """How many of the ascending cuts lie below the key: a decision tree, so a row is compared log2(cuts) times."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(key <= cuts[mid], _choose(key, cuts[:mid], first)).otherwise(_choose(key, cuts[mid + 1 :], first + mid + 1))
+
+
 def _bucket(df: DataFrame, idx: str, buckets: int) -> Column:
     """Bucket of an index by approximate quantiles: order between buckets is order of the index."""
-    cuts = df.agg(F.percentile_approx(idx, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(idx))) if cuts else F.lit(0)
+    cuts = df.agg(F.percentile_approx(idx, [i / buckets for i in range(1, buckets)], max(1000, 10 * buckets))).first()[0] or []
+    return _choose(F.col(idx), [F.lit(c) for c in sorted(set(cuts))])
+
+
+#: Rows of the sample for each bucket of several columns.
+SAMPLED = 50
+
+
+def order_buckets(df: DataFrame, order: list[str], buckets: int) -> Column:
+    """Bucket of a row by all order columns together, cut at rows of a sample: no value, however common, fills a bucket if the columns tell rows apart."""
+    share = min(1.0, SAMPLED * buckets / max(1, df.count()))
+    rows = df.select(F.struct(*order).alias("o")).sample(share, 1).orderBy("o").collect()  # SAMPLED rows a bucket, whatever the table
+    kinds = [df.schema[c].dataType for c in order]
+    cuts: list = []
+    for i in range(1, buckets):
+        at = rows[i * len(rows) // buckets]["o"] if rows else None
+        if at is not None and (not cuts or cuts[-1] != at):
+            cuts.append(at)
+    literal = lambda at: F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(at, kinds, order)))
+    return _choose(F.struct(*order), [literal(at) for at in cuts])
 
 
 def prefix_sum(df: DataFrame, idx: str = "idx", v: str = "v", out: str = "scan", exclusive: bool = False, buckets: int | None = None) -> DataFrame:
@@ -37,22 +63,59 @@ def row_numbers(df: DataFrame, idx: str = "idx", out: str = "rn", buckets: int |
 def ranks(df: DataFrame, by: list[Column], idx: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """Position from 0 in the order of the ascending columns ``by``, then of the distinct idx, in two phases.
 
-    Rows of the same ``by`` are dealt to ordered buckets of idx; counts of the
-    groups and buckets are scanned, and each bucket numbers its own rows.  The
-    scan sees a row for each value of ``by`` and bucket.
+    Rows are dealt to ordered buckets of (by, idx); the buckets' counts (a row
+    each) are scanned, and each bucket numbers its own rows.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"__by{i}" for i in range(len(by))]
-    marked = df.withColumns(dict(zip(names, by))).withColumn("__b", _bucket(df, idx, buckets))
-    counts = marked.groupBy(*names, "__b").agg(F.count("*").alias("__n"))
-    before = Window.orderBy(*names, "__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*names, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy(*names, "__b").orderBy(idx)
-    same = [marked[c].eqNullSafe(starts[c]) for c in [*names, "__b"]]
-    joined = marked.join(starts, same).select(marked["*"], "__o")
+    keyed = df.withColumns(dict(zip(names, by)))
+    marked = keyed.withColumn("__b", order_buckets(keyed, [*names, idx], buckets))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy("__b").orderBy(*names, idx)
+    joined = marked.join(F.broadcast(starts), "__b")  # at most ``buckets`` rows
     return joined.withColumn(out, F.col("__o") + F.row_number().over(inside) - 1).drop(*names, "__b", "__o")
 
 
+def places(df: DataFrame, by: list[str], order: list[str], out: str = "place", buckets: int | None = None) -> DataFrame:
+    """Position from 0 within each group of ``by``, in the order of columns that tell its rows apart; a group lies in as many buckets as its share."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = df.withColumn("__b", order_buckets(df, [*by, *order], buckets))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(*by, "__b").agg(F.count("*").alias("__n")).withColumn("__o", F.sum("__n").over(before)).where("__o is not null")
+    return _with_carried(marked, counts, by, ["__o"]).withColumn(
+        out, F.coalesce("__o", F.lit(0)) + F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) - 1
+    ).drop("__b", "__o")
+
+
+def _with_carried(marked: DataFrame, carried: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """marked with what comes from earlier buckets; only a bucket's first group has earlier ones, so there are fewer rows than buckets."""
+    other = carried.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate([*by, "__b"])), *columns)
+    same = [marked[c].eqNullSafe(other[f"__{i}"]) for i, c in enumerate([*by, "__b"])]
+    return marked.join(F.broadcast(other), same, "left").drop(*(f"__{i}" for i in range(len(by) + 1)))
+
+
+def carry_forward(df: DataFrame, order: list[str], values: dict[str, str | Column], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """New columns with the last value that isn't null, up to and with each row, in two phases.
+
+    ``order`` tells the rows of a group (or of the table) apart.  Each bucket
+    carries forward within itself; the last values of the buckets, a row a bucket,
+    are carried between them.
+    """
+    by, buckets = by or [], buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = {f"__v{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(values.values())}
+    marked = df.withColumns(made)
+    marked = marked.withColumn("__b", order_buckets(df, [*by, *order], buckets))
+    lasts = marked.groupBy(*by, "__b").agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(v) for v in made))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("__b"))
+    carried = lasts.select(*by, "__b", first.alias("__k"), *(F.last(v, ignorenulls=True).over(before).alias(f"{v}c") for v in made)).where("__k > 1")
+    joined = _with_carried(marked, carried, by, [f"{v}c" for v in made])
+    here = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumns({n: F.coalesce(F.last(v, ignorenulls=True).over(here), F.col(f"{v}c")) for n, v in zip(values, made)})
+    return out.drop("__b", *made, *(f"{v}c" for v in made))
+
+
 def row_window(df: DataFrame, kind: str, idx: str = "idx") -> DataFrame:
     """Rows of a positional window: all, second_half, last_80_percent or last_fraction:f (one row at least)."""
     if kind == "all":

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .scans import ranks
+from .scans import places, ranks
 
 
 def spmv(a: DataFrame, x: DataFrame, rows: int | None = None) -> DataFrame:
@@ -55,6 +56,45 @@ def spmv_ell(ell: DataFrame, x: DataFrame) -> DataFrame:
     return ell.select("r").join(y, "r", "left").select("r", F.coalesce("y", F.lit(0)).alias("y"))
 
 
+def hybrid_width(a: DataFrame, rows: int) -> int:
+    """Padded width with the least storage: one more place costs 8 bytes a row and saves 12 for each row with an entry there."""
+    lengths = a.groupBy("r").agg(F.count("*").alias("nnz")).groupBy("nnz").agg(F.count("*").alias("n"))
+    # the place k pays while more than two thirds of the rows have k entries; (length, rows of that length or more) falls with the length
+    at_least = F.sum("n").over(Window.orderBy(F.desc("nnz")).rowsBetween(Window.unboundedPreceding, 0))  # as many rows as different lengths
+    best = lengths.select("nnz", at_least.alias("m")).where(12 * F.col("m") > 8 * rows).agg(F.max("nnz")).first()[0]
+    return int(best or 0)
+
+
+def hybrid(a: DataFrame, rows: int, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(padded, list) of a matrix: up to ``width`` entries of each row by column, filled up with column 0 and value 0, and the entries beyond.
+
+    A long row adds to the list and sets no other row's width.  No task holds a row:
+    its entries are numbered across buckets.
+    """
+    width = hybrid_width(a, rows) if width is None else width
+    placed = places(a.select("r", "c", "v"), ["r"], ["c"])
+    kind = f"array<struct<c:{a.schema['c'].dataType.simpleString()},v:{a.schema['v'].dataType.simpleString()}>>"
+    lists = placed.where(F.col("place") < width).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("entries"))  # at most ``width``
+    every = a.sparkSession.range(rows).select(F.col("id").alias("r")).join(lists, "r", "left")
+    held = F.coalesce("entries", F.array().cast(kind)).cast(kind)
+    none = F.expr(f"cast(named_struct('c', 0, 'v', 0) as {kind[6:-1]})")
+    padded = every.select("r", F.size(held).alias("nnz"), F.concat(held, F.array_repeat(none, F.lit(width) - F.size(held))).alias("entries"))
+    return padded, placed.where(F.col("place") >= width).select("r", "c", "v")
+
+
+def spmv_hybrid(padded: DataFrame, rest: DataFrame, x: DataFrame) -> DataFrame:
+    """(r, y): products of both parts meet in one sum."""
+    flat = padded.select("r", "nnz", F.posexplode("entries").alias("k", "e")).where("k < nnz").select("r", "e.c", "e.v")
+    y = flat.unionByName(rest).join(x.withColumnRenamed("i", "c"), "c").groupBy("r").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+    return padded.select("r").join(y, "r", "left").select("r", F.coalesce("y", F.lit(0)).alias("y"))
+
+
+def hybrid_bytes(padded: DataFrame, rest: DataFrame) -> DataFrame:
+    """hybrid_bytes: of both parts with 4-byte numbers."""
+    sizes = padded.agg(F.sum(F.size("entries") * 8 + 4).alias("p")).crossJoin(rest.agg((F.count("*") * 12).alias("l")))  # one row each
+    return sizes.select((F.col("p") + F.col("l")).alias("hybrid_bytes"))
+
+
 def jds_diagonals(ell: DataFrame) -> DataFrame:
     """(k, place, c, v): the jagged diagonals, i.e. the k-th entries of all rows that have as many, rows by falling length."""
     order = ell_to_jds(ell).select("place", F.col("r").alias("row"))

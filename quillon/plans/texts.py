@@ -73,7 +73,7 @@ def kwic(spark, d):
 )
 def bm25_topk(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return T.bm25(docs, "the thesh inonha", k=50).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(5)
+    return T.bm25(docs, "the thesh inonha", k=5, digits=6)
 
 
 @register("paragraph_split", "SELECT conv_id, turn, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(len(string_split(text, chr(10) || chr(10))) AS INTEGER) AS paragraphs FROM conversations")
@@ -224,3 +224,40 @@ def pending_tasks(spark, d):
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("FAILED").alias("status"))
     return pending(o.select("name"), o, batch=5)
+
+
+@register(
+    "pending_by_state",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS name FROM orders
+       WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW' AND o_orderkey % 4 < 3 OR o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1999-01-01' - INTERVAL 30 DAY OR o_orderstatus NOT IN ('F', 'P', 'O')
+       ORDER BY o_orderkey // 100000, CAST(o_orderkey AS VARCHAR)""",
+)
+def pending_by_state(spark, d):
+    """Orders as tasks: F is done, P failed or was skipped, O began at its date and is stale after 30 days."""
+    import datetime
+
+    from .translation import pending
+
+    o = table(spark, d, "orders").withColumn("name", F.col("o_orderkey").cast("string"))
+    status = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"), "SKIPPED").when(F.col("o_orderstatus") == "P", "FAILED").when(F.col("o_orderstatus") == "O", "RUNNING")
+    states = o.select("name", status.alias("status"), F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 4).alias("tries"))
+    return pending(o.select("name"), states, now=datetime.datetime(1999, 1, 1), stale="30 days", tries=3)
+
+
+@register(
+    "translate_all",
+    r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        t AS (SELECT doc_id, k, p, regexp_replace(p, '^\s+|\s+$', '', 'g') AS t FROM p),
+        w AS (SELECT doc_id, k, p, NOT (t = '' OR regexp_matches(t, '^(%|\\(def|newcommand|usepackage|documentclass|bibliography|input|include|subfile))')
+                   OR (starts_with(t, '\begin{figure}') AND NOT contains(t, '\caption'))
+                   OR (regexp_matches(t, '^\\[a-zA-Z]+\{[^}]+\}$') AND NOT regexp_matches(t, '\\(title|section|subsection|subsubsection|caption|author)'))) AS worth FROM t)
+        SELECT doc_id, md5(string_agg(CASE WHEN worth THEN 'T:' || p ELSE p END, chr(10) || chr(10) ORDER BY k)) AS hash FROM w GROUP BY doc_id""",
+)
+def translate_all(spark, d):
+    """Whole texts of all languages, each line a paragraph: split, translated where worth it, a third of it from the cache, and joined again."""
+    from .translation import translate_documents
+
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    known = T.paragraphs(docs.where("doc_id % 3 = 0")).select(F.md5(F.col("paragraph").cast("binary")).alias("hash"), F.concat(F.lit("T:"), "paragraph").alias("value")).dropDuplicates(["hash"])
+    done, _ = translate_documents(docs, known, lambda x: "T:" + x)
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .versions import Store, read_version, write_version
+
 
 def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "overwrite") -> None:
     """The given fields in order; those that are missing, and nulls, are empty."""
@@ -21,23 +23,19 @@ def write_text(df: DataFrame, path: str, template: str, mode: str = "append") ->
     df.select(F.format_string(template, *df.columns)).write.mode(mode).text(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str) -> DataFrame:
+    """df as the newest version of the JSON table at path (sources.versions): readers see the old rows or the new ones."""
+    return write_version(df, path, "json")
 
 
 def upsert_json(df: DataFrame, path: str, key: str, order: str) -> DataFrame:
-    """Merges rows into a JSON table, the latest per key; written beside it first, since it is read while written."""
+    """Merges rows into a JSON table, the latest per key, as its next version; Conflict if another writer was faster."""
     from ..operators.relations import upsert
 
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark.read.schema(df.schema).json(path) if fs.exists(hadoop) else df.limit(0)
-    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    upsert(old, df, key, order).write.mode("overwrite").json(f"{path}.new")
-    fs.delete(hadoop, True)
-    fs.rename(fresh, hadoop)
-    return spark.read.schema(df.schema).json(path)
+    number, _ = Store(spark, path).read()
+    old = read_version(spark, path, number) if number else df.limit(0)
+    return write_version(upsert(old, df, key, order), path, "json", after=number)
 
 
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:

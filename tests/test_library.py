@@ -31,7 +31,7 @@ def test_text_formats(spark, tmp_path):
     assert sorted((r.key, r.value) for r in files.key_value_lines(spark, str(tmp_path / "kv")).collect()) == [("P", "2"), ("T", "1")]
     (tmp_path / "b").write_text("CPU: 1.5 ms at 2\nCPU: 2.5 ms at 4\n")
     assert [(r.ms, r.n) for r in files.all_matches(spark, str(tmp_path / "b"), r"CPU: ([\d.]+) ms at (\d+)", ["ms", "n"]).collect()] == [(1.5, 2.0), (2.5, 4.0)]
-    lines = frame(spark, [("FINAL_T = 1.5",), ("x FINAL_P: -2e1",)], "value string")
+    lines = frame(spark, [("FINAL_T = 9.5", 0), ("FINAL_T = 1.5", 2), ("x FINAL_P: -2e1", 1), ("FINAL_T = ?", 3)], "value string, line int")
     assert tuple(files.final_values(lines, ["T", "P"]).first()) == (1.5, -20.0)
 
 
