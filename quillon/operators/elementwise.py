@@ -65,3 +65,20 @@ def relative_error_pct(a: Column, b: Column) -> Column:
 
 def relative_change(a: Column, b: Column, least: float = 1e-12) -> Column:
     return (b - a) / F.greatest(F.abs(a), F.lit(least))
+
+
+def dot(a: list[str], b: list[str]) -> Column:
+    total = F.col(a[0]) * F.col(b[0])
+    for x, y in zip(a[1:], b[1:]):
+        total = total + F.col(x) * F.col(y)
+    return total
+
+
+def cross(a: list[str], b: list[str]) -> tuple[Column, Column, Column]:
+    """Components of a x b."""
+    part = lambda i, j: F.col(a[i]) * F.col(b[j]) - F.col(a[j]) * F.col(b[i])
+    return part(1, 2), part(2, 0), part(0, 1)
+
+
+def length(*columns: str) -> Column:
+    return F.sqrt(norm_squared(*columns))

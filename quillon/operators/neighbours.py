@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .elementwise import cell_index
+from .rounds import written
 
-
-#: Blocks of particles where cells don't part them: pairs of blocks are keys of their own.
-BLOCKS = 16
+#: Particles of a block where cells don't part them: pairs of blocks are keys of their own.
+PER_BLOCK = 2000
+#: Pairs that two cells have at most when they are compared one by one, and levels of cells at most.
+LEAF, LEVELS = 1024, 20
+#: So many particles are compared in pairs of blocks at once; building cells would cost more.
+FEW = 2500
 
 
 def minimum_image(d: Column, box: float) -> Column:
@@ -26,13 +30,15 @@ def pairs_within(particles: DataFrame, cutoff: float, box: float, periodic: bool
     particle is sent to the neighbouring cells (half of them suffice), and
     distances are tested within cells.  d is the place of a minus that of b.
     Where the cutoff spans (nearly) the whole box, most pairs are results; then
-    particles are dealt to BLOCKS blocks by id, and every pair of blocks is a key.
+    particles are dealt by id to blocks of about PER_BLOCK, and every pair of blocks
+    is a key.
     """
     cells = max(1, int(box / cutoff))
     if periodic and cells < 3:  # neighbours on both sides would be the same cell
         cells = 1
     if cells == 1:
-        own, other = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)), F.explode(F.expr(f"sequence(0L, {BLOCKS - 1}L)"))
+        blocks = 1 + particles.count() // PER_BLOCK
+        own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))
         left = particles.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}a") for c in "xyz"), own.alias("i"), other.alias("j"))
         right = particles.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}b") for c in "xyz"), own.alias("j"), other.alias("i"))
         return _near(left.join(right, ["i", "j"]), cutoff, box, periodic)
@@ -60,11 +66,87 @@ def _near(joined: DataFrame, cutoff: float, box: float, periodic: bool) -> DataF
     return joined.withColumn("r2", r2).where(F.col("r2") < cutoff * cutoff)
 
 
-def radial_distribution(particles: DataFrame, box: float, bins: int) -> DataFrame:
+def _span(low: Column, high: Column, box: float) -> tuple[Column, Column]:
+    """Least and largest |d| by minimum image for d between low and high."""
+    image = lambda d: F.abs(minimum_image(d, box))
+    holds = lambda shift: F.floor(high / box - shift) >= F.ceil(low / box - shift)  # noqa: E731  a multiple of the box, or the middle between two
+    return F.when(holds(0.0), 0.0).otherwise(F.least(image(low), image(high))), F.when(holds(0.5), box / 2).otherwise(F.greatest(image(low), image(high)))
+
+
+def distance_counts(particles: DataFrame, box: float, bins: int, width: float, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
+    """(bin, n): pairs of particles by distance (minimum image), bins of a width up to bins * width.
+
+    Pairs of cells are judged as a whole: where the least and the largest distance
+    of their particles fall into one bin, all their pairs do, and count as the
+    product of the cells' sizes.  Other pairs of cells are split into the next
+    level's, eight cells for one, until they have no more than ``leaf`` pairs;
+    these are compared one by one.  So the work grows with the pairs near a bin's
+    edge, not with all.
+    """
+    spark = particles.sparkSession
+    fine = 1 << levels
+    axis = lambda c: F.least(F.floor((F.col(c) - box * F.floor(F.col(c) / box)) / box * fine), F.lit(fine - 1)).cast("long")
+    points = particles.select("id", *(F.col(c).cast("double").alias(c) for c in "xyz"), *(axis(c).alias(f"c{c}") for c in "xyz"))
+    at = lambda level: [F.shiftright(f"c{c}", levels - level).alias(f"c{c}") for c in "xyz"]
+    # places within the box, so that a cell's bounds are near each other
+    inside = points.select(*(f"c{c}" for c in "xyz"), *(F.col(c) - box * F.floor(F.col(c) / box) for c in "xyz")).toDF("cx", "cy", "cz", "x", "y", "z")
+
+    def cells(level: int) -> DataFrame:
+        key = [F.shiftright(f"c{c}", levels - level).alias(f"c{c}") for c in "xyz"]
+        bounds = [f(c).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, 0), (F.max, 1))]
+        rows = inside.select(*key, "x", "y", "z").groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), *bounds)
+        return rows.select(F.struct("cx", "cy", "cz").alias("cell"), "n", *(f"{c}{k}" for c in "xyz" for k in (0, 1)))
+
+    def judged(pairs: DataFrame, level: int) -> DataFrame:
+        """a, b, pairs, and the bins of their least and largest distance."""
+        side = lambda s: cells(level).select(F.col("cell").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"{c}{k}").alias(f"{s}{c}{k}") for c in "xyz" for k in (0, 1)))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        least, most = F.lit(0.0), F.lit(0.0)
+        for c in "xyz":
+            lo, hi = _span(F.col(f"a{c}0") - F.col(f"b{c}1"), F.col(f"a{c}1") - F.col(f"b{c}0"), box)
+            least, most = least + lo * lo, most + hi * hi
+        n = F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb")).cast("long")
+        bin_ = lambda r2, slack: F.floor(F.sqrt(r2) / width * (1 + slack)).cast("long")  # noqa: E731  rounding must not move a pair over an edge
+        return both.select("a", "b", n.alias("n"), bin_(least, -1e-12).alias("low"), bin_(most, 1e-12).alias("high")).where((F.col("n") > 0) & (F.col("low") < bins))
+
+    def inner(cell: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(*((F.col(f"{cell}.c{c}") * 2 + F.shiftright(k, i).bitwiseAND(F.lit(1))).alias(f"c{c}") for i, c in enumerate("xyz"))))
+
+    found = []
+    root = F.struct(*(F.lit(0).cast("long").alias(f"c{c}") for c in "xyz"))
+    pairs = spark.range(1).select(root.alias("a"), root.alias("b"))
+    for level in range(levels + 1):
+        here = written(judged(pairs, level))
+        open_ = here.where("low <> high")
+        found.append(here.where("low = high").groupBy(F.col("low").alias("bin")).agg(F.sum("n").alias("n")))
+        last = level == levels
+        near = open_ if last else open_.where(F.col("n") <= leaf)
+        one = points.select("id", "x", "y", "z", F.struct(*at(level)).alias("a")).toDF("ida", "xa", "ya", "za", "a")
+        two = points.select("id", "x", "y", "z", F.struct(*at(level)).alias("b")).toDF("idb", "xb", "yb", "zb", "b")
+        each = near.select("a", "b").join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("ida") < F.col("idb")))
+        r2 = sum((minimum_image(F.col(f"{c}a") - F.col(f"{c}b"), box) * minimum_image(F.col(f"{c}a") - F.col(f"{c}b"), box) for c in "xyz"), F.lit(0.0))
+        found.append(written(each.select(F.floor(F.sqrt(r2) / width).cast("long").alias("bin")).where(F.col("bin") < bins).groupBy("bin").agg(F.count("*").alias("n"))))
+        if last:
+            break
+        pairs = open_.where(F.col("n") > leaf)
+        if pairs.isEmpty():
+            break
+        pairs = pairs.select("a", F.explode(inner("b")).alias("b"), F.col("b").alias("up")).select(F.explode(inner("a")).alias("a2"), "b", (F.col("a") == F.col("up")).alias("same"))
+        pairs = pairs.where(~F.col("same") | (F.col("a2") <= F.col("b"))).select(F.col("a2").alias("a"), "b")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def radial_distribution(particles: DataFrame, box: float, bins: int, few: int = FEW) -> DataFrame:
     """(bin, r, g) on [0, box/2]: pair counts over those of an even spread of as many particles."""
     width = box / 2 / bins
-    pairs = pairs_within(particles, box / 2, box).select(F.floor(F.sqrt("r2") / width).cast("long").alias("bin")).where(F.col("bin") < bins)
-    n = pairs.groupBy("bin").agg((2 * F.count("*")).alias("n"))
+    if particles.count() <= few:
+        pairs = pairs_within(particles, box / 2, box).select(F.floor(F.sqrt("r2") / width).cast("long").alias("bin")).where(F.col("bin") < bins)
+        n = pairs.groupBy("bin").agg((2 * F.count("*")).alias("n"))
+    else:
+        n = distance_counts(particles, box, bins, width).select("bin", (2 * F.col("n")).alias("n"))
     every = particles.sparkSession.range(bins).withColumnRenamed("id", "bin")
     r = (F.col("bin") + 0.5) * width
     shell = F.lit(4 * math.pi * width) * r * r

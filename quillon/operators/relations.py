@@ -69,16 +69,10 @@ def merge_sorted(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Positions by (v, side, idx), v dealt to ordered buckets first."""
-    from .scans import _bucket
-
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = rows.withColumn("__b", _bucket(rows, "v", buckets))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    w = Window.partitionBy("__b").orderBy("v", "side", "idx")
-    out = marked.join(F.broadcast(sums), "__b").withColumn("pos", F.col("__o") + F.row_number().over(w) - 1)
-    return out.select("v", "side", "idx", "pos")
+    """Positions by (v, side, idx), dealt to ordered buckets of all three, so that a common value lies in several."""
+    from .scans import ranks
+
+    return ranks(rows, [F.col("v"), F.col("side")], "idx", "pos").select("v", "side", "idx", "pos")
 
 
 def co_rank(merged: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import elementwise as M
 from ..operators import graph as G
+from ..operators import markdown as K
 from ..operators import postings as I
 from ..operators import scans as W
 from ..operators import sparse as S
@@ -177,3 +179,40 @@ def carry_forward(spark, d):
     marked = lines.select("doc_id", "no", F.when(F.length("line") > 200, F.md5(F.col("line").cast("binary"))).alias("l"), F.when(F.contains("line", F.lit("the")), F.lit(1)).alias("t"))
     along = W.carry_forward(marked, ["doc_id", "no"], {"long": "l", "the": "t"})
     return W.carry_forward(along, ["no"], {"long_here": "l"}, ["doc_id"]).drop("l", "t")
+
+
+@register(
+    "vector_products",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * l_tax + l_discount * l_quantity + l_tax * l_discount AS dot, l_discount * l_discount - l_tax * l_quantity AS cx, l_tax * l_tax - l_quantity * l_discount AS cy,
+       l_quantity * l_quantity - l_discount * l_tax AS cz, sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax) AS length FROM lineitem""",
+)
+def vector_products(spark, d):
+    a, b = ["l_quantity", "l_discount", "l_tax"], ["l_tax", "l_quantity", "l_discount"]
+    x, y, z = M.cross(a, b)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", M.dot(a, b).alias("dot"), x.alias("cx"), y.alias("cy"), z.alias("cz"), M.length(*a).alias("length"))
+
+
+# --- documents
+_MARKED = """SELECT doc_id, no, CASE WHEN no % 11 = 10 THEN 4 WHEN no % 7 = 6 THEN 3 WHEN no % 5 = 4 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS k, CASE WHEN no % 3 = 2 THEN 4 ELSE 2 * ((no + doc_id) % 2) END AS indent, (no + doc_id) % 4 = 0 AS numbered
+             FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)"""
+
+
+@register(
+    "markdown_documents",
+    f"""WITH m AS ({_MARKED}), b AS (SELECT *, sum(CASE WHEN k IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS block FROM m), i AS (SELECT * FROM b WHERE k < 2),
+        p AS (SELECT x.doc_id, x.no, x.indent, (SELECT max(y.no) FROM i y WHERE y.doc_id = x.doc_id AND y.block = x.block AND y.no < x.no AND y.indent <= x.indent) AS up FROM i x),
+        o AS (SELECT p.doc_id, count(*) FILTER (WHERE p.up IS NULL OR u.indent < p.indent) AS lists FROM p LEFT JOIN i u ON u.doc_id = p.doc_id AND u.no = p.up GROUP BY p.doc_id),
+        t AS (SELECT doc_id, count(*) FILTER (WHERE k = 2 AND coalesce(before, -1) <> 2) AS tables, count(*) FILTER (WHERE k = 2) AS r FROM (SELECT doc_id, no, k, lag(k) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM m WHERE k >= 2) GROUP BY doc_id)
+        SELECT CAST(doc_id AS VARCHAR) AS key, coalesce(lists, 0) + coalesce(tables, 0) AS begins, coalesce(lists, 0) + coalesce(tables, 0) AS ends, count(*) FILTER (WHERE k < 2) AS items, coalesce(any_value(t.r), 0) AS table_rows, count(*) FILTER (WHERE k = 3) AS headings
+        FROM m LEFT JOIN o USING (doc_id) LEFT JOIN t USING (doc_id) GROUP BY doc_id, lists, tables""",
+)
+def markdown_documents(spark, d):
+    """All documents' lines as items, table rows, headings and text in turn: how many environments are opened and closed in each."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    no, word = F.col("no"), F.concat(F.regexp_replace("line", r"[|#*$`!\[\]\-]", ""), F.lit("."))
+    indent = F.when(no % 3 == 2, 4).otherwise(2 * ((no + F.col("doc_id")) % 2)).cast("int")
+    item = F.concat(F.repeat(F.lit(" "), indent), F.lit("- "), word)
+    kind = F.when(no % 11 == 10, F.concat(F.lit("x"), word)).when(no % 7 == 6, F.concat(F.lit("# "), word)).when(no % 5 == 4, F.concat(F.lit("| a | "), word, F.lit(" |"))).otherwise(item)
+    latex = K.documents_to_latex(lines.select("doc_id", "no", kind.alias("text")), "doc_id", "no")
+    count = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    return latex.groupBy("key").agg(count("begin").alias("begins"), count("end").alias("ends"), count("item").alias("items"), count("row").alias("table_rows"), count("heading").alias("headings"))

@@ -355,3 +355,65 @@ def test_results_are_remembered_until_inputs_change(spark, tmp_path):
     local = spark.createDataFrame([(1,)], "a int")
     assert memo.fingerprint(local) is None and memo.remembered(local, base) is local and memo.remembered(local, base, "v1").inputFiles()
     assert memo.fingerprint(ask().withColumn("r", F.rand())) is None and memo.fingerprint(ask().withColumn("u", F.udf(str)("odd"))) is None
+
+
+# --- pairs and documents
+@pytest.mark.parametrize("leaf", [1, 50, 10**9])
+def test_distance_counts_equal_all_pairs(spark, leaf):
+    from quillon.operators import neighbours as J
+
+    rng = random.Random(leaf)
+    points = [(i, rng.uniform(-7, 17), rng.gauss(5, 0.4), rng.choice([0.0, 5.0, 9.999])) for i in range(120)] + [(200 + i, 1.0, 1.0, 1.0) for i in range(40)] + [(300, 6.0, 1.0, 1.0)]
+    box, bins, width = 10.0, 10, 0.5
+    want = Counter()
+    for i, p in enumerate(points):
+        for q in points[:i]:
+            d = [a - b - box * round((a - b) / box) for a, b in zip(p[1:], q[1:])]
+            want[int(math.sqrt(sum(x * x for x in d)) / width)] += 1
+    df = spark.createDataFrame(points, "id long, x double, y double, z double")
+    got = {r.bin: r.n for r in J.distance_counts(df, box, bins, width, leaf).collect()}
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if k < bins}
+    a, b = ({r.bin: round(r.g, 9) for r in J.radial_distribution(df, box, bins, few).collect()} for few in (0, 10**6))
+    assert a == b and len(a) == bins
+
+
+MARKDOWN = """# Title
+Text with $a_b$ and 50% of `x_y` in **bold & more**
+
+- one
+  - inner
+    1. deep
+
+    2. deeper
+  goes on
+- two
+1. first
+| a | b |
+|---|:-:|
+| c_d | $x|y$ |
+after
+![alt](<p.png>)
+* last
+    indented more
+## Sub"""
+
+
+def test_markdown_documents(spark):
+    from quillon.operators import markdown as K
+
+    docs = {"a": MARKDOWN, "b": "- open\n| t |", "c": "", "d": "plain ~^\\"}
+    lines = [(k, i, t) for k, text in docs.items() for i, t in enumerate(text.split("\n"))] + [("e", 0, None)]
+    got = defaultdict(list)
+    for r in K.documents_to_latex(spark.createDataFrame(lines, "doc string, no int, text string").repartition(3), "doc", "no").orderBy("key", "no").collect():
+        got[r.key].append(r.latex)
+    assert got["a"] == [
+        "\\subsection{Title}", "Text with $a_b$ and 50\\% of \\texttt{x\\_y} in \\textbf{bold \\& more}", "", "\\begin{itemize}", "\\item one", "\\begin{itemize}", "\\item inner",
+        "\\begin{enumerate}", "\\item deep", "", "\\item deeper", "\\end{enumerate}", "\\end{itemize}", "\\end{itemize}", "  goes on", "\\begin{itemize}", "\\item two", "\\end{itemize}", "\\begin{enumerate}", "\\item first",
+        "\\begin{longtable}{l|l}\\hline", "a & b \\\\ \\hline", "c\\_d & \\$x & y\\$ \\\\ \\hline", "\\end{enumerate}", "\\end{longtable}", "after",
+        "\\begin{figure}[h]\\centering\\includegraphics[width=0.8\\textwidth]{p.png}\\caption{alt}\\end{figure}", "\\begin{itemize}", "\\item last", "indented more", "\\end{itemize}", "\\subsubsection{Sub}",
+    ]
+    assert got["b"] == ["\\begin{itemize}", "\\item open", "\\begin{longtable}{l}\\hline", "t \\\\ \\hline", "\\end{itemize}", "\\end{longtable}"]
+    assert got["c"] == [""] and got["d"] == ["plain \\textasciitilde{}\\textasciicircum{}\\textbackslash{}"] and got["e"] == [""]
+    for out in got.values():
+        assert sum(x.startswith("\\begin{") and "figure" not in x for x in out) == sum(x.startswith("\\end{") for x in out)
+    assert K.documents_to_latex(spark.createDataFrame([], "doc string, no int, text string"), "doc", "no").count() == 0
