@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,9 @@ from pyspark.sql.window import Window
 from .common import Scratch, table, trim, wanted_rows
 
 #: Bytes of text in a block at most, but for a text that is longer.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
+#: Bits of the filter before entries are joined with names: eight megabytes.
+FILTER = 1 << 26
 #: Dictionary entries in an Arrow batch.
 ENTRIES = 100_000
 # What ends a piece, and what else stands between words.
@@ -50,8 +53,31 @@ _GAP[[9, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_WORDS = "block long, lang string, body binary, idx int, word string, n long"
-_PAIRS = "block long, lang string, body binary, idx int, a long, b long, n long"
+#: An entry's number in its block takes the low bits of ``at``; a sequence stands behind its block's entries.
+_BITS, _SEQ = 31, 11
+_LAST = (1 << _BITS) - 1
+_WORDS = "at long, body binary, lang string, word string, n long"
+_PAIRS = "at long, body binary, a long, b long, n long"
+
+
+def _packed(body: np.ndarray) -> bytes:
+    """A sequence by planes of bytes, compressed: most numbers are small, so the high planes are next to nothing."""
+    planes = np.ascontiguousarray(body.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(body).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(raw.slice(8), 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
+def _by_count(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the entries by falling count, and the new number of each."""
+    order = np.argsort(-n, kind="stable")
+    number = np.empty(len(n), np.int64)
+    number[order] = np.arange(len(n))
+    return order, number
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,46 +91,53 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf[~gap], (end - start).astype(np.int64), np.diff(piece, prepend=-1) > 0
 
 
-def _batch(schema: pa.Schema, block: int, lang: str, body: np.ndarray | None, columns: dict) -> pa.RecordBatch:
-    n = 1 if body is not None else len(columns["n"])
-    held = {"block": pa.array([block] * n, pa.int64()), "lang": pa.array([lang] * n, pa.string())}
-    if body is not None:
-        held["body"] = pa.array([body.astype(np.int32).tobytes()], pa.binary())
-    held |= columns
-    return pa.RecordBatch.from_arrays([held[f.name] if f.name in held else pa.nulls(n, f.type) for f in schema], schema=schema)
+def _rows(schema: pa.Schema, block: int, body: np.ndarray | None, entries: dict) -> Iterator[pa.RecordBatch]:
+    """A block's sequence, if it is asked for, and its entries (column idx: their numbers)."""
 
+    def batch(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-def _entries(schema: pa.Schema, block: int, lang: str, columns: dict) -> Iterator[pa.RecordBatch]:
-    n = len(columns["n"])
-    for lo in range(0, n, ENTRIES):
-        yield _batch(schema, block, lang, None, {k: v.slice(lo, ENTRIES) for k, v in columns.items()})
+    first = block << _BITS
+    if body is not None:
+        lang = {"lang": pa.array([entries["lang"]], pa.string()), "n": pa.array([entries["words"]], pa.int64())} if "lang" in entries else {}
+        yield batch(1, {"at": pa.array([first | _LAST], pa.int64()), "body": pa.array([_packed(body)], pa.binary()), **lang})
+    idx = entries["idx"]
+    for lo in range(0, len(idx), ENTRIES):
+        some = {k: v[lo : lo + ENTRIES] for k, v in entries.items() if k in ("word", "a", "b", "n")}
+        yield batch(len(some["n"]), {"at": pa.array(first + idx[lo : lo + ENTRIES].astype(np.int64)), **{k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in some.items()}})
 
 
 def _word_block(schema: pa.Schema, block: int, lang: str, held: list) -> Iterator[pa.RecordBatch]:
-    """The rows of a block: its sequence, then its words."""
+    """The rows of a block; a word's key begins with its language and that one's length."""
     letters, size, begins = (np.concatenate(x) for x in zip(*held))
     upto = np.concatenate([[0], np.cumsum(size)])
     words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto), pa.py_buffer(letters)]).dictionary_encode()
     idx, known = words.indices.to_numpy(), words.dictionary
     n = np.bincount(idx, minlength=len(known))
     body = np.full(len(idx) + int(begins.sum()), -1, np.int32)  # -1 before every piece
-    body[np.arange(len(idx)) + np.cumsum(begins)] = idx
-    yield _batch(schema, block, lang, body, {})
-    yield from _entries(schema, block, lang, {"idx": pa.array(np.arange(len(n), dtype=np.int32)), "word": known.cast(pa.large_string()).cast(pa.string()), "n": pa.array(n, pa.int64())})
+    order, number = _by_count(n)
+    body[np.arange(len(idx)) + np.cumsum(begins)] = number[idx]
+    total = len(idx)
+    del idx, words, letters, size, upto
+    words = known.take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
+    words = pc.binary_join_element_wise(pa.scalar(f"{len(lang)}:{lang}"), words, pa.scalar(""))
+    yield from _rows(schema, block, body, {"lang": lang, "words": total, "idx": np.arange(len(n)), "word": words, "n": n[order]})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the texts of a task, each of one language."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("body", pa.binary()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
-    first, made = (TaskContext.get().partitionId() << 32), 0
+    schema = pa.schema([("at", pa.int64()), ("body", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    part, made = TaskContext.get().partitionId(), 0
     held: dict[str, list] = {}
     size: dict[str, int] = {}
 
     def close(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal made
-        made += 1
+        if made >> _SEQ or part >> (63 - _BITS - _SEQ):
+            raise ValueError("more blocks than numbers: read the texts in more partitions")
         del size[lang]
-        yield from _word_block(schema, first + made, lang, held.pop(lang))
+        yield from _word_block(schema, part << _SEQ | made, lang, held.pop(lang))
+        made += 1
         trim()
 
     for batch in batches:
@@ -132,9 +165,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(lang)
 
 
-def _pair_block(schema: pa.Schema, block: int, lang: str, body: np.ndarray, idx: np.ndarray, ids: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of adjacent entries that have ids: their sequence (not for the last level), then their dictionary."""
+def _pair_block(schema: pa.Schema, block: int, body: np.ndarray, idx: np.ndarray, ids: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of adjacent entries that have ids: their sequence (not for the last level), and their dictionary in the order of a and b."""
     names = len(ids)
+    rank = np.argsort(ids)
+    idx, ids = idx[rank], ids[rank]
     to = np.full(int(body.max(initial=-1)) + 2, -1, np.int64)  # -1, the gap, reads the last place
     to[idx] = np.arange(names)
     x = to[body]
@@ -142,42 +177,56 @@ def _pair_block(schema: pa.Schema, block: int, lang: str, body: np.ndarray, idx:
     if not fits.any():
         return
     pairs, at, n = np.unique(x[:-1][fits] * names + x[1:][fits], return_inverse=True, return_counts=True)
+    _, number = _by_count(n)
+    out = None
     if not last:
         out = np.full(len(fits), -1, np.int32)
-        out[fits] = at
-        yield _batch(schema, block, lang, out[fits | np.concatenate([[True], fits[:-1]])], {})  # a gap is one place
-    yield from _entries(
-        schema, block, lang,
-        {"idx": pa.array(np.arange(len(n), dtype=np.int32)), "a": pa.array(ids[pairs // names]), "b": pa.array(ids[pairs % names]), "n": pa.array(n, pa.int64())},
-    )
+        out[fits] = number[at]
+        out = out[fits | np.concatenate([[True], fits[:-1]])]  # a gap is one place
+    yield from _rows(schema, block, out, {"idx": number, "a": ids[pairs // names], "b": ids[pairs % names], "n": n})
 
 
 def _paired(last: bool):
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("body", pa.binary()), ("idx", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("at", pa.int64()), ("body", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # names of the block whose sequence is to come
         for batch in batches:
-            for k in range(batch.num_rows):
-                block, lang, body, idx, ids = (batch.column(c)[k] for c in range(5))
-                args = (np.frombuffer(body.as_buffer(), np.int32), idx.values.to_numpy(), ids.values.to_numpy())
-                yield from _pair_block(schema, block.as_py(), lang.as_py(), *args, last)
-                trim()
+            lo = 0
+            for k in np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                held.append(batch.slice(lo, k - lo))
+                at, ids = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]).astype(np.int64) for c in (0, 2))
+                block, body = batch.column(0)[k].as_py() >> _BITS, _unpacked(batch.column(1)[k].as_buffer())
+                held, lo = [], k + 1
+                if len(ids):
+                    yield from _pair_block(schema, block, body, at & _LAST, ids, last)
+                    trim()
+            held.append(batch.slice(lo))
 
     return run
 
 
 def _names(s: Scratch, entries: DataFrame, keys: list[str], min_count: int, name: str) -> DataFrame:
-    """The frequent entries with their counts f, each named by an id."""
+    """The frequent entries with their counts f, numbered from 0: short numbers, as they are shuffled often."""
     counts = entries.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    return s.save(counts.select(F.monotonically_increasing_id().alias("id"), *keys, "f"), name)
+    bits = 33  # of a number within its partition
+    found = s.save(counts.select(F.monotonically_increasing_id().alias("at"), *keys, "f"), f"{name}_found")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy(F.shiftright("at", bits).alias("part")).agg(F.count("*").alias("n"))  # a row a partition
+    starts = F.broadcast(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    numbered = found.withColumn("part", F.shiftright("at", bits)).withColumn("place", F.col("at") - F.shiftleft("part", bits)).join(starts, "part")
+    out = s.save(numbered.select((F.col("start") + F.col("place")).alias("id"), *keys, "f"), name)
+    s.drop(f"{name}_found")
+    return out
 
 
 def _answered(bodies: DataFrame, entries: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """Every block's sequence with the local numbers and ids of its named entries: as many as its dictionary has at most."""
+    """Each block's sequence, behind the local numbers and ids of its named entries: a row each, so that nothing but a sequence is as long as a block."""
     key = F.xxhash64(*keys)
-    maybe = wanted_rows(entries.select("block", "idx", *keys, key.alias("key")), "key", names.select(key.alias("key")))
-    named = maybe.drop("key").join(names.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("idx", "id")).alias("x"))
-    return bodies.join(named.select("block", F.col("x.idx").alias("ids_at"), F.col("x.id").alias("ids")), "block").select("block", "lang", "body", "ids_at", "ids")
+    maybe = wanted_rows(entries.select("at", *keys, key.alias("key")), "key", names.select(key.alias("key")), FILTER)
+    named = maybe.drop("key").join(names.select(*keys, "id"), keys).select("at", F.lit(None).cast("binary").alias("body"), "id")
+    both = bodies.select("at", "body", F.lit(None).cast("long").alias("id")).unionByName(named)
+    return both.repartition(F.shiftright("at", _BITS)).sortWithinPartitions("at")
 
 
 def _heirs(names: DataFrame, above: DataFrame) -> DataFrame:
@@ -212,15 +261,17 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, subsu
     s = Scratch(docs.sparkSession, "collocations")
     kind = lambda wanted: F.col("body").isNotNull() if wanted else F.col("body").isNull()
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    level = s.save(texts.mapInArrow(_blocks, _WORDS), "level1", codec="zstd")
-    entries, keys = level.where(kind(False)), ["lang", "word"]
-    total = s.save(entries.groupBy("lang").agg(F.sum("n").alias("n")), "total")
+    level = s.save(texts.mapInArrow(_blocks, _WORDS), "level1", options={"compression": "zstd"})
+    entries, keys = level.where(kind(False)), ["word"]
+    total = s.save(level.where(kind(True)).groupBy("lang").agg(F.sum("n").alias("n")), "total")
     names = _names(s, entries, keys, min_count, "names1")
-    above = names.select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
+    size = F.substring_index("word", ":", 1)
+    split = names.select("id", "f", F.substring("word", F.length(size) + 2, size.cast("int")).alias("lang"), F.substring("word", F.length(size) + 2 + size.cast("int"), F.length("word")).alias("word"))
+    above = split.select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
     rated: list[DataFrame] = []
     for words in range(2, max_words + 1):
-        answered = _answered(level.where(kind(True)).select("block", "lang", "body"), entries, names, keys)
-        level = s.save(answered.mapInArrow(_paired(words == max_words), _PAIRS), f"level{words}", codec="zstd")
+        answered = _answered(level.where(kind(True)), entries, names, keys)
+        level = s.save(answered.mapInArrow(_paired(words == max_words), _PAIRS), f"level{words}", options={"compression": "zstd"})
         s.drop(f"level{words - 1}")
         s.release()
         entries, keys = level.where(kind(False)), ["a", "b"]

@@ -52,10 +52,9 @@ class Scratch:
         OPEN.append(self)
         atexit.register(self.end)
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
         """df, written under ``name`` and read again."""
-        writer = df.write.mode("overwrite")
-        writer = writer.option("compression", codec) if codec else writer
+        writer = df.write.mode("overwrite").options(**options or {})
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name)) if not partition_by else self.spark.read.parquet(self.path(name))
@@ -121,18 +120,18 @@ def trim() -> None:
 FILTER_BITS = 1 << 23
 
 
-def marked_rows(rows: DataFrame, column: str, wanted: DataFrame, out: str) -> DataFrame:
+def marked_rows(rows: DataFrame, column: str, wanted: DataFrame, out: str, size: int = FILTER_BITS) -> DataFrame:
     """rows with a flag: true wherever the column is among the wanted ids (a single column), and on a few other rows.
 
-    A bit for each wanted id's hash, FILTER_BITS in all whatever their number,
-    goes to all tasks (two megabytes at most); the rows are not shuffled.  With
+    A bit for each wanted id's hash, ``size`` in all whatever their number,
+    goes to all tasks (two megabytes at most, with FILTER_BITS); the rows are not shuffled.  With
     ever more wanted ids more other rows are flagged; exact joins follow
     wherever that matters.
     """
 
     def place(c: str):
-        h = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-        return F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({c}), {FILTER_BITS}), 64) as int))")
+        h = F.pmod(F.xxhash64(c), F.lit(size))
+        return F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({c}), {size}), 64) as int))")
 
     at, held = unused([*rows.columns, *wanted.columns, out], "word", "bits")
     (word, bit), (own_word, own_bit) = place(wanted.columns[0]), place(column)
@@ -141,10 +140,10 @@ def marked_rows(rows: DataFrame, column: str, wanted: DataFrame, out: str) -> Da
     return joined.withColumn(out, F.coalesce(F.col(held).bitwiseAND(own_bit) != 0, F.lit(False))).drop(at, held)
 
 
-def wanted_rows(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+def wanted_rows(rows: DataFrame, column: str, wanted: DataFrame, size: int = FILTER_BITS) -> DataFrame:
     """The rows whose column is among the wanted ids, and a few others (see marked_rows)."""
     (maybe,) = unused(rows.columns, "maybe")
-    return marked_rows(rows, column, wanted, maybe).where(F.col(maybe)).drop(maybe)
+    return marked_rows(rows, column, wanted, maybe, size).where(F.col(maybe)).drop(maybe)
 
 
 #: Rows of an Arrow batch: with texts of some kilobytes, the default of 10,000 is a hundred megabytes in the JVM and as much in Python.
