@@ -1,7 +1,8 @@
 """Token-id files: ascending document order, raw fixed-width ids, and a minimal perfect hash per shard.
 
 A store is a folder of two Parquet tables, ``shards`` and ``parts``.  A row of
-``shards`` holds a run of consecutive documents:
+``shards`` holds a run of consecutive documents, of SHARD_CHARS characters of text or
+one longer document:
 
 ========== ==================================================================
 part, seq  the writing partition and the shard's number in it; (part, seq)
@@ -17,14 +18,20 @@ bounds     offsets in ids of the documents, and the end
 payload    the ids, little-endian, nothing in between
 ========== ==================================================================
 
-``parts`` holds the ids that lie before each partition, so that a global start is
-rel_start plus one number.  Keyed access finds its shard by equality: keys are cut
-into cells about as wide as a shard's range, and a shard stands in the directory
-once for each cell that it touches (about twice as many rows as shards).  What
-follows takes the same time whatever a shard's size: a probe of the hash's packed
-bits, of which a count is stored every ``RANK_BITS`` bits, one fingerprint
-comparison and one slice; a key that isn't there is refused by its fingerprint (or
-by the stored key).
+A partition is a file.  Its values are neither compressed nor dictionary-coded, so
+a payload's ids lie in the file as they are, and every value is a page of its own,
+so the file's page index has each shard's place and its range of keys.
+
+``parts``, a row per file, has the ids that lie before it (a global start is
+rel_start plus that), its range of keys and its name.  Keyed access to few keys
+opens the files whose range holds one, and of these the pages of the shards whose
+range does: the store's size doesn't matter.  For many keys shards are found by
+equality: the ranges are cut into cells about as wide as a shard's, and a shard
+stands in the directory once for each cell that it touches (about twice as many
+rows as shards).  What follows takes the same time whatever a shard's size: a
+probe of the hash's packed bits, of which a count is stored every ``RANK_BITS``
+bits, one fingerprint comparison and one slice; a key that isn't there is
+refused by its fingerprint (or by the stored key).
 
 Defined results: null text has the end id only; null keys come first and can be
 read in sequence only; rows of the same key stay next to each other (ties by the
@@ -35,6 +42,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -49,6 +57,12 @@ from .tokens import default_vocabulary, encode_frame, encoder
 
 MAX_LEVELS = 40
 RANK_BITS = 512
+#: Characters of a shard's texts, and of the texts that are encoded together.
+SHARD_CHARS, ENCODED_CHARS = 1 << 20, 4 << 20
+#: Keys that are looked up by the files' own indexes; more are joined with the directory.
+SOUGHT = 200
+#: One value a page, as it is: what a reader seeks is what it reads.
+RAW = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1"}
 
 
 def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -169,18 +183,20 @@ def _write(vocabulary: str, end_id: int | None, by_word: bool, limit: int):
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         width = 2 if encoder(vocabulary, by_word).tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         for frame in frames:
-            for lo, hi in wh.batches(frame["text"].tolist(), limit):
+            for lo, hi in wh.batches(frame["text"].tolist(), max(limit, ENCODED_CHARS)):
                 piece = frame.iloc[lo:hi]
                 keys = [None if pd.isna(k) else int(k) for k in piece["doc_id"].tolist()]
-                row = shard_row(keys, encode_frame(piece, vocabulary, end_id, by_word), width)
-                yield pd.DataFrame([{"part": part, "seq": seq, "rel_start": before, **row}])
-                seq, before = seq + 1, before + row["n_ids"]
+                ids = encode_frame(piece, vocabulary, end_id, by_word)
+                for a, b in wh.batches(piece["text"].tolist(), limit):
+                    row = shard_row(keys[a:b], ids[a:b], width)
+                    yield pd.DataFrame([{"part": part, "seq": seq, "rel_start": before, **row}])
+                    seq, before = seq + 1, before + row["n_ids"]
                 trim()
 
     return run
 
 
-def write_store(docs: DataFrame, vocabulary: str, end_id: int | None, scratch: Scratch, by_word: bool = True, limit: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def write_store(docs: DataFrame, vocabulary: str, end_id: int | None, scratch: Scratch, by_word: bool = True, limit: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """Writes the ids of every text; returns (shards, parts).
 
     One shuffle, of the texts by ranges of doc_id; encoding and writing follow
@@ -190,10 +206,11 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int | None, scratch: S
     ordered = documents(docs).withColumn("tie", F.xxhash64("text"))
     # (doc_id, tie), so that rows of one doc_id, or of none, aren't bound to one task
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    shards = scratch.save(ordered.select("doc_id", "text").mapInPandas(_write(vocabulary, end_id, by_word, limit), SHARD), "shards")
-    total = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per partition
+    shards = scratch.save(ordered.select("doc_id", "text").mapInPandas(_write(vocabulary, end_id, by_word, limit), SHARD), "shards", options=RAW)
+    # a row per partition
+    total = shards.groupBy("part", F.col("_metadata.file_path").alias("file")).agg(F.sum("n_ids").alias("n"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return shards, scratch.save(total.select("part", F.coalesce(before, F.lit(0)).alias("before")), "parts")
+    return shards, scratch.save(total.select("part", F.coalesce(before, F.lit(0)).alias("before"), "first_key", "last_key", "file"), "parts")
 
 
 def _each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +230,7 @@ def _each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_store(shards: DataFrame, parts: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids of every stored document, each reached through its shard's index."""
     rows = shards.mapInPandas(_each, "doc_id long, part int, rel long, n_tokens long, ids_crc32 long, ids array<long>")
-    return rows.join(parts, "part").select("doc_id", (F.col("rel") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return rows.join(parts.select("part", "before"), "part").select("doc_id", (F.col("rel") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,27 +248,50 @@ def _probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["doc_id", "part", "rel", "ids"])
 
 
-def lookup(shards: DataFrame, parts: DataFrame, keys: DataFrame) -> DataFrame:
+def _any(tests: list):
+    """The tests joined by or, as a shallow tree."""
+    half = len(tests) // 2
+    return tests[0] if len(tests) == 1 else _any(tests[:half]) | _any(tests[half:])
+
+
+def seek(parts: DataFrame, keys: list[int]) -> DataFrame | None:
+    """The shards whose range holds one of the keys, read by the indexes of the files that have such; None if no file has."""
+    holds = _any([(F.col("first_key") <= k) & (F.col("last_key") >= k) for k in keys])
+    files = [unquote(r.file) for r in parts.where(holds).select("file").distinct().collect()]  # a key lies in few files
+    return parts.sparkSession.read.schema(SHARD).parquet(*files).where(holds) if files else None
+
+
+def lookup(shards: DataFrame, parts: DataFrame, keys: DataFrame, sought: int = SOUGHT) -> DataFrame:
     """doc_id, start, ids of the asked keys (column doc_id) that are stored; absent keys give no row.
 
-    Only shards whose key range holds an asked key are opened.
+    Up to ``sought`` keys are read from their places in the files; for more, all
+    shards are read once, and those whose range holds an asked key are opened.
     """
+    kind = "doc_id long, part int, rel long, ids array<long>"
     asked = keys.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    directory = shards.where("first_key is not null").select("part", "seq", "first_key", "last_key")
-    r = directory.agg(F.min("first_key"), F.max("last_key"), F.count("*")).first()  # one row
-    bits = min(63, int((r[1] - r[0]) // r[2]).bit_length()) if r[2] else 0
-    cell = lambda c: F.shiftright(F.col(c), bits)
-    directory = directory.select("part", "seq", "first_key", "last_key", F.explode(F.sequence(cell("first_key"), cell("last_key"))).alias("cell"))
-    found = asked.withColumn("cell", cell("key")).join(directory, "cell").where("key between first_key and last_key")
-    found = found.groupBy("part", "seq").agg(F.collect_set("key").alias("wanted"))
-    # only the shards that are asked for are moved, but for a few
-    near = wanted_rows(shards.withColumn("shard", F.xxhash64("part", "seq")), "shard", found.select(F.xxhash64("part", "seq").alias("shard"))).drop("shard")
-    rows = near.join(found, ["part", "seq"]).mapInPandas(_probe, "doc_id long, part int, rel long, ids array<long>")
-    return rows.join(parts, "part").select("doc_id", (F.col("rel") + F.col("before")).alias("start"), "ids")
+    few = sorted(r.key for r in asked.limit(sought + 1).collect())
+    if len(few) <= sought:
+        near = seek(parts, few) if few else None
+        if near is None:
+            return shards.sparkSession.createDataFrame([], "doc_id long, start long, ids array<long>")
+        array = F.array(*map(F.lit, few)).cast("array<long>")
+        rows = near.withColumn("wanted", F.filter(array, lambda k: k.between(F.col("first_key"), F.col("last_key")))).mapInPandas(_probe, kind)
+    else:
+        directory = shards.where("first_key is not null").select("part", "seq", "first_key", "last_key")
+        r = directory.agg(F.min("first_key"), F.max("last_key"), F.count("*")).first()  # one row
+        bits = min(63, int((r[1] - r[0]) // r[2]).bit_length()) if r[2] else 0
+        cell = lambda c: F.shiftright(F.col(c), bits)
+        directory = directory.select("part", "seq", "first_key", "last_key", F.explode(F.sequence(cell("first_key"), cell("last_key"))).alias("cell"))
+        found = asked.withColumn("cell", cell("key")).join(directory, "cell").where("key between first_key and last_key")
+        found = found.groupBy("part", "seq").agg(F.collect_set("key").alias("wanted"))
+        # only the shards that are asked for are moved, but for a few
+        near = wanted_rows(shards.withColumn("shard", F.xxhash64("part", "seq")), "shard", found.select(F.xxhash64("part", "seq").alias("shard"))).drop("shard")
+        rows = near.join(found, ["part", "seq"]).mapInPandas(_probe, kind)
+    return rows.join(parts.select("part", "before"), "part").select("doc_id", (F.col("rel") + F.col("before")).alias("start"), "ids")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark, "ids")
     shards, parts = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), 2, s)
-    rows = shards.mapInPandas(_digest, "doc_id long, part int, rel long, n_tokens long, ids_crc32 long").join(parts, "part")
+    rows = shards.mapInPandas(_digest, "doc_id long, part int, rel long, n_tokens long, ids_crc32 long").join(parts.select("part", "before"), "part")
     return s.close(rows.select("doc_id", (F.col("rel") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"))

@@ -145,9 +145,25 @@ def test_lookup_of_many_keys_also_of_one_in_two_shards(spark):
     shards, parts = idstore.write_store(docs, VOCAB, 2, Scratch(spark, "keys"), limit=40)
     assert shards.where("first_key = 50 or last_key = 50").count() > 1
     asked = [50, 0, 790, 10**15 + 159, -(2**63), 2**63 - 1, 5, 10**15 - 1, 123]
-    got = Counter((r.doc_id, tuple(r.ids)) for r in idstore.lookup(shards, parts, spark.createDataFrame([(k,) for k in asked], "doc_id long")).collect())
-    assert got == Counter((i, tuple(plain_ids(t, 2))) for i, t in texts if i in asked)
-    assert idstore.lookup(shards.limit(0), parts, docs).count() == 0
+    for sought in (0, 200):  # by the directory, and by the files' indexes
+        got = Counter((r.doc_id, tuple(r.ids)) for r in idstore.lookup(shards, parts, spark.createDataFrame([(k,) for k in asked], "doc_id long"), sought).collect())
+        assert got == Counter((i, tuple(plain_ids(t, 2))) for i, t in texts if i in asked)
+        assert idstore.lookup(shards.limit(0), parts.limit(0), docs, sought).count() == 0
+        assert idstore.lookup(shards, parts, docs.limit(0), sought).count() == 0
+
+
+def test_a_lookup_reads_no_more_from_a_larger_store(spark):
+    word = lambda i: " ".join(f"w{(i * 7919 + k) % 5003}" for k in range(400))
+    read = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
+    amounts, sizes = [], []
+    for n in (300, 6000):
+        docs = spark.range(n).repartition(4).select(F.col("id").alias("doc_id"), F.udf(word)("id").alias("text"))
+        shards, parts = idstore.write_store(docs, VOCAB, 2, Scratch(spark, "sizes"), limit=40_000)
+        sizes.append(shards.agg(F.sum(F.length("payload"))).first()[0])
+        before = sum(s.getBytesRead() for s in read.getAllStatistics())
+        assert [r.ids for r in idstore.lookup(shards, parts, spark.createDataFrame([(77,)], "doc_id long")).collect()] == [plain_ids(word(77), 2)]
+        amounts.append(sum(s.getBytesRead() for s in read.getAllStatistics()) - before)
+    assert sizes[1] > 15 * sizes[0] and amounts[1] < 1.5 * amounts[0] + 100_000, (sizes, amounts)
 
 
 def test_id_store_round_trip_and_lookup(spark):
