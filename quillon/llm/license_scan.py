@@ -18,6 +18,11 @@ that shares most bigrams stays (ties: the higher Dice, the name, the place), and
 it is reported unless its line, or a line or text around it that states the same
 or a longer form of it, is reported itself.
 
+A segment or window that reaches the limit shares at least limit / (2 - limit) of
+a template's bigrams.  So for each template there are a few words such that the
+bigrams without them are too few; a document that has none of these words is
+passed over by one pattern, before any word is cut out.
+
 Templates are a fixed list in the plan itself; nothing is joined or shuffled.
 
 Defined results: null and empty texts have no segments; a segment is reported
@@ -27,6 +32,7 @@ are reported each; line is the number of the line from 0 (of a window, its first
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,8 +79,6 @@ _WORD = "[a-z0-9]+(?:[.][a-z0-9]+)*"
 
 
 def template_words(text: str) -> list[str]:
-    import re
-
     return re.findall(_WORD, text.lower())
 
 
@@ -96,6 +100,21 @@ def _bigrams(w: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def telling_words(known: dict[str, list[str]], least: dict[str, int]) -> list[str]:
+    """Words without any of which no text shares ``least`` bigrams with a template; longer words, which are rarer, are preferred."""
+    left = {name: {tuple(p.split(" ")) for p in pairs} for name, pairs in known.items()}
+    chosen: list[str] = []
+    while open_ := [name for name, pairs in left.items() if len(pairs) >= least[name]]:
+        needed: dict[str, int] = {}
+        for name in open_:
+            for w in {x for p in left[name] for x in p if x}:
+                needed[w] = needed.get(w, 0) + min(len(left[name]) - least[name] + 1, sum(w in p for p in left[name]))
+        best = max(needed, key=lambda w: (len(w) > 5, needed[w], sum(w in p for name in open_ for p in left[name]), len(w), w))
+        chosen.append(best)
+        left = {name: {p for p in pairs if best not in p} for name, pairs in left.items()}
+    return sorted(chosen)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float = LIMIT) -> DataFrame:
     """doc_id, line, license, shared, segment_bigrams, template_bigrams, dice of every segment with Dice of at least ``limit``."""
     if not templates:
@@ -106,6 +125,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
     bounds = {name: (-(-len(p) * up.denominator // up.numerator), len(p) * up.numerator // up.denominator) for name, p in known.items()}
     least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     every = sorted({p for pairs in known.values() for p in pairs})
+    words = "|".join(re.escape(w) for w in telling_words(known, {name: low for name, (low, _) in bounds.items()}))
+    docs = documents(docs).where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"))
     # each step's arrays are made by a generator of their own: what follows then reads them as columns, and filters don't make them again
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("s")))
     whole = F.when(F.contains(F.col("text"), F.lit("\n")), F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("s"))))
@@ -162,9 +183,9 @@ def _windows(docs: DataFrame, known: dict[str, list[str]], bounds: dict[str, tup
     own = F.filter(F.array(*own), lambda t: F.size(F.array_distinct(F.transform(t["hits"], lambda h: h["p"]))) >= t["low"])
     found = found.select("doc_id", "lines", "w", F.explode(F.array(own)).alias("own")).where(F.size("own") > 0)
 
-    def best(t: Column, start: Column) -> Column:
-        """The windows from one start on; the last is the best."""
-        ends = F.filter(t["hits"], lambda h: (h["i"] >= start) & (h["i"] < start + t["high"]))
+    def best(t: Column, start: Column, k: Column) -> Column:
+        """The best window from one start, the k-th hit, on: it ends with one of as many hits as it may have bigrams."""
+        ends = F.filter(F.slice(t["hits"], k + 1, t["high"]), lambda h: h["i"] < start + t["high"])
         pairs = F.transform(ends, lambda h: F.struct(h["i"].alias("end"), _bigrams(F.slice(F.col("w"), start + 1, h["i"] - start + 2)).alias("p")))
         counted = F.transform(pairs, lambda x: F.struct(F.size(F.array_intersect(x["p"], t["q"])).alias("shared"), F.size(x["p"]).alias("n"), x["end"].alias("end")))
         fit = F.filter(counted, lambda x: (x["n"] >= t["low"]) & (F.lit(2 * top.denominator) * x["shared"] >= F.lit(top.numerator) * (x["n"] + t["m"])))
@@ -176,7 +197,7 @@ def _windows(docs: DataFrame, known: dict[str, list[str]], bounds: dict[str, tup
         )
         return F.array_min(rows)
 
-    each = F.flatten(F.transform("own", lambda t: F.filter(F.transform(t["hits"], lambda h: best(t, h["i"])), F.isnotnull)))
+    each = F.flatten(F.transform("own", lambda t: F.filter(F.transform(t["hits"], lambda h, k: best(t, h["i"], k)), F.isnotnull)))
     order = F.array_sort(
         F.transform(
             each, lambda x: F.struct(x["fewer"].alias("fewer"), x["less"].alias("less"), x["license"].alias("license"), x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["m"].alias("m"))
@@ -193,17 +214,22 @@ def _windows(docs: DataFrame, known: dict[str, list[str]], bounds: dict[str, tup
         one = [F.when(F.size(p).between(*bounds[t]) & enough(F.size(F.array_intersect(p, F.array(*map(F.lit, known[t])))), F.size(p), len(known[t])), F.lit(t)) for t in names]
         return F.filter(F.array(*one), F.isnotnull)
 
-    line_of = F.flatten(F.transform("lines", lambda x, i: F.transform(x, lambda _: i)))
-    found = found.select("doc_id", "lines", "w", line_of.alias("line_of"), F.explode(kept).alias("x"))
-    found = found.select("doc_id", "lines", "w", "x", F.get("line_of", F.col("x.start")).alias("line"), F.get("line_of", F.col("x.end") + 1).alias("last"))
-    around = F.transform(F.sequence("line", "last"), lambda k: _bigrams(F.get("lines", k)))
-    whole = F.when(F.size("lines") > 1, F.array(_bigrams(F.col("w")))).otherwise(F.array().cast("array<array<string>>"))
-    found = found.select("doc_id", "x", "line", "last", F.explode(F.array(F.struct(F.transform(around, fits).alias("lines"), F.flatten(F.transform(whole, fits)).alias("whole")))).alias("said"))
     longer = F.lit(None).cast("array<string>")
     for t in names:
         longer = F.when(F.col("x.license") == t, F.array(*[F.lit(u) for u in names if set(known[t]) <= set(known[u])])).otherwise(longer)
-    same = F.arrays_overlap(longer, F.concat(F.flatten("said.lines"), F.col("said.whole")))
-    inside = (F.col("line") == F.col("last")) & (F.size(F.flatten("said.lines")) > 0)
+    # what lines and text report is found once a document; a window looks up its own lines
+    found = found.select("doc_id", "lines", "w", F.explode(F.array(kept)).alias("kept"))
+    line_of = F.flatten(F.transform("lines", lambda x, i: F.transform(x, lambda _: i)))
+    by_line = F.transform("lines", lambda x: F.when(F.size(x) > 0, fits(_bigrams(x))).otherwise(F.array().cast("array<string>")))
+    whole = F.when(F.size("lines") > 1, fits(_bigrams(F.col("w")))).otherwise(F.array().cast("array<string>"))
+    found = found.select("doc_id", "kept", F.explode(F.array(F.struct(line_of.alias("line_of"), by_line.alias("by_line"), whole.alias("whole")))).alias("d"))
+    placed = F.transform(
+        "kept", lambda x: F.struct(x.alias("x"), F.get("d.line_of", x["start"]).alias("line"), F.get("d.line_of", x["end"] + 1).alias("last"))
+    )
+    said = F.transform(placed, lambda y: F.struct(y["x"].alias("x"), y["line"].alias("line"), y["last"].alias("last"), F.flatten(F.slice("d.by_line", y["line"] + 1, y["last"] - y["line"] + 1)).alias("lines")))
+    found = found.select("doc_id", F.col("d.whole").alias("whole"), F.explode(said).alias("y")).select("doc_id", "whole", "y.*")
+    same = F.arrays_overlap(longer, F.concat("lines", "whole"))
+    inside = (F.col("line") == F.col("last")) & (F.size("lines") > 0)
     shared = -F.col("x.fewer")
     return found.where(~same & ~inside).select(
         "doc_id", "line", "x.license", shared.alias("shared"), F.col("x.n").alias("segment_bigrams"), F.col("x.m").alias("template_bigrams"),

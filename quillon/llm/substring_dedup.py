@@ -1,6 +1,7 @@
 """Exact substring dedup: fixed windows of words that also start in an earlier document are removed.
 
-Every window of ``width`` words has a Rabin-Karp hash.  A window is redundant in
+Every window of ``width`` words has a Rabin-Karp hash of 128 bits (two
+polynomials over unlike hashes of its words).  A window is redundant in
 a document if the same words also start a window of a document with a smaller
 id.  Redundant windows merge into maximal intervals, which are cut out.
 
@@ -56,6 +57,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def second(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words, for the second half of a window's hash."""
+    return wh.mix(h ^ np.uint64(0xA0761D6478BD642F))
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp: the hash of h[i:i + width] as a difference of one running polynomial."""
     n = len(h) - width + 1
@@ -93,8 +99,9 @@ def _windows(width: int, seed: int):
             x = h[first[k] : first[k + 1]]
             least = _signed(sliding_min(wh.chain(x, seed), width - seed + 1))
             at = np.flatnonzero(np.isin(least, np.asarray(shared, np.int64)))
-            out.append((_signed(window_hashes(x, width))[at], np.full(len(at), doc), np.full(len(at), row), at.astype(np.int32)))
-        return pd.DataFrame(dict(zip(("w", "doc_id", "row", "at"), map(np.concatenate, zip(*out))))) if out else None
+            both = (_signed(window_hashes(y, width))[at] for y in (x, second(x)))
+            out.append((*both, np.full(len(at), doc), np.full(len(at), row), at.astype(np.int32)))
+        return pd.DataFrame(dict(zip(("w", "w2", "doc_id", "row", "at"), map(np.concatenate, zip(*out))))) if out else None
 
     return run
 
@@ -122,11 +129,11 @@ def _marked(docs: DataFrame, s: Scratch, width: int, seed: int) -> tuple[DataFra
     common = s.save(seeds.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("m"), "common")
     lists = seeds.join(common, "m").groupBy("doc_id", "row").agg(F.collect_set("m").alias("shared"))
     lists = s.save(lists, "lists")
-    windows = wanted_rows(texts, "doc_id", lists.select("doc_id")).join(lists, ["doc_id", "row"]).mapInPandas(by_batch(_windows(width, seed)), "w long, doc_id long, row long, at int")
+    windows = wanted_rows(texts, "doc_id", lists.select("doc_id")).join(lists, ["doc_id", "row"]).mapInPandas(by_batch(_windows(width, seed)), "w long, w2 long, doc_id long, row long, at int")
     windows = s.save(windows, "windows")
-    first = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    first = s.save(first.where("least <> most").select("w", "least"), "first")
-    starts = windows.join(first, "w").where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias(own))
+    first = windows.groupBy("w", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    first = s.save(first.where("least <> most").select("w", "w2", "least"), "first")
+    starts = windows.join(first, ["w", "w2"]).where("doc_id > least").groupBy("doc_id", "row").agg(F.collect_list("at").alias(own))
     key = [F.col("doc_id").cast("long").alias(id_), F.xxhash64(F.col("text").cast("string")).alias(row)]
     starts = s.save(starts.withColumnsRenamed({"doc_id": id_, "row": row}), "starts")
     twins = twins.withColumnsRenamed({"doc_id": id_, "row": row}).withColumn(twin, F.lit(True))

@@ -60,12 +60,13 @@ def test_intervals_merge():
 
 
 def test_stages_keep_columns_of_any_name(spark):
-    names = ["id", "row", "maybe", "starts", "twin", "KEY", "goes", "word", "bits", "__maybe", "__id", "hops"]
+    names = ["id", "row", "maybe", "starts", "twin", "KEY", "goes", "word", "bits", "__maybe", "__id", "hops", "t1", "T2", "item"]
     a = " ".join(f"alpha{i}" for i in range(130))
     texts = [(1, a), (2, a), (3, "start " + a + " end"), (4, None), (None, a), (6, "")]
     docs = spark.createDataFrame([(i, t, *[k + 10 * j for k in range(len(names))]) for j, (i, t) in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     want = {r.id: r for r in docs.collect()}
-    for out, kept in ((substring_dedup.without_repeats(docs), 6), (near_dedup.without_near_duplicates(docs), 4)):
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    for out, kept in ((substring_dedup.without_repeats(docs), 6), (near_dedup.without_near_duplicates(docs), 4), (decontaminate.decontaminate(docs, bench), 2)):
         got = out.collect()
         assert out.columns == docs.columns and len(got) == kept
         assert all(tuple(r)[2:] == tuple(want[r.id])[2:] for r in got)
@@ -305,14 +306,43 @@ def test_decontamination_finds_reordered_passages_and_spares_others(spark):
         "doc_id long, text string, coverage double",
     )
     bench = spark.createDataFrame([(7, " ".join(item), 1), (8, None, 1), (9, "tiny item", 1), (None, " ".join(item), 1)], "item_id long, text string, doc_id int")
-    for block in (1_000_000, 10):
-        found = decontaminate.contaminated(docs, bench, block_words=block).collect()
-        assert {(r.doc_id, r.item_id) for r in found} == {(d, i) for d in (1, 2, None) for i in (7, None)}
-        left = decontaminate.decontaminate(docs, bench, block_words=block)
-        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, i) for d in (1, 2, None) for i in (7, None)}
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_equals_tiling_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEED_BITS", 1 << 10)  # a filter that lets much pass
+    rng = np.random.default_rng(6)
+    voc = [f"w{i}" for i in range(9)]
+    say = lambda n: " ".join(rng.choice(voc, n))
+    bench = [(i, say(int(rng.integers(1, 40)))) for i in range(25)] + [(3, "w1 w2 w3 w4 w5 w6"), (3, "w1 w2 w3 w4 w5 w6"), (50, "W1 é"), (51, None), (52, "")]
+    texts = []
+    for i in range(60):
+        item = (bench[int(rng.integers(0, 25))][1]).split(" ")
+        k = int(rng.integers(0, len(item) + 1))
+        texts.append((i, " ".join([say(10), *item[k:], say(int(rng.integers(1, 4))), *item[:k], say(5)])))
+    texts += [(60, texts[0][1]), (60, texts[0][1]), (61, None), (62, ""), (63, "w1 É"), (64, "w1 é"), (65, "w1 w2 w3 w4 w5 w6 " * 3000)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts], "doc_id long, text string, t1 int, maybe int, item int").repartition(3)
+    items = spark.createDataFrame([(i, t, 1) for i, t in bench], "item_id long, text string, seed int")
+    ids = {w: n for n, w in enumerate({w for _, t in [*bench, *texts] for w in brute.words(brute.lower(t))})}
+    want, gone = Counter(), set()
+    for d, text in texts:
+        b = [ids[w] for w in brute.words(brute.lower(text))]
+        for i, t in bench:
+            a = [ids[w] for w in brute.words(brute.lower(t))]
+            if a and d != 65 and (covered := brute_tiles(a, b, min(4, len(a)))) >= 0.6 * len(a):
+                want[d, i, covered] += 1
+                gone.add(d)
+    got = decontaminate.contaminated(docs, items, least=4).collect()
+    assert Counter((r.doc_id, r.item_id, r.covered) for r in got if r.doc_id != 65) == want and len(want) > 40
+    assert {(r.doc_id, r.item_id): r.covered for r in got if r.doc_id == 65}[65, 3] == 6
+    left = decontaminate.decontaminate(docs, items, least=4)
+    assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in texts if d not in gone | {65})
+
+
 # --- 5
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(4)
