@@ -155,3 +155,9 @@ def thermo_summary(df: DataFrame, particles: int, rho: float, window: str = "sec
         F.col("t").alias("t_mean"), F.col("p").alias("p_mean"), (F.col("p") / (rho * F.col("t"))).alias("z_mean"), (F.col("pe") / scale).alias("pe_per_particle"),
         (F.col("total") / scale).alias("total_per_particle"),
     )
+
+
+def relativistic_sums(p2: str, e: str) -> dict[str, Column]:
+    """Sums of p^2 / E and of E, and the temperature sum(p^2 / E) / 3n, in one pass."""
+    ratio = F.sum(F.col(p2) / F.col(e))
+    return {"p2_over_e": ratio, "e": F.sum(e), "temperature": ratio / (3 * F.count("*"))}

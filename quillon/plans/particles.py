@@ -170,10 +170,18 @@ def first_shell(spark, d):
     return J.first_shell(g, 0.8).withColumn("coordination", F.round("coordination", 6))
 
 
-@register("low_q_extrapolation")
+@register(
+    "low_q_extrapolation",
+    f"""WITH h AS ({RDF}), x AS (SELECT r / 250.0 AS r, g FROM h), q AS (SELECT 0.25 * k AS q FROM generate_series(1, 8) s(k)),
+        f AS (SELECT q, r, r * r * (g - 1) * (CASE WHEN r = 0 THEN 1 ELSE sin(pi() * (r / m)) / (pi() * (r / m)) END) * (CASE WHEN q * r = 0 THEN 1 ELSE sin(q * r) / (q * r) END) AS f
+              FROM x, q, (SELECT max(r) AS m FROM x)),
+        a AS (SELECT q, 0.5 * (f + lead(f) OVER w) * (lead(r) OVER w - r) AS area FROM f WINDOW w AS (PARTITION BY q ORDER BY r)),
+        s AS (SELECT CAST(q AS DOUBLE) AS q, 1 + 4 * pi() * 0.8 * sum(area) AS s FROM a GROUP BY q)
+        SELECT round(regr_intercept(s, q * q), 6) AS s0 FROM s""",
+)
 def low_q_extrapolation(spark, d):
     g = rdf(spark, d).select("bin", (F.col("r") / 250).alias("r"), "g")
-    return J.low_q(J.structure_factor(g, 0.8, [0.25 * k for k in range(1, 11)]))
+    return J.low_q(J.structure_factor(g, 0.8, [0.25 * k for k in range(1, 11)])).select(F.round("s0", 6).alias("s0"))
 
 
 @register("random_pairs")
@@ -420,7 +428,7 @@ def field_coupling(spark, d):
 def juttner_fit(spark, d):
     from ..operators.fits import fit_juttner
 
-    p = S.ellipsoid_particles(spark, 20_000, (1.0, 1.0, 1.0), 0.3, 0.5).select(F.sqrt(M.norm_squared("px", "py", "pz")).alias("v"))
+    p = thousandths(spark, d).select((F.sqrt(M.norm_squared("px", "py", "pz")) / 400).alias("v"))
     bins = A.density_histogram(p, 0.0, 2.5, 50).select(((F.col("bin") + 0.5) * 0.05).alias("p"), "density")
     _, t = fit_juttner(bins, 0.5)
     return spark.createDataFrame([(round(t, 3),)], "temperature double")
@@ -459,11 +467,17 @@ def closed_formulas(spark, d):
 
 @register(
     "virial_and_tails",
-    """WITH g AS (SELECT i, i * 0.003 AS r FROM generate_series(1, 4000) s(i)),
-        b AS (SELECT 2 * pi() * 0.003 * sum((1 - exp(-least(4 * (pow(r, -12) - pow(r, -6)) / 1.3, 700))) * r * r * (CASE WHEN i = 4000 THEN 0.5 ELSE 1 END)) AS b2 FROM g)
-        SELECT round(b2, 6) AS b2, round(16.0 / 3 * pi() * 0.64 * (2.0 / 3 * pow(2.5, -9) - pow(2.5, -3)), 9) AS pressure_tail,
-        round(8.0 / 3 * pi() * 0.8 * (pow(2.5, -9) / 3 - pow(2.5, -3)), 9) AS energy_tail FROM b""",
+    """WITH t AS (SELECT label, 1 + avg(round(embedding[1] * 1000) * round(embedding[1] * 1000)) / 1e5 AS t, 0.2 + count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings) AS rho FROM embeddings GROUP BY label),
+        g AS (SELECT i, i * 0.003 AS r FROM generate_series(1, 4000) s(i)),
+        b AS (SELECT label, rho, 2 * pi() * 0.003 * sum((1 - exp(-greatest(least(4 * (pow(r, -12) - pow(r, -6)) / t, 700), -700))) * r * r * (CASE WHEN i = 4000 THEN 0.5 ELSE 1 END)) AS b2 FROM t, g GROUP BY label, rho)
+        SELECT label, round(b2, 6) AS b2, round(16.0 / 3 * pi() * rho * rho * (2.0 / 3 * pow(2.5, -9) - pow(2.5, -3)), 9) AS pressure_tail,
+        round(8.0 / 3 * pi() * rho * (pow(2.5, -9) / 3 - pow(2.5, -3)), 9) AS energy_tail FROM b""",
 )
 def virial_and_tails(spark, d):
-    row = (round(X.second_virial(1.3), 6), round(X.pressure_tail(0.8), 9), round(X.energy_tail(0.8), 9))
-    return spark.createDataFrame([row], "b2 double, pressure_tail double, energy_tail double")
+    """Of every label: the second virial coefficient at a temperature from its vectors, the tails at a density from its share."""
+    e = table(spark, d, "embeddings").select("label", F.round(F.col("embedding")[0].cast("double") * 1000).alias("x"))
+    whole = e.agg(F.count("*").cast("double").alias("all"))  # one row
+    of = e.groupBy("label").agg((1 + F.avg(F.col("x") * F.col("x")) / 1e5).alias("t"), F.count("*").alias("n")).crossJoin(F.broadcast(whole))
+    of = of.select("label", "t", (0.2 + F.col("n") / F.col("all")).alias("rho"))
+    rho = F.col("rho")
+    return of.select("label", F.round(X.second_virial_of(F.col("t")), 6).alias("b2"), F.round(X.pressure_tail(rho), 9).alias("pressure_tail"), F.round(X.energy_tail(rho), 9).alias("energy_tail"))

@@ -189,23 +189,31 @@ def validation_case(spark, d):
 
 @register(
     "summary_comparison",
-    """SELECT * FROM (VALUES ('a', 'pass'), ('b', 'fail'), ('c', 'missing_reference')) t(name, status)""",
+    """WITH s AS (SELECT event_type AS name, avg(value) FILTER (WHERE event_id % 2 = 0) AS v, avg(value) FILTER (WHERE event_id % 2 = 1 AND event_type <> 'signup') AS r FROM events GROUP BY 1)
+       SELECT name, CASE WHEN r IS NULL THEN 'missing_reference' WHEN 100 * abs(v - r) / greatest(abs(r), 1e-12) <= 5 THEN 'pass' ELSE 'fail' END AS status, round(v, 6) AS value FROM s""",
 )
 def summary_comparison(spark, d):
-    left = spark.createDataFrame([("a", "1.0", 0), ("b", "2.0", 1), ("b", "3.0", 2), ("c", "4", 3)], "observable string, value string, row int")
-    right = spark.createDataFrame([("a", "1.01", 0), ("b", "2.0", 1)], "observable string, value string, row int")
-    c = {"name": "s", "type": "summary_table", "left": "l", "right": "r", "observables": [{"name": n, "max_rel_pct": 5.0} for n in "abc"]}
-    return V.evaluate_comparisons(spark, {"l": left, "r": right}, [c]).select("name", "status")
+    """Mean values by type of event, those of even events against those of odd ones."""
+    e = table(spark, d, "events")
+    side = lambda odd: e.where(F.col("event_id") % 2 == odd).groupBy(F.col("event_type").alias("observable")).agg(F.avg("value").cast("string").alias("value"), F.max("event_id").alias("row"))
+    names = ["click", "error", "purchase", "signup", "view"]
+    c = {"name": "s", "type": "summary_table", "left": "l", "right": "r", "observables": [{"name": n, "max_rel_pct": 5.0} for n in names]}
+    out = V.evaluate_comparisons(spark, {"l": side(0), "r": side(1).where("observable <> 'signup'")}, [c])
+    return out.select("name", "status", F.round("value", 6).alias("value"))
 
 
 @register(
     "markdown_lines",
-    r"""SELECT * FROM (VALUES (0, 'heading', '\section{Title}'), (1, 'list', '\item \textbf{bold} and \texttt{code}'), (2, 'table', 'a & b \\'), (3, 'separator', '\hline'), (4, 'text', '\href{u}{link}'), (5, 'text', '50\% \& more\_x \textbackslash{}y \textasciitilde{}'),
-       (6, 'table', '\$1 & a\_b \\')) t(line, kind, latex)""",
+    r"""SELECT CAST(p_partkey AS BIGINT) AS line, CASE p_partkey % 6 WHEN 0 THEN 'heading' WHEN 1 THEN 'list' WHEN 2 THEN 'table' WHEN 3 THEN 'separator' ELSE 'text' END AS kind,
+       CASE p_partkey % 6 WHEN 0 THEN '\section{' || p_name || '}' WHEN 1 THEN '\item \textbf{' || p_name || '} and \texttt{code}' WHEN 2 THEN '\$' || p_size || ' & a\_' || p_size || ' \\' WHEN 3 THEN '\hline'
+            WHEN 4 THEN '\href{u}{' || p_name || '}' ELSE p_size || '\% \& more\_x \textbackslash{}y \textasciitilde{}' END AS latex FROM part""",
 )
 def markdown_lines(spark, d):
-    rows = ["# Title", "- **bold** and `code`", "| a | b |", "|---|---|", "[link](u)", "50% & more_x \\y ~", "| $1 | a_b |"]
-    return K.markdown_to_latex(spark.createDataFrame(list(enumerate(rows)), "line int, text string"))
+    """Parts as lines of every kind."""
+    name, size, k = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    text = F.when(k == 0, F.concat(F.lit("# "), name)).when(k == 1, F.concat(F.lit("- **"), name, F.lit("** and `code`"))).when(k == 2, F.concat(F.lit("| $"), size, F.lit(" | a_"), size, F.lit(" |")))
+    text = text.when(k == 3, "|---|---|").when(k == 4, F.concat(F.lit("["), name, F.lit("](u)"))).otherwise(F.concat(size, F.lit("% & more_x \\y ~")))
+    return K.markdown_to_latex(table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("line"), text.alias("text")))
 
 
 @register("translate_with_cache", "SELECT doc_id, md5('T:' || text) AS hash FROM documents WHERE lang = 'en' AND regexp_matches(text, '[a-zA-Z]{3}') AND NOT contains(text, chr(10) || chr(10))")

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import particles, primitives, structures, texts, vectors  # noqa: F401
+    from .plans import exchange, particles, primitives, structures, texts, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

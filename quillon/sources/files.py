@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,6 +34,21 @@ def csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(positions, momenta) of a table of particles, whatever other columns its header names."""
+    rows = csv_rows(spark, path).select(*(F.col(c).try_cast("double").alias(c) for c in ("x", "y", "z", "px", "py", "pz")))
+    return rows.select("x", "y", "z"), rows.select("px", "py", "pz")
+
+
+def environment(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of ``key=value`` lines, quotes around values left out; of repeated keys the last; # begins a comment line."""
+    lines = numbered_records(spark, path).select("file", "line", F.trim("value").alias("v")).where("not startswith(v, '#') and contains(v, '=')")
+    pair = F.split("v", "=", 2)
+    value = F.regexp_replace(F.trim(pair[1]), "^'+|'+$", "")
+    rows = lines.select(F.trim(pair[0]).alias("key"), F.regexp_replace(value, '^"+|"+$', "").alias("value"), F.struct("file", "line").alias("o"))
+    return rows.groupBy("key").agg(F.max_by("value", "o").alias("value"))
+
+
 def numbered_records(spark: SparkSession, path: str, separator: str | None = None, number: str = "line", skip_blank: bool = False) -> DataFrame:
     """(file, number, value) of the records of text files, lines unless a separator is given; numbers count from 0 within each file.
 
@@ -163,8 +178,9 @@ def main_members(members: DataFrame, mark: str = "\\begin{document}", without: s
     return rows.groupBy("archive").agg(best.alias("m")).select("archive", "m.member", "m.size", "m.text")
 
 
-def first_pages(df: DataFrame, text: str = "text", limit: int = 6000, out: str = "head") -> DataFrame:
-    return df.withColumn(out, F.substring(text, 1, limit))
+def first_pages(df: DataFrame, text: str = "text", limit: int = 6000, out: str = "head", extract: Column | None = None) -> DataFrame:
+    """The beginning of each text; ``extract`` (a column, for instance a pandas UDF over content) makes the text from a file's bytes."""
+    return df.withColumn(out, F.left(F.coalesce(F.col(text) if extract is None else extract, F.lit("")), F.lit(limit)))
 
 
 def relevant_papers(df: DataFrame, word: str) -> DataFrame:

@@ -14,6 +14,25 @@ def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "overwrit
     df.select(*columns).write.mode(mode).option("emptyValue", "").csv(path, header=True)
 
 
+# Columns of the tables that simulations leave, in their order.
+STATE = ["x", "y", "z", "px", "py", "pz"]
+SERIES = ["Step", "T", "P_virial", "P_wall", "KE", "PE", "TotalE", "MSD"]
+PARTICLES = [*STATE, "vx", "vy", "vz", "E", "pol_x", "pol_y", "pol_z"]
+GRID = ["cell_idx", "ix", "iy", "iz", "n", "ux", "uy", "uz", "vort_x", "vort_y", "vort_z", "gn_x", "gn_y", "gn_z", "gl_x", "gl_y", "gl_z"]
+
+
+def write_particles(df: DataFrame, path: str) -> None:
+    """Living particles, with velocities from momenta and energies."""
+    alive = df.where("alive") if "alive" in df.columns else df
+    write_csv(alive.withColumns({f"v{c}": F.col(f"p{c}") / F.col("E") for c in "xyz"}), path, PARTICLES)
+
+
+def write_grid(df: DataFrame, path: str, side: int) -> None:
+    """Cells (cell_idx and their fields) with the three indices that follow from the number."""
+    i = F.col("cell_idx")
+    write_csv(df.withColumns({"ix": i % side, "iy": F.floor(i / side) % side, "iz": F.floor(i / (side * side))}), path, GRID)
+
+
 def append_log(df: DataFrame, path: str, fields: list[str]) -> None:
     write_csv(df, path, fields, mode="append")
 

@@ -417,3 +417,22 @@ def test_markdown_documents(spark):
     for out in got.values():
         assert sum(x.startswith("\\begin{") and "figure" not in x for x in out) == sum(x.startswith("\\end{") for x in out)
     assert K.documents_to_latex(spark.createDataFrame([], "doc string, no int, text string"), "doc", "no").count() == 0
+
+
+def test_layouts_environment_and_heads(spark, tmp_path):
+    from quillon.sources import files, sinks
+
+    p = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 2.0, True), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, False)], "x double, y double, z double, px double, py double, pz double, E double, alive boolean")
+    sinks.write_particles(p, str(tmp_path / "p"))
+    got = files.csv_rows(spark, str(tmp_path / "p"))
+    assert got.columns == sinks.PARTICLES and [(r.x, r.vx, r.E, r.pol_x) for r in got.collect()] == [("1.0", "2.0", "2.0", None)]
+    places, momenta = files.state(spark, str(tmp_path / "p"))
+    assert tuple(places.first()) == (1.0, 2.0, 3.0) and tuple(momenta.first()) == (4.0, 5.0, 6.0)
+    sinks.write_grid(spark.range(27).select(F.col("id").alias("cell_idx"), F.lit(0.5).alias("n")), str(tmp_path / "g"), 3)
+    cells = files.csv_rows(spark, str(tmp_path / "g"))
+    assert cells.columns == sinks.GRID and {(r.cell_idx, r.ix, r.iy, r.iz) for r in cells.collect()} == {(str(i), str(i % 3), str(i // 3 % 3), str(i // 9)) for i in range(27)}
+    (tmp_path / "env").write_text("# c\nA = 'x y' \nB=\"1=2\"\nnothing\n A=z\n")
+    assert {r.key: r.value for r in files.environment(spark, str(tmp_path / "env")).collect()} == {"A": "z", "B": "1=2"}
+    heads = files.first_pages(spark.createDataFrame([("é" * 7000,), (None,)], "text string"))
+    assert sorted(len(r["head"]) for r in heads.collect()) == [0, 6000]
+    assert files.first_pages(spark.createDataFrame([(bytearray(b"raw"),)], "content binary"), extract=F.upper(F.col("content").cast("string"))).first()["head"] == "RAW"
