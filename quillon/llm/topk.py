@@ -4,11 +4,15 @@ The components are dealt to ``lists`` vertical fragments; a partition of the
 candidates holds one score list per fragment and query.
 
 1. Each partition gathers, per query, the k best entries of every list and sums
-   them up to full scores.  The k-th best of all these is a safe cutoff: it
-   belongs to a real candidate, so the true k-th score is no smaller.
-2. The cutoff goes back to the partitions.  A score of at least the cutoff needs
-   some list entry of at least cutoff / lists, so each partition collects only
-   such entries.
+   them up to full scores; it does so for its longest vectors, FIRST chunks of
+   them.  The k-th best of all these is a safe cutoff: it belongs to a real
+   candidate, so the true k-th score is no smaller.
+2. The cutoff goes back to the partitions.  A list's entry is no more than the
+   product of the fragments' lengths, so a chunk whose longest fragments can't
+   reach a query's cutoff is passed over for that query, and one that can't reach
+   any query's isn't multiplied at all (vectors come by falling length).  Of the
+   others, a score of at least the cutoff needs some list entry of at least cutoff /
+   lists, so only such entries are collected.
 3. What is left of them is resolved to exact integer scores; each partition
    passes on its k best, and the last ranking is over those.
 
@@ -19,7 +23,8 @@ Defined results: a vector that is null, empty, or holds a null or non-finite
 component takes no part, nor does a row without vec_id; vectors of unequal
 length are compared as if filled up with zeros; rows that repeat a query's
 vec_id are not its candidates, other repeated rows are candidates each; an equal
-vec_id and vector asks once.
+vec_id and vector asks once, unlike vectors of one vec_id ask each; scores that 64
+bits can't hold are an error.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-#: Candidates scored at a time.
-CHUNK = 1024
+#: Candidates scored at a time, and chunks of a partition that give the cutoff.
+CHUNK, FIRST = 1024, 4
 
 
 def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
@@ -55,11 +60,22 @@ def _matrix(vectors, dims: int) -> np.ndarray:
 
 def _product(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer products; by floating point where that is exact."""
-    if c.size and q.size and float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1] < 2**52:
+    most = float(np.abs(c.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * c.shape[1] if c.size and q.size else 0.0
+    if most < 2**52:
         return c.astype(np.float64) @ q.T.astype(np.float64)
+    if most >= 2**62:
+        exact = c.astype(object) @ q.T.astype(object)
+        if max(map(abs, exact.ravel())) >= 2**63:
+            raise OverflowError("a score needs more than 64 bits")
+        return exact.astype(np.int64)
     return c @ q.T
 
 
+def _lengths(x: np.ndarray, parts: list[slice]) -> np.ndarray:
+    """The length of every row's fragments, rounded up."""
+    return np.stack([np.sqrt((x[:, p].astype(np.float64) ** 2).sum(1)) for p in parts], 1) * (1 + 1e-9)
+
+
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best entries of each query, ties to the smaller id."""
     order = np.lexsort((ids, -score, q))
@@ -74,34 +90,42 @@ def _pass(queries: np.ndarray, query_ids: np.ndarray, k: int, lists: int, cutoff
     dims = queries.shape[1]
     parts = [slice(a[0], a[-1] + 1) for a in np.array_split(np.arange(dims), min(lists, dims))]
 
-    def entries(ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        partial = [_product(c[:, p], queries[:, p]) for p in parts]
-        own = ids[:, None] == query_ids[None, :]
-        if cutoff is None:
-            marked = np.zeros(own.shape, bool)
-            for s in partial:
+    asked = _lengths(queries, parts)
+
+    def entries(ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        open_ = np.arange(len(queries))
+        if cutoff is not None:
+            open_ = np.flatnonzero(asked @ _lengths(c, parts).max(0) >= cutoff)
+            if not len(open_):
+                return None
+        partial = [_product(c[:, p], queries[open_][:, p]) for p in parts]
+        own = ids[:, None] == query_ids[None, open_]
+        marked = np.zeros(own.shape, bool)
+        for s in partial:
+            if cutoff is None:
                 s = np.where(own, -np.inf, s)
-                top = np.argpartition(s, max(0, len(ids) - k), 0)[-k:]
-                np.put_along_axis(marked, top, True, 0)
-        else:
-            # a score of at least the cutoff has a list entry of at least its share
-            marked = np.zeros(own.shape, bool)
-            for s in partial:
-                marked |= s >= np.floor(cutoff / len(parts))
+                np.put_along_axis(marked, np.argpartition(s, max(0, len(ids) - k), 0)[-k:], True, 0)
+            else:
+                # a score of at least the cutoff has a list entry of at least its share
+                marked |= s >= np.floor(cutoff[open_] / len(parts))
         at, q = np.nonzero(marked & ~own)
         score = sum(s[at, q] for s in partial)
         if cutoff is not None:
-            fit = score >= cutoff[q]
+            fit = score >= cutoff[open_][q]
             at, q, score = at[fit], q[fit], score[fit]
-        return q, ids[at], score.astype(np.int64)
+        return open_[q], ids[at], score.astype(np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held, seen = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
         for frame in frames:
+            if cutoff is None and seen >= FIRST:
+                continue
             ids, c = frame["vec_id"].to_numpy(np.int64), _matrix(frame["v"].tolist(), dims)
             for a in range(0, len(ids), CHUNK):
                 new = entries(ids[a : a + CHUNK], c[a : a + CHUNK])
-                held = _best(*(np.concatenate(x) for x in zip(held, new)), k)
+                seen += 1
+                if new is not None:
+                    held = _best(*(np.concatenate(x) for x in zip(held, new)), k)
         if len(held[0]):
             yield pd.DataFrame({"query_id": query_ids[held[0]], "vec_id": held[1], "score": held[2], "q": held[0]})
 
@@ -115,12 +139,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, block
     """
     spark = rows.sparkSession
     s = Scratch(spark, "topk")
-    rows, asked = s.save(rows.select("vec_id", "v"), "rows"), s.save(queries.select("vec_id", "v").distinct(), "queries")
+    length = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+    rows, asked = s.save(rows.select("vec_id", "v").sortWithinPartitions(length.desc()), "rows"), s.save(queries.select("vec_id", "v").distinct(), "queries")
     blocks = -(-asked.count() // block) or 1
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
     found = None
     for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "v").toPandas()
+        own = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).orderBy("vec_id", "v").toPandas()
         if not len(own):
             continue
         ids, q = own["vec_id"].to_numpy(np.int64), _matrix(own["v"].tolist(), dims)

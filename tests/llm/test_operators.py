@@ -270,6 +270,42 @@ def test_top_k_equals_brute_force_with_ties_and_gaps(spark):
     assert topk.top_k(vec.limit(1), vec.limit(1)).count() == 0
 
 
+def test_chunks_that_cannot_reach_the_cutoff_are_not_multiplied(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = (rng.normal(0, 1, (400, 6)) * rng.exponential(1, (400, 1)) ** 3 * 50).astype(int)
+    monkeypatch.setattr(topk, "CHUNK", 8)
+    monkeypatch.setattr(topk, "FIRST", 1)
+    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "vec_id long, v array<long>").repartition(2)
+    got = defaultdict(list)
+    for r in sorted(topk.top_k(df, df.where("vec_id % 20 = 0"), k=4, lists=3).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 400, 20):
+        s = v @ v[q]
+        assert got[q] == [(i, s[i]) for i in sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:4]]
+    # a pass with cutoffs multiplies few of the chunks
+    order = np.argsort(-(v.astype(float) ** 2).sum(1))
+    calls = []
+    product = topk._product
+    monkeypatch.setattr(topk, "_product", lambda c, q: (calls.append(c.size * len(q)), product(c, q))[1])
+    import pandas as pd
+
+    frame = pd.DataFrame({"vec_id": order, "v": [v[i].tolist() for i in order]})
+    cut = np.array([float(got[q][3][1]) for q in range(0, 400, 20)])
+    list(topk._pass(v[::20], np.arange(0, 400, 20), 4, 3, cut)([frame]))
+    assert sum(calls) < 0.5 * v.size * 20
+
+
+def test_vectors_of_one_id_and_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1, 2]), (0, [2, 1]), (0, [1, 2]), (1, [5, 0]), (2, [0, 5]), (2, [0, 5])], "vec_id long, v array<long>")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0"), k=3).collect())
+    assert got == sorted([(0, 2, 10), (0, 2, 10), (0, 1, 5), (0, 1, 10), (0, 2, 5), (0, 2, 5)])
+    big = spark.createDataFrame([(0, [2**30, 2**30]), (1, [2**31, -(2**31)]), (2, [2**32, 1])], "vec_id long, v array<long>")
+    assert {r.vec_id: r.score for r in topk.top_k(big, big.where("vec_id = 0"), lists=1).collect()} == {1: 0, 2: 2**62 + 2**30}
+    huge = spark.createDataFrame([(0, [2**40]), (1, [2**40])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge, huge.where("vec_id = 0")).collect()
+
+
 # --- 9
 def brute_tiles(item, doc, least):
     marked_i, marked_d, total = [False] * len(item), [False] * len(doc), 0
