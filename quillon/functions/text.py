@@ -92,8 +92,44 @@ def strip_environment(p: Column) -> tuple[Column, Column, Column]:
 
 
 def rewrite_inputs(text: Column, suffix: str = "_ZH") -> Column:
-    r"""\input{x} and \include{x.tex} name the translated file."""
-    return F.regexp_replace(text, r"\\(input|include)\{([^}]*?)(\.tex)?\}", rf"\\$1{{$2{suffix}$3}}")
+    r"""\input{x}, \include{x.tex} and \subfile{x} name the translated file; those that do already stay."""
+    return F.regexp_replace(text, rf"\\(input|include|subfile)\{{\s*((?:(?!{suffix}(?:\.tex)?\s*\}})[^}}])+?)(?:\.tex)?\s*\}}", rf"\\$1{{$2{suffix}}}")
+
+
+# What an old document class needs to be set by today's programs, as patterns and their replacements in order.
+_REVTEX = "\n".join([
+    r"\\usepackage{graphicx}", r"\\providecommand{\\draft}{}", r"\\providecommand{\\address}[1]{\\affiliation{#1}}", r"\\newdimen\\epsfxsize",
+    r"\\providecommand{\\epsffile}[2][]{\\includegraphics[width=\\epsfxsize]{#2}}", "",
+])
+_OLD_CLASS = [
+    (r"\\documentstyle\[([^\]]*)\]\{revtex\}", r"\\documentclass[$1,twocolumn]{revtex4-2}" + "\n" + _REVTEX),
+    (r"\\documentstyle\{revtex\}", r"\\documentclass[twocolumn]{revtex4-2}" + "\n" + _REVTEX),
+    (r"\\twocolumn\[\s*\\hsize\s*\\textwidth\s*\\columnwidth\s*\\hsize\s*\\csname\s*@twocolumnfalse\\endcsname", ""),
+    (r"\\twocolumn\[[^\]]*@twocolumnfalse\\endcsname", ""),
+    (r"(\\pacs\{[^}]+\})\s*\]", "$1"),
+    (r"(\\end\{abstract\})\s*\]", "$1"),
+    (r"\n\s*\]\s*\n(?=\s*\\section)", "\n"),
+]
+_ANY_CLASS = [
+    (r"\\usepackage\[[^\]]*\]\{pdfcprot\}", r"% \\usepackage{pdfcprot}"),
+    (r"\\usepackage\{pdfcprot\}", r"% \\usepackage{pdfcprot}"),
+    (
+        r"\\pdfximage\s*\{\s*([^}]*[^}\s])\s*\}\s*\\(?:def|edef)\s*\\([a-zA-Z@]+)\s*\{\s*\\the\s*\\pdflastximagepages\s*\}",
+        r"\\newcount\\$2count" + "\n" + r"\\ifx\\XeTeXpdfpagecount\\undefined" + "\n" + r"  \\pdfximage{$1}" + "\n" + r"  \\$2count=\\pdflastximagepages" + "\n" + r"\\else" + "\n"
+        + r"  \\$2count=\\XeTeXpdfpagecount\"$1\"" + "\n" + r"\\fi" + "\n" + r"\\edef\\$2{\\the\\$2count}" + "\n",
+    ),
+]
+
+
+def modern_preamble(text: Column) -> Column:
+    """A document of the old class in the new one's terms, and without what other programs lack."""
+    out = text
+    for pattern, new in _OLD_CLASS:
+        out = F.regexp_replace(out, pattern, new)
+    out = F.when(F.contains(text, F.lit("\\documentstyle")), out).otherwise(text)
+    for pattern, new in _ANY_CLASS:
+        out = F.regexp_replace(out, pattern, new)
+    return out
 
 
 def space_after_macro(text: Column) -> Column:

@@ -436,3 +436,40 @@ def test_layouts_environment_and_heads(spark, tmp_path):
     heads = files.first_pages(spark.createDataFrame([("é" * 7000,), (None,)], "text string"))
     assert sorted(len(r["head"]) for r in heads.collect()) == [0, 6000]
     assert files.first_pages(spark.createDataFrame([(bytearray(b"raw"),)], "content binary"), extract=F.upper(F.col("content").cast("string"))).first()["head"] == "RAW"
+
+
+def test_old_preambles_are_made_new(spark):
+    old = r"""\documentstyle[prl,aps]{revtex}
+\usepackage[final]{pdfcprot}
+\twocolumn[\hsize\textwidth\columnwidth\hsize\csname @twocolumnfalse\endcsname
+\pacs{12.38} ]
+\pdfximage { fig.pdf } \def\pages{\the\pdflastximagepages}
+  ]
+\section{A}"""
+    new = r"""\documentclass[prl,aps,twocolumn]{revtex4-2}
+\usepackage{graphicx}
+\providecommand{\draft}{}
+\providecommand{\address}[1]{\affiliation{#1}}
+\newdimen\epsfxsize
+\providecommand{\epsffile}[2][]{\includegraphics[width=\epsfxsize]{#2}}
+
+% % \usepackage{pdfcprot}
+
+\pacs{12.38}
+\newcount\pagescount
+\ifx\XeTeXpdfpagecount\undefined
+  \pdfximage{fig.pdf}
+  \pagescount=\pdflastximagepages
+\else
+  \pagescount=\XeTeXpdfpagecount"fig.pdf"
+\fi
+\edef\pages{\the\pagescount}
+
+\section{A}"""
+    rows = [(0, old), (1, "\\documentstyle{revtex}x"), (2, "\\pacs{1} ] stays"), (3, "\\usepackage{pdfcprot}"), (4, None)]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, t string").select("i", T.modern_preamble(F.col("t")).alias("t")).collect()}
+    assert got[0] == new
+    assert got[1].startswith("\\documentclass[twocolumn]{revtex4-2}\n\\usepackage{graphicx}\n") and got[1].endswith("\nx")
+    assert got[2] == rows[2][1] and got[3] == "% \\usepackage{pdfcprot}" and got[4] is None
+    names = spark.createDataFrame([(r"\input{a/b.tex} \include{c} \subfile{ d } \input{e_ZH} \input{f_ZH.tex}",)], "t string")
+    assert names.select(T.rewrite_inputs(F.col("t"))).first()[0] == r"\input{a/b_ZH} \include{c_ZH} \subfile{d_ZH} \input{e_ZH} \input{f_ZH.tex}"
