@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as X
 from ..operators import aggregates as A
+from ..operators import elementwise as M
 from ..operators import neighbours as J
 from ..registry import register
 from ..sources import files, sinks
@@ -134,3 +135,41 @@ def pair_sums(spark, d):
     near = J.pairs_within(in_box(thousandths(spark, d)), 96.0, BOX).select(r2.alias("r2")).where("r2 > 0.5")
     _, virial, energy = X.lennard_jones(F.col("r2"))
     return near.agg(F.round(F.sum(energy), 6).alias("potential"), F.round(F.sum(virial), 6).alias("virial"), F.count("*").alias("pairs"))
+
+
+@register(
+    "report",
+    """WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS no, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation),
+        c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS no, '| ' || c_custkey || ' | ' || c_mktsegment || ' |' AS line FROM customer)
+        SELECT CAST(1 AS INTEGER) AS section, CAST(no AS BIGINT) AS no, line FROM n UNION ALL SELECT 2, no, line FROM c
+        UNION ALL SELECT * FROM (VALUES (1, -6, '# Report'), (1, -5, ''), (1, -4, '## nations'), (1, -3, ''), (1, -2, '| n_nationkey | n_name | n_regionkey |'), (1, -1, '| --- | --- | --- |'),
+            (2, -4, '## customers'), (2, -3, ''), (2, -2, '| c_custkey | c_mktsegment |'), (2, -1, '| --- | --- |')) v(section, no, line)""",
+)
+def report(spark, d):
+    tables = {"nations": (table(spark, d, "nation"), "n_nationkey"), "customers": (table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")}
+    return sinks.report_lines("Report", tables)
+
+
+@register(
+    "units_and_changes",
+    f"""SELECT o_orderkey, o_totalprice / 1e6 * {X.ARGON_MASS / X.ARGON_SIGMA**3!r} AS density, o_totalprice / 1e6 * {X.ARGON_EPS_K!r} AS temperature,
+        o_totalprice / 1e6 * {X.BOLTZMANN * X.ARGON_EPS_K / X.ARGON_SIGMA**3 * 1e-6!r} AS pressure, o_totalprice / 1e6 * {X.ARGON_SIGMA**3 / (X.BOLTZMANN * X.ARGON_EPS_K) * 1e9!r} AS kappa,
+        (o_totalprice - o_custkey) / greatest(abs(CAST(o_custkey AS DOUBLE)), 1e-12) AS change FROM orders""",
+)
+def units_and_changes(spark, d):
+    """Prices as numbers in reduced units, in the units of argon; and how far they are from the customer's number."""
+    x, c = F.col("o_totalprice") / 1e6, F.col("o_custkey").cast("double")
+    units = {"density": X.reduced_density(x), "temperature": X.reduced_temperature(x), "pressure": X.reduced_pressure_mpa(x), "kappa": X.reduced_kappa_per_gpa(x)}
+    return table(spark, d, "orders").select("o_orderkey", *(v.alias(n) for n, v in units.items()), M.relative_change(c, F.col("o_totalprice")).alias("change"))
+
+
+@register(
+    "velocities",
+    f"""SELECT id, px / 2.0 AS classical, round(px / sqrt(px * px + py * py + pz * pz + 4.0), 9) AS relativistic, round(CASE WHEN px * px + py * py + pz * pz > 0 THEN px / sqrt(px * px + py * py + pz * pz) ELSE 0 END, 9) AS massless,
+        x AS x0, CAST(0 AS INTEGER) AS ix FROM {PARTS}""",
+)
+def velocities(spark, d):
+    """Along x by the three kinds of motion; the present place as origin of displacements."""
+    p = M.reset_reference(thousandths(spark, d))
+    v = {k: X.velocity("x", k, 2.0) for k in ("classical", "relativistic", "massless")}
+    return p.select("id", v["classical"].alias("classical"), *(F.round(v[k], 9).alias(k) for k in ("relativistic", "massless")), "x0", "ix")

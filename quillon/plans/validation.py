@@ -59,7 +59,7 @@ def csv_column(table: DataFrame, metric: dict) -> list[DataFrame]:
 
 
 def summary_observable(table: DataFrame, metric: dict) -> list[DataFrame]:
-    order = metric.get("order", "observable")
+    order = metric.get("order", "row" if "row" in table.columns else "observable")
     row = table.where(F.col("observable") == metric["observable"]).agg(F.min_by(safe_double(F.col(metric.get("column", "value"))), order).alias("value"))
     return [_judged(row, metric["name"], "value", metric.get("threshold"))]
 

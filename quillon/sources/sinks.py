@@ -73,6 +73,27 @@ def markdown_report(title: str, tables: dict[str, DataFrame], limit: int = 1000)
     return "\n".join(out)
 
 
+def report_lines(title: str, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(section, no, line) of a Markdown report of whole tables, each in the order of a column; a table's rows never meet in one place."""
+    from ..operators.scans import row_numbers
+
+    out = None
+    for section, (name, (df, order)) in enumerate(tables.items(), 1):
+        head = ([f"# {title}", ""] if section == 1 else []) + [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+        cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+        rows = row_numbers(df.withColumn("__line", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))), order, "__no")
+        lines = rows.select(F.lit(section).alias("section"), F.col("__no").cast("long").alias("no"), F.col("__line").alias("line"))
+        first = df.sparkSession.createDataFrame([(section, i - len(head), line) for i, line in enumerate(head)], "section int, no long, line string")
+        part = first.unionByName(lines)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The report as text files, in their names' order."""
+    lines.repartitionByRange("section", "no").sortWithinPartitions("section", "no").select("line").write.mode("overwrite").text(path)
+
+
 def markdown_to_latex(lines: DataFrame, order: str = "line", text: str = "text") -> DataFrame:
     """(line, kind, latex) of Markdown lines; headings, images, list items, tables and inline marks are translated."""
     from ..functions.text import classify_markdown, escape_latex, heading_level, inline_to_latex

@@ -473,3 +473,13 @@ def test_old_preambles_are_made_new(spark):
     assert got[2] == rows[2][1] and got[3] == "% \\usepackage{pdfcprot}" and got[4] is None
     names = spark.createDataFrame([(r"\input{a/b.tex} \include{c} \subfile{ d } \input{e_ZH} \input{f_ZH.tex}",)], "t string")
     assert names.select(T.rewrite_inputs(F.col("t"))).first()[0] == r"\input{a/b_ZH} \include{c_ZH} \subfile{d_ZH} \input{e_ZH} \input{f_ZH.tex}"
+
+
+def test_reports_are_written_whole_and_in_order(spark, tmp_path):
+    from quillon.sources import sinks
+
+    df = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("a|"), "id").alias("v"), F.lit(None).cast("string").alias("n")).repartition(7)
+    sinks.write_report(sinks.report_lines("R", {"one": (df, "k"), "two": (df.limit(0), "k")}), str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.split("\n")[:8] == ["# R", "", "## one", "", "| k | v | n |", "| --- | --- | --- |", "| 0 | a\\|0 |  |", "| 1 | a\\|1 |  |"]
+    assert text.endswith("| 2999 | a\\|2999 |  |\n## two\n\n| k | v | n |\n| --- | --- | --- |\n") and text.count("\n") == 6 + 3000 + 4
