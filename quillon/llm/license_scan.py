@@ -21,7 +21,8 @@ or a longer form of it, is reported itself.
 A segment or window that reaches the limit shares at least limit / (2 - limit) of
 a template's bigrams.  So for each template there are a few words such that the
 bigrams without them are too few; a document that has none of these words is
-passed over by one pattern, before any word is cut out.
+passed over by a search of its text, before any word is cut out.  The others are
+written once, for lines and windows.
 
 Templates are a fixed list in the plan itself; nothing is joined or shuffled.
 
@@ -34,11 +35,13 @@ from __future__ import annotations
 
 import re
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import Scratch, documents
 
 #: Short notices and grants by which public licences are stated.
 TEMPLATES = {
@@ -125,8 +128,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
     bounds = {name: (-(-len(p) * up.denominator // up.numerator), len(p) * up.numerator // up.denominator) for name, p in known.items()}
     least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     every = sorted({p for pairs in known.values() for p in pairs})
-    words = "|".join(re.escape(w) for w in telling_words(known, {name: low for name, (low, _) in bounds.items()}))
-    docs = documents(docs).where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"))
+    s = Scratch(docs.sparkSession, "licenses")
+    docs = s.save(_telling(documents(docs), telling_words(known, {name: low for name, (low, _) in bounds.items()})), "few")
     # each step's arrays are made by a generator of their own: what follows then reads them as columns, and filters don't make them again
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("s")))
     whole = F.when(F.contains(F.col("text"), F.lit("\n")), F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("s"))))
@@ -155,7 +158,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
         "doc_id", "line", "b.license", F.col("b.shared").alias("shared"), F.col("n").alias("segment_bigrams"), F.col("b.m").alias("template_bigrams"),
         dice.alias("dice"),
     )
-    return segments.unionByName(_windows(docs, known, bounds, top))
+    return s.close(segments.unionByName(_windows(docs, known, bounds, top)))
+
+
+def _telling(docs: DataFrame, words: list[str]) -> DataFrame:
+    """The documents that have one of the words: most are told by a plain search, the others by the pattern of whole words."""
+    low = docs.select("*", F.explode(F.array(F.lower("text"))).alias("low"))  # lowered once for all searches
+    some = low.where(reduce(or_, (F.contains("low", F.lit(w)) for w in words))).drop("low")
+    return some.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])"))
 
 
 def _among(p: list[str]):
