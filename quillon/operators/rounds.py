@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,21 @@ def folder(spark: SparkSession) -> str:
     return base or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the process ends: what is built in it is a query's own."""
+    path = f"{folder(spark).rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; its cluster cleans the folder
+            pass
+
+    atexit.register(delete)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and read from the session's shared folder from now on."""
     context = df.sparkSession.sparkContext

@@ -10,13 +10,13 @@ from ..functions import physics as X
 from ..operators import aggregates as A
 from ..operators import elementwise as M
 from ..operators import neighbours as J
+from ..operators.rounds import new_folder
 from ..registry import register
 from ..sources import files, sinks
 from ..sources.memo import remembered
 from ..sources.tables import table
 from ..sources.versions import read_version
 from .particles import BOX, PARTS, R2, in_box, thousandths
-from .structures import shared_folder
 from .translation import Tasks
 
 
@@ -26,7 +26,7 @@ from .translation import Tasks
 )
 def state_round_trip(spark, d):
     """Particles written in the layout of a final state, and positions and momenta projected from it again."""
-    path = shared_folder(spark, "state")
+    path = new_folder(spark, "state")
     p = thousandths(spark, d)
     sinks.write_particles(p.withColumn("E", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz") + 10000.0)), path)
     places, momenta = files.state(spark, path)
@@ -43,7 +43,7 @@ def state_round_trip(spark, d):
 )
 def dump_round_trip(spark, d):
     """A dump file with a frame per label, its records cut by the reader; lines are numbered within their frame."""
-    path = shared_folder(spark, "dump")
+    path = new_folder(spark, "dump")
     rows = thousandths(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     atoms = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda a: F.concat_ws(" ", a["id"], a["x"], a["y"])), "\n")
     frame = F.concat(F.lit("ITEM: TIMESTEP\n"), "label", F.lit("\nITEM: NUMBER OF ATOMS\n"), F.count("*").cast("string"), F.lit("\nITEM: ATOMS id x y\n"), atoms)
@@ -81,7 +81,7 @@ def feed_round_trip(spark, d):
 )
 def versioned_upsert(spark, d):
     """Customers' latest order, merged into a JSON table in three versions; the first one can still be counted."""
-    base = shared_folder(spark, "upsert")
+    base = new_folder(spark, "upsert")
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("status"))
     for part in range(3):
         sinks.upsert_json(rows.where(F.col("at") % 3 == part), base, "k", "at")
@@ -97,7 +97,7 @@ def versioned_upsert(spark, d):
 )
 def task_states(spark, d):
     """Orders as tasks: one worker claims 500 and ends them, another claims the next 300."""
-    tasks = Tasks(spark, shared_folder(spark, "tasks"))
+    tasks = Tasks(spark, new_folder(spark, "tasks"))
     names = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("name"))
     at = lambda h: datetime.datetime(2024, 1, 1, h)
     mine = tasks.claim(names, "one", at(1), 500)
@@ -110,7 +110,7 @@ def task_states(spark, d):
 @register("remembered_result", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, true AS kept FROM lineitem GROUP BY 1, 2")
 def remembered_result(spark, d):
     """An aggregate that is asked for twice; the second time its table is read."""
-    base = shared_folder(spark, "memo")
+    base = new_folder(spark, "memo")
     ask = lambda: table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
     first = remembered(ask(), base)
     again = remembered(ask(), base)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import elementwise as M
@@ -12,19 +10,13 @@ from ..operators import markdown as K
 from ..operators import postings as I
 from ..operators import scans as W
 from ..operators import sparse as S
+from ..operators.rounds import new_folder
 from ..registry import register
 from ..sources.tables import table
 from . import cases
 from .vectors import SPMV, coo, price, suppliers
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    from ..operators.rounds import folder
-
-    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
 
@@ -45,7 +37,7 @@ _ASKED = [("the thesh inonha", 5), ("der que la the", 20)]
 def index_search(spark, d):
     """Two searches of one index, made of one segment and a second one with later documents."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    base = shared_folder(spark, "index")
+    base = new_folder(spark, "index")
     I.add_documents(docs.where("doc_id % 4 > 0"), base)
     I.add_documents(docs.where("doc_id % 4 = 0"), base)
     out = None
