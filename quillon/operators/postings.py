@@ -49,7 +49,7 @@ def add_documents(docs: DataFrame, base: str, key: str = "doc_id", text: str = "
     store = Store(spark, base)
     after, content = store.read()
     buckets = content.get("buckets", buckets)
-    folder = store.folder("segment")
+    folder = store.folder(after, "segment")
     words = docs.select(F.col(key).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     sized = words.select("doc", F.size("w").alias("dl"), "w")
     sized.write.parquet(f"{folder}/words")  # tokenised once, for the order and for the postings

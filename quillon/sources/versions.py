@@ -68,21 +68,22 @@ class Store:
             raise
         return after + 1
 
-    def folder(self, prefix: str = "data") -> str:
-        """The path of a new folder for a version's rows."""
-        return f"{self.base}/{prefix}-{uuid.uuid4().hex}"
+    def folder(self, after: int, prefix: str = "data") -> str:
+        """The path of a new folder for rows of the version that follows ``after``."""
+        return f"{self.base}/{prefix}-{after}-{uuid.uuid4().hex}"
 
     def expire(self, keep: int = 2) -> None:
-        """Drops all versions but the last ``keep``, and the folders that these don't name (left by writers that died, too).
+        """Drops all versions but the last ``keep``, and folders that these don't name, but those of writers at work.
 
-        For one writer at a time: a folder that another is about to publish would go.
+        A folder whose version's number has been taken is either named by that
+        version or its writer's, who gets a Conflict; one for the next number may still be published.
         """
         have = self.numbers()
         used = json.dumps([self.read(n)[1] for n in have[-keep:]])
         for n in have[:-keep]:
             self.fs.delete(self._path(f"_versions/{n:012d}"), False)
         for name in self._names(""):
-            if "-" in name and name not in used:
+            if name not in used and name.count("-") == 2 and int(name.split("-")[1]) < have[-1]:
                 self.fs.delete(self._path(name), True)
 
 
@@ -99,7 +100,7 @@ def write_version(df: DataFrame, base: str, kind: str = "parquet", after: int |
     """df as the next version of the table, after the one it was made from (``after``; by default the newest)."""
     store = Store(df.sparkSession, base)
     after = store.read()[0] if after is None else after
-    folder = store.folder()
+    folder = store.folder(after)
     df.write.format(kind).save(folder)
     store.publish(after, {"folder": folder, "format": kind, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)})
     store.expire(keep)

@@ -68,7 +68,9 @@ def test_readers_see_whole_versions(spark, tmp_path):
     assert V.read_version(spark, base) is None
     one = V.write_version(df(3), base)
     store = V.Store(spark, base)
-    df(50).write.parquet(store.folder())  # a writer that died before it published
+    df(50).write.parquet(store.folder(0))  # a writer that died before it published
+    busy = store.folder(4)
+    df(1).write.parquet(busy)  # and one that is at work when others expire versions
     with pytest.raises(V.Conflict):
         store.publish(0, {"folder": "late"})
     assert V.read_version(spark, base).count() == 3 and store.numbers() == [1]
@@ -79,7 +81,9 @@ def test_readers_see_whole_versions(spark, tmp_path):
     for n in (6, 7):
         V.write_version(df(n), base, "json", keep=2)
     assert store.numbers() == [3, 4] and V.read_version(spark, base).count() == 7 and V.read_version(spark, base, 3).columns == ["id", "a b"]
-    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("data-")]) == 2
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("data-")]) == 3
+    store.publish(4, {"folder": busy, "format": "parquet", "schema": "id long, `a b` string"})
+    assert V.read_version(spark, base).count() == 1
 
 
 # --- cases
